@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import line_dedup, mixing, quality_lines
+from cadenza.llm import bpe, line_dedup, mixing, quality_lines, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +26,20 @@ def op7_fair_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ids=False)
+
+
+def op10_general_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_spread": op3_line_spread,
     "op5_line_frequency": op5_line_frequency,
     "op7_fair_queue": op7_fair_queue,
+    "op8_rank_array_bpe": op8_rank_array_bpe,
+    "op10_general_pigeonhole": op10_general_pigeonhole,
 }
 SQL: dict[str, str] = {
     "op3_line_spread": line_dedup.LINES_SQL,
