@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import bpe, line_dedup, mixing, quality_lines, simhash
+from cadenza.llm import bpe, langid, line_dedup, mixing, quality_lines, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op8_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ids=False)
 
 
+def op9_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(table(spark, sf_dir, "documents"))
+
+
 def op10_general_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_frequency": op5_line_frequency,
     "op7_fair_queue": op7_fair_queue,
     "op8_rank_array_bpe": op8_rank_array_bpe,
+    "op9_hyperdimensional": op9_hyperdimensional,
     "op10_general_pigeonhole": op10_general_pigeonhole,
 }
 SQL: dict[str, str] = {
