@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import bpe, langid, line_dedup, mixing, quality_lines, simhash, toxicity
+from cadenza.llm import bpe, langid, line_dedup, mixing, planes, quality_lines, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lines.line_frequency_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_byte_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planes.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_fair_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_counterfactual": op2_counterfactual,
     "op3_line_spread": op3_line_spread,
     "op5_line_frequency": op5_line_frequency,
+    "op6_byte_planes": op6_byte_planes,
     "op7_fair_queue": op7_fair_queue,
     "op8_rank_array_bpe": op8_rank_array_bpe,
     "op9_hyperdimensional": op9_hyperdimensional,
