@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import bpe, langid, line_dedup, mixing, planes, quality_lines, simhash, toxicity
+from cadenza.llm import bpe, langid, lattice, line_dedup, mixing, planes, quality_lines, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op3_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op4_e8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lines.line_frequency_rules(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op10_general_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_counterfactual": op2_counterfactual,
     "op3_line_spread": op3_line_spread,
+    "op4_e8_lattice": op4_e8_lattice,
     "op5_line_frequency": op5_line_frequency,
     "op6_byte_planes": op6_byte_planes,
     "op7_fair_queue": op7_fair_queue,
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 SQL: dict[str, str] = {
     "op3_line_spread": line_dedup.LINES_SQL,
+    "op4_e8_lattice": lattice.VECTORS_SQL,
     "op5_line_frequency": quality_lines.RULES_SQL,
     "op7_fair_queue": mixing.MIX_SQL,
 }
