@@ -89,6 +89,8 @@ class Page:
                         depth[last] -= 1
                         if last == tag:
                             break
+                elif tag in ("p", "br"):  # browsers open one
+                    self._add(tag, "", open_[-1])
                 continue
             if tag in ("html", "body"):
                 continue
