@@ -64,12 +64,14 @@ def test_greedy_cuts_equal_a_loop(seed):
 
 
 def test_splits_that_are_mixed_or_have_no_finite_mean(samples):
-    flat = [(t, 3 * t, 0, 100) for t in range(0, 31)]
-    bad = [(t, 3 * t if t < 25 else 3 * t - 3, (t % 3) if 10 <= t < 20 else 0, 100) for t in range(0, 31)]
-    found = {(r["activity_id"], r["split_id"]): r for r in splits.greedy_splits(steps.steps(samples(flat, bad)), 10, 0).collect()}
-    assert len(found) == 4 and not found[0, 0]["mixed"] and not found[0, 0]["poisoned"]
-    assert found[1, 0]["mixed"] or found[1, 1]["mixed"]
-    assert {k for k, r in found.items() if r["poisoned"]} == {(1, 1)} or not any(found[k]["poisoned"] for k in ((0, 0), (0, 1)))
+    """Steps are at t = 1, 2, ...; splits cover t = 1-10 and 11-20, and what is after 21 is left out."""
+    even = [(t, 3 * t, 0, 100) for t in range(31)]
+    both_ways = [(t, 3 * t, 1 if t in (4, 5) else 0, 100) for t in range(31)]
+    stands = [(t, 3 * t - 3 * (t >= 15), 0, 100) for t in range(31)]
+    found = {(r["activity_id"], r["split_id"]): r for r in splits.greedy_splits(steps.steps(samples(even, both_ways, stands)), 10, 0).collect()}
+    assert sorted(found) == [(a, k) for a in range(3) for k in range(2)] and all(r["n_steps"] == 10 for r in found.values())
+    assert [k for k, r in sorted(found.items()) if r["mixed"]] == [(1, 0)]
+    assert [k for k, r in sorted(found.items()) if r["poisoned"]] == [(2, 1)]
 
 
 def test_usable_splits_include_their_edges(spark):
