@@ -65,6 +65,8 @@ PARTS = frozenset(
     comment comments commentlist disqus replies reply respond pagination pager skip toolbar disclaimer paywall""".split()
 )
 HEADER_PARTS = frozenset(("header", "topbar"))
+#: Compounds written as one word: what they begin or end with.
+COMPOUND = re.compile(r"(?:cookie|newsletter|sidebar|breadcrumb|comment|advert|sponsor|navbar|popup|disqus|promo)[a-z]*|[a-z]*(?:nav|footer|sidebar|menu|comments|banner|popup|adslot|adbox)")
 
 
 class Page:
@@ -135,7 +137,7 @@ class Page:
             role = told.get("role", "").lower()
             if tag not in LANDMARKS:
                 parts = {p.lower() for p in NAME_PART.findall(names)}
-                out |= bool(parts & PARTS) or role in ROLES or "hidden" in told or told.get("aria-hidden", "").lower() == "true"
+                out |= bool(parts & PARTS) or any(map(COMPOUND.fullmatch, parts)) or role in ROLES or "hidden" in told or told.get("aria-hidden", "").lower() == "true"
                 out |= bool(parts & HEADER_PARTS) and tag not in HEADINGS and not self._inside(parent)
                 out |= "display:none" in told.get("style", "").replace(" ", "").lower()
             if role == "main":
