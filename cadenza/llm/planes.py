@@ -41,9 +41,12 @@ MAGIC = b"PLANES01"
 BLOCK = 1 << 16
 TRAILER = 6 * 8 + len(MAGIC)
 #: Pieces of text that a worker keeps encoded, and the longest of them in bytes.
-KEPT, KEPT_BYTES = 400_000, 40
-#: Latin letters and then marks other than the apostrophe: two words to the tokenizer, neither of which depends on the other.
-SPLIT = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
+KEPT, KEPT_BYTES = 600_000, 40
+#: Characters of text that are encoded together, and words that go to the model in one text.
+AT_ONCE, RUN = 2_000_000, 1000
+#: Latin letters, in UTF-8, and then marks other than the apostrophe, if any: to the tokenizer a word and a word of
+#: marks, neither of which depends on the other.
+LATIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def to_planes(ids: np.ndarray, bits: int = 8, planes: int = 4) -> list[bytes]:
@@ -158,34 +161,78 @@ class PlaneReader:
 class TextEncoder:
     """Ids of whole texts, as little-endian bytes, by the tokenizers library.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are those of its pieces between white
-    space; each different piece is encoded by the library once."""
+    A tokenizer that drops white space never merges across it, so a text's ids are those of its pieces between white
+    space; each different piece is encoded by the library once. Words of lower-case Latin letters need no
+    normalising and no cutting, so they go to the library's model many at a time, with white space between them, and
+    are told apart by the tokens that end a word; whether this tokenizer works so is tried out first."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.plain = Tokenizer.from_str(self.tokenizer.to_str())
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        tried = ["the", "straße", "élan", "ooooooooo", "qzxj"]
+        self.cuts_words = all(self.tokenizer.encode(w, add_special_tokens=False).ids == self.plain.encode(w, add_special_tokens=False).ids for w in tried)
+        self.cuts_words &= all(self.ends[self.plain.encode(w, add_special_tokens=False).ids].nonzero()[0].tolist() == [len(self.plain.encode(w, add_special_tokens=False).ids) - 1] for w in tried)
         self.known: dict[bytes, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [t.encode("utf-8", "replace").split() for t in texts]  # bytes: at ASCII white space alone
-        if len(self.known) > KEPT:
-            self.known = {}
-        new = set().union(*pieces) - self.known.keys()
-        parts = {p: (m[1].lower().encode(), m[2].encode()) if (m := SPLIT.fullmatch(p.decode())) else (p,) for p in new}
-        units = list({u for us in parts.values() for u in us} - self.known.keys())
+    def _learn_words(self, words: list[bytes]) -> None:
+        runs = [b" ".join(words[k : k + RUN]).decode() for k in range(0, len(words), RUN)]
+        for k, e in enumerate(self.plain.encode_batch_fast(runs, add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
+            raw, places = ids.tobytes(), (4 * (self.ends[ids].nonzero()[0] + 1)).tolist()
+            own = words[k * RUN : (k + 1) * RUN]
+            self.known.update((w, raw[a:b]) for w, a, b in zip(own, [0, *places], places, strict=False))
+            assert len(own) == len(places), "a word's end is missing"
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Takes up the ids of pieces that aren't known."""
+        known, words, others, made = self.known, set(), set(), []
+        for p in new:
+            if (m := LATIN.fullmatch(p)) is None or not self.cuts_words:
+                others.add(p)
+                continue
+            w, marks = m.groups()
+            w = w.lower() if w.isascii() else w.decode().lower().encode()
+            if w not in known:
+                words.add(w)
+            if marks and marks not in known:
+                others.add(marks)
+            if w != p:
+                made.append((p, w, marks))
+        self._learn_words(list(words))
+        units = list(others)
         for u, e in zip(units, self.tokenizer.encode_batch_fast([u.decode() for u in units], add_special_tokens=False), strict=True):
-            self.known[u] = np.array(e.ids, dtype="<u4").tobytes()
-        for p, us in parts.items():
-            if len(us) > 1:
-                self.known[p] = b"".join(map(self.known.__getitem__, us))
-        found = [b"".join(map(self.known.__getitem__, p)) for p in pieces]
-        for p in {*new, *units}:
-            if len(p) > KEPT_BYTES:
-                del self.known[p]
+            known[u] = np.array(e.ids, dtype="<u4").tobytes()
+        for p, w, marks in made:
+            known[p] = known[w] + known[marks] if marks else known[w]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        found: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= AT_ONCE):
+                size += len(texts[end])
+                end += 1
+            pieces = [t.encode("utf-8", "replace").split() for t in texts[at:end]]  # bytes: at ASCII white space alone
+            if len(self.known) > KEPT:
+                self.known = {}
+            new = [p for p in set().union(*pieces) if p not in self.known]
+            self._learn(new)
+            found += [b"".join(map(self.known.__getitem__, p)) for p in pieces]
+            for p in new:
+                if len(p) > KEPT_BYTES:
+                    del self.known[p]
+            at = end
         return found
 
 
