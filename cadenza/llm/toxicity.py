@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from cadenza.llm.holdout import held_out
 
 #: Texts of each label in the training sample, features, and documents that a feature must be in.
-PER_CLASS, FEATURES, MIN_TEXTS = 4000, 4096, 4
+PER_CLASS, FEATURES, MIN_TEXTS = 2500, 4096, 4
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.3
 WORDS = re.compile(r"[^\W\d_]+")
@@ -126,6 +126,7 @@ def fit(texts: list[str], labels: np.ndarray, *, terms: tuple[tuple[str, ...], .
         share = prior if prior is not None else (n1 / len(labels) if len(labels) else 0.0)
         return Model(float(np.log(max(share, 1e-12) / max(1 - share, 1e-12))))
     words = [text_words(t) for t in texts]
+    del texts
     names = choose_features(words, labels, terms)
     place = {x: k for k, x in enumerate(names)}
     r, c = matrix(words, place)

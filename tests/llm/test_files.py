@@ -30,6 +30,17 @@ def test_merges_equal_the_library():
         assert own.decode(ids) == library.decode(ids, skip_special_tokens=False) == text
 
 
+def test_letters_of_newer_unicode_are_cut_as_the_library_cuts_them():
+    library, own = Tokenizer.from_file(BYTES), bpe.Vocabulary(BYTES)
+    rng = random.Random(5)
+    newer = [c for c in bpe.newer_characters() if c != "-"]
+    newer = [*newer[:200], *"\u1c89\u1c8a\U00016139\U000105c0"]
+    assert len(newer) > 50
+    for _ in range(500):
+        text = "".join(rng.choice([*newer, *"aZ1 .\n"]) for _ in range(12))
+        assert [i for w in own.encode(text) for i in w[0]] == library.encode(text, add_special_tokens=False).ids
+
+
 def test_scan_and_heap_merge_alike():
     own = bpe.Vocabulary(BYTES)
     for text in odd_texts(300, 7):
@@ -121,6 +132,8 @@ def test_article_without_what_is_left_out():
         ("<article><p>kept</p><script>if (a < b) {}", "kept"),
         ("<div hidden>x</div><div role=navigation>y</div><p style='display: none'>z</p>w", "w"),
         ("a < b and 3 > 2", "a < b and 3 > 2"),
+        ("<div class=topnav>m</div><div id=userComments>c</div><div class='cookiebar big'>k</div><div class=navy>kept</div>", "kept"),
+        ("<article><div class='ad'>x</div><nav>t</nav><p>a</p><footer>f</footer></article>", "a"),
     ],
 )
 def test_pages(page, text):
