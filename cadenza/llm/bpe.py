@@ -19,6 +19,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import sys
+import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -31,7 +33,9 @@ from pyspark.sql import functions as F
 #: Words of up to so many bytes are scanned for the smallest rank.
 SCANNED = 64
 #: Words that a worker keeps, and the longest of them in characters.
-KEPT_WORDS, KEPT_CHARS = 400_000, 32
+KEPT_WORDS, KEPT_CHARS = 300_000, 32
+#: Ids that a task holds before it hands them on.
+HELD_IDS = 250_000
 NEVER = 1 << 60
 #: The pattern that byte-level vocabularies of this kind are made with, and white space as it means it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -45,6 +49,25 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+@lru_cache(maxsize=1)
+def newer_characters() -> str:
+    """As ranges for a set: letters and numbers that the regex module knows and the tokenizers library, of an earlier Unicode, doesn't.
+
+    Only characters that this Python doesn't know either are in question; the library's pre-tokenizer is asked for each."""
+    from tokenizers import pre_tokenizers
+
+    cut = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+    every = "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+    found = (c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn")
+    runs: list[list[int]] = []
+    for c in map(ord, (c for c in found if len(cut(("a" if regex.match(r"\p{L}", c) else "1") + c)) > 1)):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in runs)
+
+
 class Vocabulary:
     """Ranks, ids and bytes of a byte-level BPE vocabulary in a tokenizers JSON file."""
 
@@ -63,7 +86,14 @@ class Vocabulary:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in told["model"]["merges"]]
         self.rank = {ids[a] << 32 | ids[b]: r for r, (a, b) in enumerate(pairs)}
         self.merged = [ids[a + b] for a, b in pairs]
-        self.pattern = regex.compile(PATTERN.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
+        plain = PATTERN.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
+        self.pattern = regex.compile(plain)
+        newer = newer_characters()
+        self.newer = regex.compile(f"[{newer}]") if newer else None
+        sets = {r"?\p{L}+": f"?[\\p{{L}}--[{newer}]]+", r"?\p{N}+": f"?[\\p{{N}}--[{newer}]]+", r"\p{L}\p{N}]+": f"[\\p{{L}}\\p{{N}}--[{newer}]]]+"}
+        for a, b in sets.items():
+            plain = plain.replace(a, b)
+        self.careful = regex.compile("(?V1)" + plain) if newer else self.pattern
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known: dict[str, tuple[tuple[int, ...], str]] = {}
 
@@ -125,9 +155,18 @@ class Vocabulary:
                 i = self.special[piece]
                 found.append(((i,), str(i)))
             elif piece:
-                found += [known.get(w) or word(w) for w in self.pattern.findall(piece)]
+                pattern = self.careful if self.has_newer(piece) else self.pattern
+                found += [known.get(w) or word(w) for w in pattern.findall(piece)]
         return found
 
+    def has_newer(self, text: str) -> bool:
+        """Whether the careful pattern is needed; Latin-1 texts are told apart without a look at each character."""
+        try:
+            text.encode("latin-1")
+            return False
+        except UnicodeEncodeError:
+            return self.newer is not None and self.newer.search(text) is not None
+
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -143,19 +182,26 @@ def encoded(documents: DataFrame, vocabulary_path: str, *, id_column: str = "doc
     held = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     schema = f"doc_id {held.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
 
+    def framed(names: pd.Series, found: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(found, columns=["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids])
+        out.insert(0, "doc_id", names.to_numpy())
+        return out
+
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(vocabulary_path)
         for rows in batches:
-            found = []
+            found, done, held = [], 0, 0
             for text in rows["text"]:
                 words = v.encode(text or "")
                 flat = [i for w in words for i in w[0]]
                 told = hashlib.sha256(",".join([w[1] for w in words]).encode()).hexdigest()
                 back = hashlib.sha256(v.decode(flat).encode("utf-8", "surrogatepass")).hexdigest()
                 found.append((len(flat), told, back, *([np.array(flat, dtype=np.int32)] if ids else [])))
-            out = pd.DataFrame(found, columns=["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids])
-            out.insert(0, "doc_id", rows["doc_id"].to_numpy())
-            yield out
+                held += len(flat)
+                if ids and held >= HELD_IDS:
+                    yield framed(rows["doc_id"].iloc[done : done + len(found)], found)
+                    done, found, held = done + len(found), [], 0
+            yield framed(rows["doc_id"].iloc[done:], found)
 
     return held.mapInPandas(encode, schema)
 
