@@ -15,6 +15,13 @@ the join's condition, so a pair that is met but doesn't link makes no row.
 Defined results: null, empty and blank texts have fingerprint zero and link like any other; a text of one or two
 words has one shingle; repeated rows share a component; a null id is never a component's name unless all its ids are
 null; an empty table gives an empty result.
+
+`one_of_each` doesn't take fingerprints for links: texts that share `similarity` of their different 5-word shingles
+(Jaccard) are near copies, whose fingerprints differ in up to 14 bits, more than pigeonhole search can cover. Its
+candidates share all minima of one of 24 bands of 6 MinHash values (a pair at exactly 0.8 is missed with odds of 0.0007,
+more similar ones with less), and a link is only what the texts' own shingles confirm. Members of a band's bucket are
+first compared with four of its texts; after that only texts of different components are, so a large group of near
+copies isn't expanded into all its pairs, and the components are those that all pairs of all buckets would give.
 """
 
 from __future__ import annotations
@@ -31,20 +38,30 @@ from pyspark.sql import functions as F
 from cadenza.llm.components import checkpoint_dir, connected_components
 
 SHINGLE, SEED, BITS = 3, 42, 64
+#: Near copies: words in a shingle, similarity, MinHash values in a band, bands, and the most that 128 bits of two texts' values may differ.
+WIDE, SIMILARITY, ROWS, BANDS, UNLIKE = 5, 0.8, 6, 24, 32
+FACTORS, SHIFTS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, ROWS * BANDS), dtype=np.uint64) | np.array([[1], [0]], dtype=np.uint64)
 
 
-def fingerprint(text: str | None, width: int = SHINGLE) -> int:
-    """The unsigned fingerprint of one text."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """The hash of each shingle of a text, repeats included; none without a word."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and white space only
     if not words:
-        return 0
+        return np.empty(0, dtype="<u8")
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - width + 1)
-    spans = zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)
-    set_bits, digest = np.zeros(BITS, dtype=np.int64), xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[s:e], SEED) for s, e in spans), dtype="<u8", count=n)
+    spans, digest = zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True), xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in spans), dtype="<u8", count=n)
+
+
+def fingerprint(text: str | None, width: int = SHINGLE) -> int:
+    """The unsigned fingerprint of one text."""
+    hashes = shingle_hashes(text, width)
+    n, set_bits = len(hashes), np.zeros(BITS, dtype=np.int64)
+    if not n:
+        return 0
     for k in range(0, n, 1 << 15):
         set_bits += np.unpackbits(hashes[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * set_bits > n, bitorder="little").tobytes(), "little")
@@ -187,8 +204,90 @@ def near_duplicates(documents: DataFrame, *, id_column: str = "doc_id", text_col
     return marked.join(rooted, F.col("fp") == F.col("of")).select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", limit: int = 3) -> DataFrame:
-    """The documents with all their columns, one of each component: that with the smallest id. Rows that repeat its id are one document."""
-    found = near_duplicates(documents, id_column=id_column, text_column=text_column, limit=limit)
+def sketch(text: str | None) -> tuple[int, int, int, np.ndarray]:
+    """A text's shingle set as a hash, 128 bits of its MinHash values as two integers, and its bands' keys; all signed."""
+    own = np.unique(shingle_hashes(text, WIDE))
+    node = xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63)
+    if not len(own):
+        return node, 0, 0, np.empty(0, dtype=np.int64)
+    least = np.full(ROWS * BANDS, (1 << 64) - 1, dtype=np.uint64)
+    for k in range(0, len(own), 1024):
+        np.minimum(least, (own[k : k + 1024, None] * FACTORS + SHIFTS).min(axis=0), out=least)
+    left, right = np.packbits((least[: 2 * BITS] & np.uint64(1)).astype(np.uint8)).view(np.int64).tolist()
+    keys = np.array([xxhash.xxh64_intdigest(x.tobytes(), k) - (1 << 63) for k, x in enumerate(least.reshape(BANDS, ROWS))], dtype=np.int64)
+    return node, left, right, keys
+
+
+def sketch_column(text: Column) -> Column:
+    """node, left, right and keys of each text."""
+
+    def told(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([sketch(x) for x in texts], columns=["node", "left", "right", "keys"], index=texts.index)
+
+    return F.pandas_udf(told, "node long, left long, right long, keys array<long>")(text)
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """The part of two texts' different shingles that both have."""
+
+    def told(left: pd.Series, right: pd.Series) -> pd.Series:
+        found, last, own = [], None, None
+        for x, y in zip(left, right, strict=True):
+            if own is None or x != last:
+                last, own = x, np.unique(shingle_hashes(x, WIDE))
+            other = np.unique(shingle_hashes(y, WIDE))
+            both = len(np.intersect1d(own, other, assume_unique=True))
+            found.append(both / max(len(own) + len(other) - both, 1))
+        return pd.Series(found, index=left.index, dtype="float64")
+
+    return F.pandas_udf(told, "double")(a, b)
+
+
+def alike(a: str, b: str) -> Column:
+    """Whether two sketches (structs of these names) differ in so few bits that the texts can be near copies."""
+    return F.bit_count(F.col(f"{a}.left").bitwiseXOR(F.col(f"{b}.left"))) + F.bit_count(F.col(f"{a}.right").bitwiseXOR(F.col(f"{b}.right"))) <= UNLIKE
+
+
+def similar_components(documents: DataFrame, id_column: str, text_column: str, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id and component_id (smallest doc_id reachable by links of similar texts) of every row."""
+    checkpoint_dir(documents.sparkSession)
+    held = documents.select(F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("hash"), F.col(text_column).alias("text"))
+    marked = held.select("doc_id", "hash", sketch_column(F.col("text")).alias("s")).select("doc_id", "hash", "s.*").checkpoint()
+    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("hash").alias("hash"))
+    spread = marked.dropDuplicates(["node"]).select(F.explode("keys").alias("key"), F.struct("node", "left", "right").alias("x"))
+    other = lambda f, k: f(F.col("x"), F.xxhash64(F.col("x.node"), F.lit(k)))
+    firsts = F.array(F.min("x"), F.max("x"), other(F.min_by, 1), other(F.max_by, 1))
+    buckets = spread.groupBy("key").agg(firsts.alias("firsts")).filter(F.col("firsts")[0]["node"] < F.col("firsts")[1]["node"])
+    crowded = spread.join(buckets.withColumnRenamed("key", "of"), F.col("key") == F.col("of")).select("key", "x", "firsts").checkpoint()
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """(a, b) of the rows (x, y) whose texts are near copies."""
+        ends = [f(F.col("x.node"), F.col("y.node")).alias(c) for f, c in ((F.least, "a"), (F.greatest, "b"))]
+        met = pairs.filter(F.col("x.node") != F.col("y.node")).select(*ends).distinct().checkpoint()
+        asked = met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "hash"), "node")
+        texts = held.join(asked.select("hash"), "hash", "left_semi").groupBy("hash").agg(F.first("text").alias("text")).join(asked, "hash")
+        a, b = (texts.select(F.col("node").alias(c), F.col("text").alias(f"{c}_text")) for c in "ab")
+        return met.join(a, "a").join(b, "b").filter(jaccard(F.col("a_text"), F.col("b_text")) >= similarity).select("a", "b")
+
+    near = connected_components(confirmed(crowded.select("x", F.explode("firsts").alias("y")).filter(alike("x", "y"))))
+    joined = crowded.select("key", "x").join(near, F.col("x.node") == F.col("node"), "left").select("key", "x", F.coalesce("component", "x.node").alias("part")).checkpoint()
+    mixed = joined.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.mode("part", True).alias("most")).filter("low < high").select(F.col("key").alias("of"), "most")
+    rest = joined.join(mixed, F.col("key") == F.col("of")).select("of", "x", "part", "most")
+    few = rest.filter("part <> most").select(F.col("of").alias("key"), "x", F.col("part").alias("x_part"))  # of two different parts one at least isn't the most frequent
+    met = few.join(rest.select("of", F.col("x").alias("y"), "part"), (F.col("key") == F.col("of")) & (F.col("x_part") != F.col("part")) & alike("x", "y"))
+    late = confirmed(met.select("x", "y"))
+    for c in "ab":
+        late = late.join(near.select(F.col("node").alias("n"), F.col("component").alias(f"{c}_part")), F.col(c) == F.col("n"), "left").drop("n")
+    last = connected_components(late.select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b"))).select(F.col("node").alias("part"), F.col("component").alias("root"))
+    rooted = nodes.select("node", "least").join(near.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("component", "node").alias("part"))
+    rooted = rooted.join(last, "part", "left").select("node", "least", F.coalesce("root", "part").alias("root"))
+    named = rooted.groupBy(F.col("root").alias("name")).agg(F.min("least").alias("component_id"))
+    rooted = rooted.join(named, F.col("root") == F.col("name")).select("node", "component_id")
+    return marked.select("doc_id", "node").join(rooted, "node").select("doc_id", "component_id")
+
+
+def one_of_each(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The documents with all their columns, one of each component of near copies: that with the smallest id. Rows that repeat its id are one document."""
+    found = similar_components(documents, id_column, text_column, similarity)
     stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
     return documents.join(stay, F.col(id_column).eqNullSafe(F.col("_stays")), "left_semi").dropDuplicates([id_column])

@@ -87,6 +87,21 @@ def test_one_of_each_group_stays_whole(documents):
     assert sorted(r["doc_id"] for r in found.collect()) == [3, 7, 9] and found.columns == df.columns
 
 
+def test_one_of_each_finds_what_exact_similarity_links(documents):
+    """Copies with a few words changed, whose fingerprints are often over three bits apart, against all pairs' Jaccard of five-word shingles."""
+    rows = near_texts()
+    rows += [(1000 + k, " ".join(["a", "few", "words", "of", f"x{k % 3}", "alone"]), "en", "a") for k in range(6)]
+    plain = lambda t: {tuple(w[i : i + 5]) for w in [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))] if w for i in range(max(1, len(w) - 4))}
+    sets = {r[0]: plain(r[1]) for r in rows}
+    wanted = plain_components(sorted(sets), lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    found = simhash.one_of_each(documents(rows, clashes=True))
+    assert sorted(r["doc_id"] for r in found.collect()) == sorted(set(wanted.values()))
+    prints = {r[0]: plain_fingerprint(r[1]) for r in rows}
+    by_bits = plain_components(sorted(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
+    assert len(set(wanted.values())) < len(set(by_bits.values()))
+    assert simhash.one_of_each(documents([])).count() == 0
+
+
 def test_empty_tables(spark, documents):
     assert simhash.near_duplicates(documents([])).count() == 0
     assert lattice.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
