@@ -38,13 +38,13 @@ def personal_curves(
     *,
     sport_types: Sequence[str] = (),
     per_bucket: int = 250,
-    boosted: bool = False,
+    boosted: bool = True,
     references: bool = True,
     smooth: bool = True,
     least_s: float = 10.0,
     warmup_s: float = C.WARMUP_S,
 ) -> DataFrame:
-    """(curve, bin_center, mean, std, count) of every scale's models and the published curves. Branches that aren't asked for are never planned."""
+    """(curve, bin_center, mean, std, count) of every scale's models and the published curves. Branches that aren't asked for are never planned, and a scale without training pairs has no boosted curve."""
     valid_scales(scales)
     found: DataFrame | None = None
 
@@ -59,7 +59,8 @@ def personal_curves(
         add(K.equi_depth_curve(K.with_efficiency(splits), per_bucket), f"{name} efficiency")
         if boosted:
             pairs = split_parts(K.calibration_pairs(splits))
-            add(K.equi_width_curve(BoostedGap().fit(pairs).predict(pairs.filter("part = 'test'"))), f"{name} boosted")
+            if not pairs.filter("part = 'train'").isEmpty():
+                add(K.equi_width_curve(BoostedGap().fit(pairs).predict(pairs.filter("part = 'test'"))), f"{name} boosted")
     if smooth:
         found = loess_curves(found)
     return found.unionByName(C.reference_curves(telemetry.sparkSession)) if references else found

@@ -280,6 +280,21 @@ def test_boosted_trees_learn_and_parts_are_stable(spark):
     assert curves.reliability_curve(model.predict(pairs)).filter("bin >= 20").count() == 0
 
 
+def test_boosted_curves_are_whole_by_default(samples):
+    """The reference's use case fits both models unless told not to, the boosted one with 100 rounds of depth 6."""
+    model = gbt.BoostedGap().regressor
+    assert (model.getMaxIter(), model.getMaxDepth(), model.getStepSize()) == (100, 6, 0.3)
+    climb = lambda t: 0.1 * (t // 100 % 5) - 0.2
+    run = [(t, 3 * t, sum(3 * climb(k) for k in range(t)), 140 + t % 7) for t in range(600)]
+    df = samples(run)
+    listed = df.select("activity_id", F.lit("Run").alias("sport_type"), F.lit("2024-01-01").alias("start_date")).distinct()
+    found = gap.personal_curves(df, listed, per_bucket=10, references=False, warmup_s=0.0).collect()
+    assert {r["curve"] for r in found} == {"all efficiency", "all boosted"}
+    assert sum(r["count"] for r in found if r["curve"] == "all boosted") > 0
+    found = gap.personal_curves(df, listed, per_bucket=10, references=False).collect()  # all of it is warm-up
+    assert found == []
+
+
 def test_races_are_limited_and_labelled(spark, samples):
     run = [(t, 3 * t, t % 7, 140) for t in range(0, 200, 2)]
     df = samples(run, run, run)
