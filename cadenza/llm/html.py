@@ -2,10 +2,15 @@
 
 Pages are parsed into element trees, and every element subtree that could be a template part is hashed (tag, class,
 id, text and the hashes below it). Spark counts, for each host, the distinct pages (by their text: copies of a page
-count once) that have the subtree; subtrees on `min_pages` or more are the site's template and are deleted, together
+count once) that have the subtree; subtrees on `min_pages` or more, and on `min_share` of the host's pages or more, are
+the site's template and are deleted, together
 with elements that say themselves what they are: menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments. What is left of the article (else of the main element, else of the page) is the text.
 
+Near copies of a page count about once: pages are counted by each of 15 MinHash values of the 5-word shingles of their
+texts, which near copies mostly share, and a subtree is template if over half of these counts reach both limits. A host
+that has little else than many near copies of one page can't be told from one whose template is most of its pages.
+
 Prose (paragraphs, headings and the like) within an article or main element is never taken for a template, however
 many pages share it.
 
@@ -30,7 +35,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MIN_PAGES, HELD_HASHES = 5, 1_000_000
+from cadenza.llm.components import checkpoint_dir
+from cadenza.llm.simhash import FACTORS, SHIFTS, WIDE, shingle_hashes
+
+MIN_PAGES, MIN_SHARE, VALUES, HELD_HASHES = 5, 0.25, 15, 1_000_000
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -213,28 +221,46 @@ def host_hash(host: str, subtree: int) -> int:
     return xxhash.xxh64_intdigest(host.encode("utf-8", "replace") + subtree.to_bytes(8, "little")) - (1 << 63)
 
 
+def page_values(text: str) -> list[int]:
+    """MinHash values of a text's shingles, signed."""
+    own = np.unique(shingle_hashes(text, WIDE))
+    least = np.full(VALUES, (1 << 64) - 1, dtype=np.uint64)
+    for k in range(0, len(own), 4096):
+        np.minimum(least, (own[k : k + 4096, None] * FACTORS[:VALUES] + SHIFTS[:VALUES]).min(axis=0), out=least)
+    return least.view(np.int64).tolist()
+
+
 def page_subtrees(pages: DataFrame) -> DataFrame:
-    """(of, page) from rows (host, html): each subtree of each page as a hash with its host, beside a hash of the page's text."""
+    """(site, page, values, of) from rows (host, html): hashes of each page's host and text, the text's MinHash values, and each subtree as a hash with its host."""
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            of, page = [], []
+            told = []
             for host, html in zip(rows["host"], rows["html"], strict=True):
                 tree = Page(html)
-                found = {host_hash(host, h) for h in tree.subtrees().values()}
-                of += found
-                page += [xxhash.xxh64_intdigest(tree.text().encode("utf-8", "replace")) - (1 << 63)] * len(found)
-            yield pd.DataFrame({"of": np.array(of, dtype=np.int64), "page": np.array(page, dtype=np.int64)})
+                text = tree.text()
+                told.append((host_hash(host, 0), xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63), page_values(text), list({host_hash(host, h) for h in tree.subtrees().values()})))
+            yield pd.DataFrame(told, columns=["site", "page", "values", "of"])
+
+    return pages.mapInPandas(hashed, "site long, page long, values array<long>, of array<long>")
+
 
-    return pages.mapInPandas(hashed, "of long, page long")
+def recurring(seen: DataFrame, min_pages: int, min_share: float) -> DataFrame:
+    """(of): the subtrees that recur on so many pages, and on such a share of their host's pages, by over half of the counts."""
+    often = seen.select("page", F.explode("of").alias("of")).groupBy("of").agg(F.count_distinct("page").alias("n")).filter(F.col("n") >= min_pages).select("of")
+    whole = seen.select("site", F.posexplode("values").alias("k", "value")).distinct().groupBy("site", "k").agg(F.count(F.lit(1)).alias("whole"))
+    own = seen.select("site", "values", F.explode("of").alias("of")).join(often, "of", "left_semi")
+    own = own.select("site", "of", F.posexplode("values").alias("k", "value")).distinct().groupBy("site", "of", "k").agg(F.count(F.lit(1)).alias("pages"))
+    reached = (F.col("pages") >= min_pages) & (F.col("pages") >= min_share * F.col("whole"))
+    return own.join(whole, ["site", "k"]).groupBy("of").agg(F.count_if(reached).alias("n")).filter(2 * F.col("n") > VALUES).select("of")
 
 
-def main_text(pages: DataFrame, *, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", min_pages: int = MIN_PAGES, held_hashes: int = HELD_HASHES) -> DataFrame:
+def main_text(pages: DataFrame, *, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, held_hashes: int = HELD_HASHES) -> DataFrame:
     """page_id, url, text, n_chars (code points) and n_deleted (template subtrees) of every row."""
     spark = pages.sparkSession
     held = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url"), host_of(F.col(url_column)).alias("host"), F.coalesce(F.col(html_column), F.lit("")).alias("html"))
-    seen = page_subtrees(held.select("host", "html"))
-    template = seen.groupBy("of").agg(F.count_distinct("page").alias("pages")).filter(F.col("pages") >= min_pages).select("of")
+    checkpoint_dir(spark)
+    template = recurring(page_subtrees(held.select("host", "html")).checkpoint(), min_pages, min_share)
     few = template.limit(held_hashes + 1).toPandas()["of"].to_numpy(np.int64)
     schema = f"page_id {held.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long, n_deleted long"
 

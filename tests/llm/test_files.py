@@ -160,6 +160,23 @@ def test_template_goes_by_host_and_prose_of_articles_stays(spark):
     assert html.main_text(df.limit(0)).count() == 0
 
 
+def test_near_copies_and_rare_passages_of_pages_without_articles_stay(spark):
+    rng = np.random.default_rng(4)
+    words = lambda k: " ".join(rng.choice([f"w{j}" for j in range(2000)], k))
+    div = lambda t: f"<div>{t}</div>"
+    site, passage, parts = div("Welcome to the site"), words(30), [words(60) for _ in range(4)]
+    near = [[*parts[:2], parts[2].replace(" ", f" new{i} ", 1), parts[3]] for i in range(6)]
+    own = [words(50) for _ in range(60)]
+    rows = [(i, "http://a.example", site + "".join(map(div, x))) for i, x in enumerate(near)]
+    rows += [(100 + i, "http://a.example", site + div(x) + (div(passage) if i < 8 else "")) for i, x in enumerate(own)]
+    rows += [(200 + i, "http://b.example", "".join(f"<p>{x}</p>" for x in t)) for i, t in enumerate(near)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for held in (html.HELD_HASHES, 0):
+        found = {r["page_id"]: r["text"] for r in html.main_text(df, held_hashes=held).collect()}
+        assert [found[i] for i in range(6)] == [" ".join(t) for t in near] == [found[200 + i] for i in range(6)]
+        assert [found[100 + i] for i in range(60)] == [f"{x} {passage}" if i < 8 else x for i, x in enumerate(own)]
+
+
 def test_pipeline_by_its_stages(spark, documents, tmp_path):
     rng = np.random.default_rng(9)
     line = lambda k: " ".join(rng.choice([f"w{j}" for j in range(300)], k))
