@@ -7,7 +7,8 @@ Candidate search is exact. The 64 bits are grouped into partitions of correlated
 threshold of its own, -1 (not searched) included, with a sum of limit - partitions + 1: two fingerprints within the
 limit are within the threshold of at least one partition. Grouping and thresholds come from counts over all
 fingerprints: bit co-occurrences, and the pairs that share a partition's bits. Dynamic programming picks the
-thresholds with the smallest estimate of rows probed and pairs met; the number of partitions is chosen likewise.
+thresholds with the smallest estimate of rows probed and pairs met; the number of partitions is chosen likewise. An
+empty table is planned as one fingerprint, so it gets few probes too.
 
 Equal fingerprints are one row from the start, so copies are never expanded into pairs, and the bit count is part of
 the join's condition, so a pair that is met but doesn't link makes no row.
@@ -171,7 +172,7 @@ def plan_search(prints: DataFrame, limit: int = 3, partitions: tuple[int, ...] =
         costs = []
         for bits in groups[m]:
             met = estimated_pairs(same.get(k, 0.0), n, both, bits, limit)
-            costs.append([met[t] + n * sum(comb(len(bits), d) for d in range(t + 1)) for t in range(limit + 1)])
+            costs.append([met[t] + max(n, 1) * sum(comb(len(bits), d) for d in range(t + 1)) for t in range(limit + 1)])
             k += 1
         cost, thresholds = allocate(costs, limit - m + 1)
         plans.append((cost, m, [(bits, t) for bits, t in zip(groups[m], thresholds, strict=True) if t >= 0]))
@@ -179,15 +180,20 @@ def plan_search(prints: DataFrame, limit: int = 3, partitions: tuple[int, ...] =
 
 
 def fingerprint_links(prints: DataFrame, limit: int = 3, partitions: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
-    """(a, b): all pairs of different fingerprints (column fp, without repeats) within limit bits, a < b; a pair may come more than once."""
+    """(a, b): all pairs of different fingerprints (column fp, without repeats) within limit bits, a < b; a pair may come more than once.
+
+    A partition's probes are one array of masks, so the plan is as small for thousands of them as for one."""
+
+    def flipped(k: int, key: Column, masks: list[int]) -> Column:
+        return F.transform(F.lit(np.array(masks, dtype=np.int64)), lambda mask: F.struct(F.lit(k).alias("k"), key.bitwiseXOR(mask).alias("key")))
+
     kept, probed = [], []
     for k, (bits, threshold) in enumerate(plan_search(prints, limit, partitions)):
         key = F.col("fp").bitwiseAND(F.lit(mask_of(bits)))
         kept.append(F.struct(F.lit(k).alias("k"), key.alias("key")))
-        for d in range(threshold + 1):
-            probed += [F.struct(F.lit(k).alias("k"), key.bitwiseXOR(F.lit(mask_of(list(flip)))).alias("key")) for flip in combinations(bits, d)]
+        probed.append(flipped(k, key, [mask_of(list(flip)) for d in range(threshold + 1) for flip in combinations(bits, d)]))
     stored = prints.select(F.col("fp").alias("b"), F.explode(F.array(*kept)).alias("s")).select("b", F.col("s.k").alias("s_k"), F.col("s.key").alias("s_key"))
-    probes = prints.select(F.col("fp").alias("a"), F.explode(F.array(*probed)).alias("p")).select("a", F.col("p.k").alias("p_k"), F.col("p.key").alias("p_key"))
+    probes = prints.select(F.col("fp").alias("a"), F.explode(F.flatten(F.array(*probed))).alias("p")).select("a", F.col("p.k").alias("p_k"), F.col("p.key").alias("p_key"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= limit)
     return probes.join(stored, (F.col("p_k") == F.col("s_k")) & (F.col("p_key") == F.col("s_key")) & near).select("a", "b")
 
@@ -249,11 +255,13 @@ def alike(a: str, b: str) -> Column:
 
 
 def similar_components(documents: DataFrame, id_column: str, text_column: str, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id and component_id (smallest doc_id reachable by links of similar texts) of every row."""
+    """doc_id, text_hash, component_id (smallest doc_id reachable by links of similar texts) and stays of every row.
+
+    stays: the row's id and text are the smallest of its component, null ids last; rows that repeat both share it."""
     checkpoint_dir(documents.sparkSession)
     held = documents.select(F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("hash"), F.col(text_column).alias("text"))
     marked = held.select("doc_id", "hash", sketch_column(F.col("text")).alias("s")).select("doc_id", "hash", "s.*").checkpoint()
-    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("hash").alias("hash"))
+    nodes = marked.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")).alias("least"))
     spread = marked.dropDuplicates(["node"]).select(F.explode("keys").alias("key"), F.struct("node", "left", "right").alias("x"))
     other = lambda f, k: f(F.col("x"), F.xxhash64(F.col("x.node"), F.lit(k)))
     firsts = F.array(F.min("x"), F.max("x"), other(F.min_by, 1), other(F.max_by, 1))
@@ -264,7 +272,7 @@ def similar_components(documents: DataFrame, id_column: str, text_column: str, s
         """(a, b) of the rows (x, y) whose texts are near copies."""
         ends = [f(F.col("x.node"), F.col("y.node")).alias(c) for f, c in ((F.least, "a"), (F.greatest, "b"))]
         met = pairs.filter(F.col("x.node") != F.col("y.node")).select(*ends).distinct().checkpoint()
-        asked = met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "hash"), "node")
+        asked = met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", F.col("least.hash").alias("hash")), "node")
         texts = held.join(asked.select("hash"), "hash", "left_semi").groupBy("hash").agg(F.first("text").alias("text")).join(asked, "hash")
         a, b = (texts.select(F.col("node").alias(c), F.col("text").alias(f"{c}_text")) for c in "ab")
         return met.join(a, "a").join(b, "b").filter(jaccard(F.col("a_text"), F.col("b_text")) >= similarity).select("a", "b")
@@ -281,13 +289,18 @@ def similar_components(documents: DataFrame, id_column: str, text_column: str, s
     last = connected_components(late.select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b"))).select(F.col("node").alias("part"), F.col("component").alias("root"))
     rooted = nodes.select("node", "least").join(near.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("component", "node").alias("part"))
     rooted = rooted.join(last, "part", "left").select("node", "least", F.coalesce("root", "part").alias("root"))
-    named = rooted.groupBy(F.col("root").alias("name")).agg(F.min("least").alias("component_id"))
-    rooted = rooted.join(named, F.col("root") == F.col("name")).select("node", "component_id")
-    return marked.select("doc_id", "node").join(rooted, "node").select("doc_id", "component_id")
+    named = rooted.groupBy(F.col("root").alias("name")).agg(F.min("least").alias("first"))
+    rooted = rooted.join(named, F.col("root") == F.col("name")).select("node", "first")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("hash") == F.col("first.hash"))
+    return marked.select("doc_id", "hash", "node").join(rooted, "node").select("doc_id", F.col("hash").alias("text_hash"), F.col("first.doc_id").alias("component_id"), stays.alias("stays"))
 
 
 def one_of_each(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The documents with all their columns, one of each component of near copies: that with the smallest id. Rows that repeat its id are one document."""
+    """The documents with all their columns, one of each component of near copies: that with the smallest id, and of several texts with this id one.
+
+    Rows that share an id and have texts of different components are different documents, and so are rows without an
+    id; rows that repeat both id and text are one. Texts are shuffled once, by the hashes of id and text."""
     found = similar_components(documents, id_column, text_column, similarity)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    return documents.join(stay, F.col(id_column).eqNullSafe(F.col("_stays")), "left_semi").dropDuplicates([id_column])
+    stay = found.filter("stays").select(F.xxhash64("doc_id").alias("s_id"), F.col("text_hash").alias("s_text")).distinct()
+    keyed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"), F.xxhash64(id_column).alias("_id"), F.xxhash64(text_column).alias("_text"))
+    return keyed.join(stay, (F.col("_id") == F.col("s_id")) & (F.col("_text") == F.col("s_text")), "left_semi").dropDuplicates(["_id", "_text"]).select("_row.*")

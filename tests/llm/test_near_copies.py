@@ -74,6 +74,17 @@ def test_no_link_is_missed_with_any_number_of_partitions(spark, partitions):
     assert found == {(a, b) for a in prints for b in prints if a < b and (a ^ b & ((1 << 64) - 1)).bit_count() >= 0 and ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 3}
 
 
+def test_thousands_of_probes_are_one_literal(spark, monkeypatch):
+    """A radius of three over 32 bits has 5,489 probes; the session must live on after their plan."""
+    values = [5, 5 ^ (0b111 << 3), 5 ^ (0b1111 << 40), -1]
+    prints = spark.createDataFrame([(v,) for v in values], "fp long")
+    monkeypatch.setattr(simhash, "plan_search", lambda *_: [(list(range(32)), 3)])
+    links = simhash.fingerprint_links(prints)
+    assert links._jdf.queryExecution().optimizedPlan().toString().count("named_struct") <= 2
+    assert [tuple(r) for r in links.collect()] == [(5, 5 ^ (0b111 << 3))]
+    assert spark.range(100).repartition(3).count() == 100
+
+
 def test_allocation_is_the_cheapest():
     costs = [[5.0, 9.0, 30.0], [1.0, 20.0, 40.0], [7.0, 8.0, 9.0]]
     every = [(sum(c[t] for c, t in zip(costs, ts) if t >= 0), ts) for ts in np.ndindex(4, 4, 4) if sum(ts) - 3 == 1 for ts in [tuple(t - 1 for t in ts)]]
@@ -87,6 +98,15 @@ def test_one_of_each_group_stays_whole(documents):
     assert sorted(r["doc_id"] for r in found.collect()) == [3, 7, 9] and found.columns == df.columns
 
 
+def test_one_of_each_keeps_different_texts_that_share_an_id(documents):
+    """Null and repeated ids are no reason to lose a text, nor to keep one that is represented elsewhere."""
+    long = " ".join(f"word{k}" for k in range(60))
+    rows = [(None, "first text without an id", "en", "a"), (None, "second text without an id", "en", "a"), (None, "second text without an id", "en", "b")]
+    rows += [(4, "one text of number four", "en", "a"), (4, "another text of this number", "en", "a"), (4, long, "en", "a"), (2, long + " end", "en", "a"), (9, "another text of this number", "en", "c")]
+    found = sorted((r["doc_id"] or 0, r["text"]) for r in simhash.one_of_each(documents(rows, clashes=True)).collect())
+    assert found == [(0, "first text without an id"), (0, "second text without an id"), (2, long + " end"), (4, "another text of this number"), (4, "one text of number four")]
+
+
 def test_one_of_each_finds_what_exact_similarity_links(documents):
     """Copies with a few words changed, whose fingerprints are often over three bits apart, against all pairs' Jaccard of five-word shingles."""
     rows = near_texts()
@@ -104,6 +124,8 @@ def test_one_of_each_finds_what_exact_similarity_links(documents):
 
 def test_empty_tables(spark, documents):
     assert simhash.near_duplicates(documents([])).count() == 0
+    assert sum(len(list(bits)) > 20 and t > 0 for bits, t in simhash.plan_search(spark.createDataFrame([], "fp long"))) == 0
+    assert simhash.near_duplicates(documents([(1, "one text", "en", "a")])).count() == 1  # the session lives on
     assert lattice.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
