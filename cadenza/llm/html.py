@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.components import checkpoint_dir
-from cadenza.llm.simhash import FACTORS, SHIFTS, WIDE, shingle_hashes
+from cadenza.llm.simhash import minima, shingle_set
 
 MIN_PAGES, MIN_SHARE, VALUES, HELD_HASHES = 5, 0.25, 15, 1_000_000
 
@@ -223,11 +223,7 @@ def host_hash(host: str, subtree: int) -> int:
 
 def page_values(text: str) -> list[int]:
     """MinHash values of a text's shingles, signed."""
-    own = np.unique(shingle_hashes(text, WIDE))
-    least = np.full(VALUES, (1 << 64) - 1, dtype=np.uint64)
-    for k in range(0, len(own), 4096):
-        np.minimum(least, (own[k : k + 4096, None] * FACTORS[:VALUES] + SHIFTS[:VALUES]).min(axis=0), out=least)
-    return least.view(np.int64).tolist()
+    return minima(shingle_set(text), VALUES).astype(np.int64).tolist()
 
 
 def page_subtrees(pages: DataFrame) -> DataFrame:

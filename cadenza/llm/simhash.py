@@ -41,12 +41,17 @@ from cadenza.llm.components import checkpoint_dir, connected_components
 SHINGLE, SEED, BITS = 3, 42, 64
 #: Near copies: words in a shingle, similarity, MinHash values in a band, bands, and the most that 128 bits of two texts' values may differ.
 WIDE, SIMILARITY, ROWS, BANDS, UNLIKE = 5, 0.8, 6, 24, 32
-FACTORS, SHIFTS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, ROWS * BANDS), dtype=np.uint64) | np.array([[1], [0]], dtype=np.uint64)
+FACTORS, SHIFTS = np.random.default_rng(SEED).integers(0, 1 << 32, (2, ROWS * BANDS), dtype=np.uint32) | np.array([[1], [0]], dtype=np.uint32)
+PLACES = np.random.default_rng(SEED + 1).integers(0, 1 << 64, WIDE + 1, dtype=np.uint64) | np.uint64(1)
+
+
+def lower_words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and white space only
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
-    """The hash of each shingle of a text, repeats included; none without a word."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and white space only
+    """The XXH64 of each shingle of a text, repeats included; none without a word."""
+    words = lower_words(text)
     if not words:
         return np.empty(0, dtype="<u8")
     joined = b" ".join(words)
@@ -57,6 +62,22 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return np.fromiter((digest(joined[s:e], SEED) for s, e in spans), dtype="<u8", count=n)
 
 
+def shingle_set(text: str | None) -> np.ndarray:
+    """A hash of each different WIDE-word shingle, in order; none without a word. Words are hashed once each, and a
+    shingle's hash is a mixed sum of its words' hashes, each times its place's factor."""
+    words = lower_words(text)
+    if not words:
+        return np.empty(0, dtype=np.uint64)
+    known = {w: xxhash.xxh64_intdigest(w, SEED) for w in set(words)}
+    own = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+    n, width = max(1, len(words) - WIDE + 1), min(WIDE, len(words))
+    told = np.full(n, width, dtype=np.uint64)
+    for k in range(width):
+        told += own[k : k + n] * PLACES[k]
+    told = (told ^ told >> np.uint64(32)) * PLACES[WIDE]
+    return np.unique(told ^ told >> np.uint64(29))
+
+
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     """The unsigned fingerprint of one text."""
     hashes = shingle_hashes(text, width)
@@ -210,16 +231,26 @@ def near_duplicates(documents: DataFrame, *, id_column: str = "doc_id", text_col
     return marked.join(rooted, F.col("fp") == F.col("of")).select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def minima(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The first n MinHash values of a set of hashes: the least of their upper halves under each of n mixings; all ones for an empty set."""
+    least, halves = np.full(n, (1 << 32) - 1, dtype=np.uint32), (hashes >> np.uint64(32)).astype(np.uint32)
+    room = np.empty((256, n), dtype=np.uint32)
+    for k in range(0, len(halves), 256):
+        some = halves[k : k + 256, None]
+        mixed = np.multiply(some, FACTORS[:n], out=room[: len(some)])
+        mixed += SHIFTS[:n]
+        np.minimum(least, mixed.min(axis=0), out=least)
+    return least
+
+
 def sketch(text: str | None) -> tuple[int, int, int, np.ndarray]:
     """A text's shingle set as a hash, 128 bits of its MinHash values as two integers, and its bands' keys; all signed."""
-    own = np.unique(shingle_hashes(text, WIDE))
+    own = shingle_set(text)
     node = xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63)
     if not len(own):
         return node, 0, 0, np.empty(0, dtype=np.int64)
-    least = np.full(ROWS * BANDS, (1 << 64) - 1, dtype=np.uint64)
-    for k in range(0, len(own), 1024):
-        np.minimum(least, (own[k : k + 1024, None] * FACTORS + SHIFTS).min(axis=0), out=least)
-    left, right = np.packbits((least[: 2 * BITS] & np.uint64(1)).astype(np.uint8)).view(np.int64).tolist()
+    least = minima(own, ROWS * BANDS)
+    left, right = np.packbits((least[: 2 * BITS] & np.uint32(1)).astype(np.uint8)).view(np.int64).tolist()
     keys = np.array([xxhash.xxh64_intdigest(x.tobytes(), k) - (1 << 63) for k, x in enumerate(least.reshape(BANDS, ROWS))], dtype=np.int64)
     return node, left, right, keys
 
@@ -233,20 +264,19 @@ def sketch_column(text: Column) -> Column:
     return F.pandas_udf(told, "node long, left long, right long, keys array<long>")(text)
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """The part of two texts' different shingles that both have."""
+def shingle_column(text: Column) -> Column:
+    """The different shingle hashes of each text."""
+
+    def told(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(x).view(np.int64) for x in texts], index=texts.index, dtype=object)
 
-    def told(left: pd.Series, right: pd.Series) -> pd.Series:
-        found, last, own = [], None, None
-        for x, y in zip(left, right, strict=True):
-            if own is None or x != last:
-                last, own = x, np.unique(shingle_hashes(x, WIDE))
-            other = np.unique(shingle_hashes(y, WIDE))
-            both = len(np.intersect1d(own, other, assume_unique=True))
-            found.append(both / max(len(own) + len(other) - both, 1))
-        return pd.Series(found, index=left.index, dtype="float64")
+    return F.pandas_udf(told, "array<long>")(text)
 
-    return F.pandas_udf(told, "double")(a, b)
+
+def jaccard(a: Column, b: Column) -> Column:
+    """The part of two sets of shingles that is in both."""
+    both = F.size(F.array_intersect(a, b))
+    return both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1))
 
 
 def alike(a: str, b: str) -> Column:
@@ -268,14 +298,16 @@ def similar_components(documents: DataFrame, id_column: str, text_column: str, s
     buckets = spread.groupBy("key").agg(firsts.alias("firsts")).filter(F.col("firsts")[0]["node"] < F.col("firsts")[1]["node"])
     crowded = spread.join(buckets.withColumnRenamed("key", "of"), F.col("key") == F.col("of")).select("key", "x", "firsts").checkpoint()
 
+    asked = crowded.select("x.node").distinct().join(nodes.select("node", F.col("least.hash").alias("hash")), "node")
+    texts = held.join(asked.select("hash"), "hash", "left_semi").groupBy("hash").agg(F.first("text").alias("text")).join(asked, "hash")
+    sets = texts.select("node", shingle_column(F.col("text")).alias("set")).checkpoint()  # of texts that share a bucket with others
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         """(a, b) of the rows (x, y) whose texts are near copies."""
         ends = [f(F.col("x.node"), F.col("y.node")).alias(c) for f, c in ((F.least, "a"), (F.greatest, "b"))]
-        met = pairs.filter(F.col("x.node") != F.col("y.node")).select(*ends).distinct().checkpoint()
-        asked = met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", F.col("least.hash").alias("hash")), "node")
-        texts = held.join(asked.select("hash"), "hash", "left_semi").groupBy("hash").agg(F.first("text").alias("text")).join(asked, "hash")
-        a, b = (texts.select(F.col("node").alias(c), F.col("text").alias(f"{c}_text")) for c in "ab")
-        return met.join(a, "a").join(b, "b").filter(jaccard(F.col("a_text"), F.col("b_text")) >= similarity).select("a", "b")
+        met = pairs.filter(F.col("x.node") != F.col("y.node")).select(*ends).distinct()
+        a, b = (sets.select(F.col("node").alias(c), F.col("set").alias(f"{c}_set")) for c in "ab")
+        return met.join(a, "a").join(b, "b").filter(jaccard(F.col("a_set"), F.col("b_set")) >= similarity).select("a", "b")
 
     near = connected_components(confirmed(crowded.select("x", F.explode("firsts").alias("y")).filter(alike("x", "y"))))
     joined = crowded.select("key", "x").join(near, F.col("x.node") == F.col("node"), "left").select("key", "x", F.coalesce("component", "x.node").alias("part")).checkpoint()
