@@ -5,6 +5,9 @@ near the threshold are counted again exactly, so the sketch's error never decide
 more is cross-site boilerplate: its first document (smallest id) keeps it, all others lose it, so no text that is
 said anywhere is lost as a whole.
 
+A line may hold a third of all rows, so joins by line are dealt by line and a salt: the rows of a line go to `salts`
+tasks, and the short list of spread lines to each of them.
+
 Defined results: a null text stays null and has no lines; lines without a word are never boilerplate; a null site is
 a site of its own; rows with the same id share the same decision; a null id is never first unless all ids are
 null; an empty table gives an empty result.
@@ -12,10 +15,13 @@ null; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm import text as T
+from cadenza.llm.components import checkpoint_dir
+
+SALTS = 16
 
 
 def document_lines(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", site_column: str = "source") -> DataFrame:
@@ -27,27 +33,39 @@ def document_lines(documents: DataFrame, id_column: str = "doc_id", text_column:
     return held.filter(F.col("line").isNotNull())
 
 
-def spread_lines(lines: DataFrame, *, min_sites: int = 5, lg_k: int = 12, margin: float = 0.3) -> DataFrame:
+def salted(rows: DataFrame, of: Column, salts: int) -> DataFrame:
+    """The rows with a salt by the hash of a column that differs between rows of one line."""
+    return rows.withColumn("salt", F.pmod(F.xxhash64(of), F.lit(salts)))
+
+
+def for_each_salt(rows: DataFrame, salts: int) -> DataFrame:
+    """Each row once for every salt."""
+    return rows.withColumn("s_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+
+
+def spread_lines(lines: DataFrame, *, min_sites: int = 5, lg_k: int = 12, margin: float = 0.3, salts: int = SALTS) -> DataFrame:
     """(line, first): the lines on min_sites sites or more, and the smallest doc_id that has each.
 
-    margin: estimates within this part of the threshold are checked; the sketch's standard error is 1.04 / sqrt(2 ** lg_k).
-    """
+    margin: estimates within this part of the threshold are checked; the sketch's standard error is 1.04 / sqrt(2 ** lg_k)."""
     sketched = lines.groupBy("line").agg(F.hll_sketch_agg("site", lg_k).alias("sketch"), F.min("doc_id").alias("first"))
     guessed = sketched.select("line", "first", F.hll_sketch_estimate("sketch").alias("guess")).filter(F.col("guess") >= min_sites * (1 - margin))
-    near = guessed.filter(F.col("guess") <= min_sites * (1 + margin))
-    exact = lines.join(near.select("line"), "line", "left_semi").groupBy("line").agg(F.count_distinct("site").alias("sites"), F.min("doc_id").alias("first"))
+    near = guessed.filter(F.col("guess") <= min_sites * (1 + margin)).select(F.col("line").alias("s_line"), "first")
+    asked = salted(lines, F.struct("doc_id", "pos"), salts).join(for_each_salt(near, salts), (F.col("line") == F.col("s_line")) & (F.col("salt") == F.col("s_salt")))
+    sites = asked.groupBy("line", "site").agg(F.first("first").alias("first")).groupBy("line").agg(F.count(F.lit(1)).alias("sites"), F.first("first").alias("first"))
     far = guessed.filter(F.col("guess") > min_sites * (1 + margin)).select("line", "first")
-    return far.unionByName(exact.filter(F.col("sites") >= min_sites).select("line", "first"))
+    return far.unionByName(sites.filter(F.col("sites") >= min_sites).select("line", "first"))
 
 
-def without_spread_lines(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", site_column: str = "source", **options) -> DataFrame:
+def without_spread_lines(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", site_column: str = "source", salts: int = SALTS, **options) -> DataFrame:
     """The documents with all their columns, texts without other documents' boilerplate lines, and the list of places removed as `_removed`.
 
-    Only line hashes are shuffled to find them. Texts are cut along the sorted places, in time linear in the text.
-    """
-    lines = document_lines(documents, id_column, text_column, site_column)
-    spread = spread_lines(lines, **options).withColumnRenamed("line", "s_line")
-    gone = lines.join(spread, F.col("line") == F.col("s_line")).filter(~F.col("doc_id").eqNullSafe(F.col("first")))
+    Lines are hashed once and kept as a table of hashes in the shared folder; only that is shuffled to find them. Texts
+    are cut along the sorted places, in time linear in the text."""
+    checkpoint_dir(documents.sparkSession)
+    lines = document_lines(documents, id_column, text_column, site_column).checkpoint()
+    spread = for_each_salt(spread_lines(lines, salts=salts, **options).withColumnRenamed("line", "s_line"), salts)
+    held = salted(lines, F.struct("doc_id", "pos"), salts)
+    gone = held.join(spread, (F.col("line") == F.col("s_line")) & (F.col("salt") == F.col("s_salt"))).filter(~F.col("doc_id").eqNullSafe(F.col("first")))
     gone = gone.groupBy(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_text")).agg(F.sort_array(F.collect_set("pos")).alias("_removed"))
     keyed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"), F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
     told = keyed.join(gone, F.col("_id").eqNullSafe(F.col("g_id")) & (F.xxhash64("_text") == F.col("g_text")), "left")
