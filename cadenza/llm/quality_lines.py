@@ -2,7 +2,9 @@
 
 Base figures come from each text alone. The method's own verdict counts, for every host and normalised line, the
 distinct documents (by text: exact copies of a text count once) that have the line; lines in more than
-`max_documents` of a host are removed, and documents that keep less than `min_kept` of their words are rejected.
+`least_documents` of a host, and in more than `share` of its documents with a line, are removed, and documents that keep
+less than `min_kept` of their words are rejected. The share makes the limit grow with the host: on a host of a million
+documents a usual line is in fifty of them, and says nothing.
 
 Defined results: a null text has no words and fails the base rules; a null host is a host of its own; lines without
 a word are never counted; repeated rows each get their own result; an empty table gives an empty result.
@@ -14,8 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm import text as T
+from cadenza.llm.components import checkpoint_dir
+from cadenza.llm.line_dedup import SALTS, for_each_salt, salted
 
 GRAM = 5
+#: A line goes if it is in more documents of a host than this, and in more than this part of them.
+LEAST_DOCUMENTS, SHARE = 5, 0.05
 
 
 def repeat_words(hashes: Column) -> Column:
@@ -56,22 +62,27 @@ def base_figures(documents: DataFrame, id_column: str = "doc_id", text_column: s
 
 
 def host_lines(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source") -> DataFrame:
-    """host, text_hash and, for each line with a word, its place, hash and number of words."""
+    """host, hashes of id and text and, for each line with a word, its place, hash and number of words."""
     text = F.coalesce(F.col(text_column), F.lit(""))
     told = F.transform(F.filter(F.split(text, "\n"), T.has_word), lambda x: F.struct(T.line_hash(x).alias("line"), F.size(T.words(x)).alias("n")))
-    held = documents.select(F.col(host_column).alias("host"), F.xxhash64(text).alias("text_hash"), F.posexplode(told).alias("pos", "l"))
-    return held.select("host", "text_hash", "pos", "l.line", "l.n")
+    held = documents.select(F.col(host_column).alias("host"), F.xxhash64(id_column).alias("id_hash"), F.xxhash64(text).alias("text_hash"), F.posexplode(told).alias("pos", "l"))
+    return held.select("host", "id_hash", "text_hash", "pos", "l.line", "l.n")
 
 
-def line_frequency_rules(documents: DataFrame, *, max_documents: int = 50, min_kept: float = 0.5, **columns: str) -> DataFrame:
+def line_frequency_rules(documents: DataFrame, *, least_documents: int = LEAST_DOCUMENTS, share: float = SHARE, min_kept: float = 0.5, salts: int = SALTS, **columns: str) -> DataFrame:
     """doc_id, the base figures, n_removed_words, base_failed and kept for every row of documents.
 
-    What a text loses depends on its host and its words alone, so it is summed once for each host and text.
-    """
-    lines = host_lines(documents, **columns)
-    frequent = lines.groupBy("host", "line").agg(F.count_distinct("text_hash").alias("n_docs")).filter(F.col("n_docs") > max_documents)
-    frequent = frequent.select(F.col("host").alias("f_host"), F.col("line").alias("f_line"))
-    lost = lines.join(frequent, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("line") == F.col("f_line")))
+    What a text loses depends on its host and its words alone, so it is summed once for each host and text. Lines are
+    hashed once and kept as a table of hashes in the shared folder; a line may hold a third of its rows, so the join by
+    line is dealt by a salt too."""
+    checkpoint_dir(documents.sparkSession)
+    lines = host_lines(documents, **columns).checkpoint()
+    hosts = lines.groupBy("host", "text_hash").agg(F.lit(1).alias("one")).groupBy(F.col("host").alias("h_host")).agg(F.count(F.lit(1)).alias("n_texts"))
+    counted = lines.groupBy("host", "line").agg(F.count_distinct("text_hash").alias("n_docs")).filter(F.col("n_docs") > least_documents)
+    frequent = counted.join(hosts, F.col("host").eqNullSafe(F.col("h_host"))).filter(F.col("n_docs") > F.lit(float(share)) * F.col("n_texts"))
+    frequent = for_each_salt(frequent.select(F.col("host").alias("f_host"), F.col("line").alias("f_line")), salts)
+    held = salted(lines, F.struct("id_hash", "pos"), salts)
+    lost = held.join(frequent, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("line") == F.col("f_line")) & (F.col("salt") == F.col("s_salt")))
     lost = lost.groupBy("host", "text_hash", "pos").agg(F.max("n").alias("n")).groupBy("host", "text_hash").agg(F.sum("n").alias("n_removed_words"))
     lost = lost.select(F.col("host").alias("l_host"), F.col("text_hash").alias("l_text"), "n_removed_words")
     base = base_figures(documents, **columns)
@@ -95,7 +106,9 @@ covered as (select doc_id, count(distinct p) as n from (select g.doc_id, unnest(
 l as (select doc_id, source, text, line, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) as norm,
              len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda w: w <> '')) as n
       from (select doc_id, source, text, unnest(lines) as line from d) x),
-frequent as (select source, norm from l group by source, norm having count(distinct text) > 50),
+hosts as (select source, count(distinct text) as n_texts from l group by source),
+counted as (select source, norm, count(distinct text) as n_docs from l group by source, norm),
+frequent as (select c.source, norm from counted c join hosts h on c.source is not distinct from h.source where n_docs > 5 and n_docs > 0.05::double * n_texts),
 lost as (select l.doc_id, sum(l.n) as n from l join frequent f on l.norm = f.norm and l.source is not distinct from f.source group by l.doc_id),
 m as (
   select d.doc_id, cast(len(words) as bigint) as n_words,
