@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza import constants as C
@@ -14,15 +14,18 @@ def best_efforts(telemetry: DataFrame, distances=C.PR_DISTANCES) -> DataFrame:
     null where the activity is too short.
 
     For each start the first sample that is far enough is looked for in a range frame over reversed distance, so the
-    search is a window and not a join; distance is made to never fall first."""
+    search is a window and not a join; distance is made to never fall first. The frames of all distances are in one
+    order, so the samples are sorted once."""
     far = F.max("distance").over(so_far())
     held = telemetry.select("activity_id", "seq", F.col("t").cast("double").alias("t"), far.alias("d"))
     held = held.withColumns({"t0": F.lag("t").over(order()), "d0": F.lag("d").over(order())})
-    found = None
-    for label, meters in distances:
-        reversed_range = f"partition by activity_id order by -d range between unbounded preceding and {float(meters)!r}D preceding"
-        one = held.withColumns({"label": F.lit(label), "meters": F.lit(float(meters)), "to": F.expr(f"min(struct(seq, t, d, t0, d0)) over ({reversed_range})")})
-        found = one if found is None else found.unionByName(one)
+
+    def first_beyond(meters: float) -> Column:
+        return F.expr(f"min(struct(seq, t, d, t0, d0)) over (partition by activity_id order by -d range between unbounded preceding and {float(meters)!r}D preceding)")
+
+    held = held.withColumns({f"beyond_{k}": first_beyond(m) for k, (_, m) in enumerate(distances)})
+    beyond = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(float(m)).alias("meters"), F.col(f"beyond_{k}").alias("to")) for k, (label, m) in enumerate(distances)])
+    found = held.select("activity_id", "t", "d", F.explode(beyond).alias("f")).select("activity_id", "t", "d", "f.*")
     span = F.col("to.d") - F.col("to.d0")
     share = F.when(span > 0, (F.col("d") + F.col("meters") - F.col("to.d0")) / span).otherwise(0.0)
     elapsed = F.col("to.t0") + share * (F.col("to.t") - F.col("to.t0")) - F.col("t")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadenza import constants as C
+from cadenza.operators.steps import order
 
 
 def cuts(key: np.ndarray, least: float) -> list[int]:
@@ -31,16 +34,27 @@ def cuts(key: np.ndarray, least: float) -> list[int]:
 
 
 def with_split(stepped: DataFrame, key: str, least: float) -> DataFrame:
-    """The steps with split_id, counted from 0 in each activity; steps after the last cut are left out."""
-    schema = T.StructType([*stepped.schema.fields, T.StructField("split_id", T.LongType())])
+    """The steps with split_id, counted from 0 in each activity; steps after the last cut are left out.
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq", kind="stable")
-        ends = cuts(rows[key].to_numpy(float), least)
-        whole = rows.iloc[: ends[-1] if ends else 0]
-        return whole.assign(split_id=np.searchsorted(np.array(ends, dtype=np.int64), np.arange(len(whole)), side="right").astype(np.int64))
-
-    return stepped.groupBy("activity_id").applyInPandas(one, schema)
+    An activity is walked in batches, in the order that the window leaves it in; what a task holds is a batch and the
+    steps of the split that is still open."""
+    schema = T.StructType([*stepped.schema.fields, T.StructField("split_id", T.LongType())])
+    names = [f.name for f in stepped.schema.fields]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_, split, last = None, 0, 0
+        for rows in batches:
+            if not (np.diff(rows["_i"].to_numpy(), prepend=last) == 1).all():
+                raise RuntimeError("an activity's steps came out of their order")
+            last = int(rows["_i"].iloc[-1])
+            rows = rows if open_ is None or open_.empty else pd.concat([open_, rows])
+            ends = np.array(cuts(rows[key].to_numpy(float), least), dtype=np.int64)
+            whole, open_ = rows.iloc[: ends[-1] if len(ends) else 0], rows.iloc[ends[-1] if len(ends) else 0 :]
+            if len(whole):
+                yield whole[names].assign(split_id=split + np.searchsorted(ends, np.arange(len(whole)), side="right").astype(np.int64))
+            split += len(ends)
+
+    return stepped.withColumn("_i", F.row_number().over(order())).groupBy("activity_id").applyInPandas(walk, schema)
 
 
 def split_means(divided: DataFrame) -> DataFrame:
