@@ -40,12 +40,20 @@ def equi_depth_curve(rated: DataFrame, per_bucket: int = 250, by: Sequence[str]
 
 
 def by_intensity(splits: DataFrame, ranges: Sequence[tuple[float, float]]) -> DataFrame:
-    """The splits of each heart-rate range, edges included, with its name; ranges may overlap."""
+    """The splits of each heart-rate range, edges included, with its name; ranges may overlap. A range without splits has no rows; see in_range."""
     hr = F.col("heartrate")
     named = F.array(*[F.when(hr.between(a, b), F.lit(f"{a:g}-{b:g}")) for a, b in ranges])
     return splits.withColumn("intensity", F.explode(F.array_compact(named)))
 
 
+def in_range(splits: DataFrame, heartrate_range: tuple[float, float]) -> DataFrame:
+    """The splits of one heart-rate range, edges included. Raises if there are none."""
+    found = splits.filter(F.col("heartrate").between(*heartrate_range))
+    if found.isEmpty():
+        raise ValueError(f"no split has a heart rate from {heartrate_range[0]:g} to {heartrate_range[1]:g}")
+    return found
+
+
 def predict_nearest(points: DataFrame, curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The points with gap = speed x the mean of the bucket whose centre is nearest; ties go to the lower bucket.
 
@@ -62,13 +70,18 @@ def predict_nearest(points: DataFrame, curve: DataFrame, by: Sequence[str] = ())
     return own.withColumn("gap", F.col("speed") * F.col("_factor")).drop("_g", "_cell", "_low", "_high", "_factor", "_bucket")
 
 
-def equi_width_curve(points: DataFrame, width: float = 20.0, value: str = "adjuster") -> DataFrame:
+def equi_width_curve(points: DataFrame, width: float = 20.0, value: str = "adjuster", weight: str | None = None) -> DataFrame:
     """Bins [low, low + width) of gradient between the multiples of width around all points, the empty ones too, with
-    null mean and count 0. A point exactly on the last edge is in no bin."""
-    x = F.col("elevation_gain")
+    null mean and count 0. A point exactly on the last edge is in no bin. A point counts as often as its weight says."""
+    x, v, n = F.col("elevation_gain"), F.col(value), F.lit(1) if weight is None else F.col(weight)
     span = points.agg(F.floor(F.min(x) / width).alias("first"), F.ceil(F.max(x) / width).alias("end"))  # one row
     bins = span.filter(F.col("end") > F.col("first")).select(F.explode(F.sequence("first", F.col("end") - 1)).alias("bin"))
-    told = points.groupBy(F.floor(x / width).alias("bin")).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count(F.lit(1)).alias("count"))
+    if weight is None:
+        mean, std = F.avg(v), F.stddev_pop(v)
+    else:
+        mean = F.sum(v * n) / F.sum(F.when(v.isNotNull(), n))
+        std = F.sqrt(F.greatest(F.sum(v * v * n) / F.sum(F.when(v.isNotNull(), n)) - mean * mean, F.lit(0.0)))
+    told = points.groupBy(F.floor(x / width).alias("bin")).agg(mean.alias("mean"), std.alias("std"), F.sum(n).cast("long").alias("count"))
     dense = bins.join(told, "bin", "left")
     return dense.select(((F.col("bin") + 0.5) * width).alias("bin_center"), "mean", "std", F.coalesce("count", F.lit(0)).alias("count"))
 
@@ -97,9 +110,68 @@ def pair_counts(splits: DataFrame, tolerance: float = C.HR_TOLERANCE) -> DataFra
     return told.withColumn("n_pairs", F.col("n_splits") * F.col("n_flat"))
 
 
+def flat_speed_targets(splits: DataFrame, tolerance: float = C.HR_TOLERANCE, by: Sequence[str] = (), test_fifths: int = 1) -> DataFrame:
+    """The splits with part (`train` or `test`), y (the mean speed of the flat splits whose heart rate is within the
+    tolerance) and n (their number): the calibration pairs, summed for each split. Rows without flat splits are left out.
+
+    A flat split is in the test part for so many fifths of a hash of its keys, so parts are the same on every run.
+
+    Sums over a range of heart rates are differences of running sums at its two ends, so that the work grows with the
+    splits and not with the pairs. Running sums are made in cells of heart rate: cells' totals, of which there are as
+    many as heart rates have quarters of a beat, are summed in order, and rows only within their cell."""
+    hr, test = F.col("heartrate"), F.pmod(F.xxhash64(*KEYS), F.lit(5)) < test_fifths
+    nothing = {"y0": F.lit(0.0), "n0": F.lit(0), "y1": F.lit(0.0), "n1": F.lit(0)}
+    sums = {"y0": F.when(~test, F.col("speed")).otherwise(0.0), "n0": F.when(~test, 1).otherwise(0), "y1": F.when(test, F.col("speed")).otherwise(0.0), "n1": F.when(test, 1).otherwise(0)}
+    point = F.struct(*by, *KEYS, "speed", "elevation_gain", "heartrate").alias("split")
+    end = lambda at, kind: F.struct(at.alias("at"), F.lit(kind).alias("kind"))
+    flat = splits.filter(is_flat() & hr.isNotNull()).select(*by, hr.alias("at"), F.lit(0).alias("kind"), F.lit(None).alias("split"), *[c.alias(k) for k, c in sums.items()])
+    ends = splits.filter(hr.isNotNull()).select(*by, point, F.explode(F.array(end(hr - tolerance, -1), end(hr + tolerance, 1))).alias("e"))
+    ends = ends.select(*by, "e.at", "e.kind", "split", *[c.alias(k) for k, c in nothing.items()])
+    events = ends.unionByName(flat).withColumn("cell", F.floor(F.col("at") * 4))
+    before = Window.partitionBy(*by).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = events.groupBy(*by, "cell").agg(*[F.sum(k).alias(k) for k in sums]).select(*by, "cell", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"{k}_before") for k in sums])
+    inside = Window.partitionBy(*by, "cell").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    told = events.withColumns({k: F.sum(k).over(inside) for k in sums}).filter("split is not null").join(cells, [*by, "cell"])
+    told = told.groupBy("split").agg(*[F.sum(F.col("kind") * (F.col(k) + F.col(f"{k}_before"))).alias(k) for k in sums])
+    part = lambda name, k: F.struct(F.lit(name).alias("part"), F.try_divide(f"y{k}", f"n{k}").alias("y"), F.col(f"n{k}").alias("n"))
+    parts = F.filter(F.array(part("train", 0), part("test", 1)), lambda p: p["n"] > 0)
+    return told.select("split.*", F.explode(parts).alias("p")).select(*by, *KEYS, "speed", "elevation_gain", "heartrate", "p.*")
+
+
 def reliability_curve(predicted: DataFrame, bins: int = 20, by: Sequence[str] = ("part",)) -> DataFrame:
-    """Means of prediction and truth in bins of equal width over each part's predictions; the largest prediction is in no bin."""
-    p = F.col("prediction")
+    """Means of prediction and truth in bins of equal width over each part's predictions; the largest prediction is in no
+    bin. A row counts as often as its n says, as the pairs of which it is the mean would."""
+    p, n = F.col("prediction"), F.col("n")
     span = predicted.groupBy(*by).agg(F.min(p).alias("_low"), F.max(p).alias("_high"))
     placed = predicted.join(F.broadcast(span), list(by)).withColumn("bin", F.floor((p - F.col("_low")) / (F.col("_high") - F.col("_low")) * bins))
-    return placed.filter(F.col("bin") < bins).groupBy(*by, "bin").agg(F.avg(p).alias("mean_prediction"), F.avg("y").alias("mean_truth"), F.count(F.lit(1)).alias("count"))
+    mean = lambda c: F.sum(c * n) / F.sum(n)
+    return placed.filter(F.col("bin") < bins).groupBy(*by, "bin").agg(mean(p).alias("mean_prediction"), mean(F.col("y")).alias("mean_truth"), F.sum(n).cast("long").alias("count"))
+
+
+class NothingToLearn(ValueError):
+    """There is no row to train a model on."""
+
+
+class EfficiencyGap:
+    """fit, predict and curve by efficiency: heart rate by speed, in buckets of gradient."""
+
+    def __init__(self, per_bucket: int = 250):
+        self.per_bucket = per_bucket
+        self.buckets: DataFrame | None = None
+
+    def fit(self, splits: DataFrame) -> EfficiencyGap:
+        self.splits, self.buckets = splits, equi_depth_curve(with_efficiency(splits), self.per_bucket)
+        return self
+
+    def predict(self, points: DataFrame) -> DataFrame:
+        if self.buckets is None:
+            raise RuntimeError("fit the model first")
+        return predict_nearest(points, self.buckets)
+
+    def curve(self, heartrate_range: tuple[float, float] | None = None) -> DataFrame:
+        """The buckets, or those of the splits in one range of heart rates alone; raises if no split is in it."""
+        if self.buckets is None:
+            raise RuntimeError("fit the model first")
+        if heartrate_range is None:
+            return self.buckets.drop("bucket")
+        return EfficiencyGap(self.per_bucket).fit(in_range(self.splits, heartrate_range)).curve()

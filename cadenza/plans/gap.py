@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza import constants as C
 from cadenza.operators import curves as K
-from cadenza.operators.gbt import BoostedGap, split_parts
+from cadenza.operators.gbt import BoostedGap
 from cadenza.operators.smoothing import loess_curves
 from cadenza.operators.splits import greedy_splits, usable_splits
 from cadenza.operators.steps import steps
@@ -18,10 +20,30 @@ from cadenza.sources.activities import filter_streams
 MOST_SCALES = 5
 
 
+class GapModel(Protocol):
+    """What a model of adjusted pace has to do: learn from splits, tell points' adjusted speeds, and tell its curve."""
+
+    def fit(self, splits: DataFrame) -> GapModel: ...
+
+    def predict(self, points: DataFrame) -> DataFrame: ...
+
+    def curve(self, heartrate_range: tuple[float, float] | None = None) -> DataFrame: ...
+
+
 def dataset(telemetry: DataFrame, least_s: float = 10.0, warmup_s: float = C.WARMUP_S) -> DataFrame:
     return usable_splits(greedy_splits(steps(telemetry), least_s, warmup_s))
 
 
+def in_scale(start: object, end: object) -> Column:
+    """Whether an activity's date is in the range, open where None; undated ones are in every range."""
+    date, within = F.col("start_date"), F.lit(True)
+    if start is not None:
+        within = within & (date >= F.lit(start))
+    if end is not None:
+        within = within & (date <= F.lit(end))
+    return date.isNull() | within
+
+
 def valid_scales(scales: Sequence[tuple[str, object, object]]) -> None:
     """Raises unless there are one to five scales, each named and from no later than to."""
     if not 1 <= len(scales) <= MOST_SCALES:
@@ -37,33 +59,62 @@ def personal_curves(
     scales: Sequence[tuple[str, object, object]] = (("all", None, None),),
     *,
     sport_types: Sequence[str] = (),
+    intensities: Sequence[tuple[float, float]] = (),
     per_bucket: int = 250,
+    efficiency: bool = True,
     boosted: bool = True,
     references: bool = True,
-    smooth: bool = True,
-    least_s: float = 10.0,
-    warmup_s: float = C.WARMUP_S,
+    split: Callable[[DataFrame], DataFrame] = dataset,
+    model: Callable[[], GapModel] = BoostedGap,
+    smooth: Callable[[DataFrame], DataFrame] | None = loess_curves,
 ) -> DataFrame:
-    """(curve, bin_center, mean, std, count) of every scale's models and the published curves. Branches that aren't asked for are never planned, and a scale without training pairs has no boosted curve."""
+    """(curve, bin_center, mean, std, count) of every scale's models, of each intensity (range of heart rates) within it,
+    and of the published curves. Branches that aren't asked for are never planned.
+
+    Telemetry is split once, and a split is in each scale that its activity's date is in. A scale without training rows
+    has no boosted curve; an intensity without splits raises. Boosted curves are made at once, as the fit is: they are
+    some tens of rows each."""
     valid_scales(scales)
-    found: DataFrame | None = None
+    if not (efficiency or boosted or references):
+        raise ValueError("no curve is asked for")
+    within = [F.when(in_scale(start, end), F.lit(name)) for name, start, end in scales]
+    listed = filter_streams(activities, sport_types).withColumn("scale", F.array_compact(F.array(*within))).filter(F.size("scale") > 0).select("activity_id", "scale")
+    splits = split(telemetry.join(listed.select("activity_id"), "activity_id", "left_semi")).join(listed, "activity_id").withColumn("scale", F.explode("scale"))
+    splits = splits.select("scale", "activity_id", "split_id", "speed", "elevation_gain", "heartrate")
+    found: list[DataFrame] = []
 
-    def add(curve: DataFrame, name: str) -> None:
-        nonlocal found
-        told = curve.select(F.lit(name).alias("curve"), "bin_center", "mean", "std", F.col("count").cast("long").alias("count"))
-        found = told if found is None else found.unionByName(told)
+    def add(curves: DataFrame, name: Column) -> None:
+        found.append(curves.select(name.alias("curve"), "bin_center", "mean", "std", F.col("count").cast("long").alias("count")))
 
-    for name, start, end in scales:
-        chosen = filter_streams(activities, sport_types, start, end).select("activity_id")
-        splits = dataset(telemetry.join(chosen, "activity_id", "left_semi"), least_s, warmup_s)
-        add(K.equi_depth_curve(K.with_efficiency(splits), per_bucket), f"{name} efficiency")
-        if boosted:
-            pairs = split_parts(K.calibration_pairs(splits))
-            if not pairs.filter("part = 'train'").isEmpty():
-                add(K.equi_width_curve(BoostedGap().fit(pairs).predict(pairs.filter("part = 'test'"))), f"{name} boosted")
-    if smooth:
-        found = loess_curves(found)
-    return found.unionByName(C.reference_curves(telemetry.sparkSession)) if references else found
+    if efficiency:
+        add(K.equi_depth_curve(K.with_efficiency(splits, ["scale"]), per_bucket, ["scale"]), F.concat("scale", F.lit(" efficiency")))
+        if intensities:
+            strata = K.by_intensity(splits, intensities)
+            lacking = {(n, f"{a:g}-{b:g}") for n, _, _ in scales for a, b in intensities} - {tuple(r) for r in strata.select("scale", "intensity").distinct().collect()}  # of five scales at most
+            if lacking:
+                raise ValueError(f"no split in {sorted(lacking)}")
+            add(K.equi_depth_curve(K.with_efficiency(strata, ["scale", "intensity"]), per_bucket, ["scale", "intensity"]), F.concat("scale", F.lit(" efficiency "), "intensity"))
+    if boosted:
+        held = splits.persist()
+        try:
+            for name, _, _ in scales:
+                try:
+                    fitted = model().fit(held.filter(F.col("scale") == name).drop("scale"))
+                except K.NothingToLearn:
+                    continue
+                for heartrates in (None, *intensities):
+                    rows = fitted.curve(heartrates).select("bin_center", "mean", "std", "count")
+                    suffix = "" if heartrates is None else f" {heartrates[0]:g}-{heartrates[1]:g}"
+                    add(telemetry.sparkSession.createDataFrame(rows.collect(), rows.schema), F.lit(f"{name} boosted{suffix}"))
+        finally:
+            held.unpersist()
+    curves = reduce(DataFrame.unionByName, found) if found else None
+    if curves is not None and smooth is not None:
+        curves = smooth(curves)
+    if references:
+        published = C.reference_curves(telemetry.sparkSession)
+        curves = published if curves is None else curves.unionByName(published)
+    return curves
 
 
 def plot_band(curves: DataFrame) -> DataFrame:

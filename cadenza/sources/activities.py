@@ -106,11 +106,15 @@ def _even() -> Column:
 
 
 class TableSource:
-    """A source over two tables in any format that Spark reads: listing, many streams, one stream."""
+    """A source over a table of samples and one of activities: listing, many streams, one stream."""
 
-    def __init__(self, spark: SparkSession, telemetry: str, activities: str, format: str = "parquet"):
-        self.telemetry = spark.read.format(format).load(telemetry)
-        self.activities = spark.read.format(format).load(activities)
+    def __init__(self, telemetry: DataFrame, activities: DataFrame):
+        self.telemetry, self.activities = telemetry, activities
+
+    @classmethod
+    def load(cls, spark: SparkSession, telemetry: str, activities: str, format: str = "parquet") -> TableSource:
+        """From paths, in any format that Spark reads."""
+        return cls(*(spark.read.format(format).load(path) for path in (telemetry, activities)))
 
     def list_activities(self, sport_types: Sequence[str] = (), from_date: datetime | None = None, to_date: datetime | None = None) -> DataFrame:
         """Activities of the sports (all if none is named) between the dates, both included; open where None."""

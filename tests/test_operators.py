@@ -224,20 +224,64 @@ def test_texts_of_durations(spark):
     assert tuple(r) == ("word", "x", "k")
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_savgol_reproduces_polynomials(order):
+@pytest.mark.parametrize("degree", [1, 2, 3])
+def test_windows_reproduce_polynomials(degree):
     x = np.arange(60.0)
-    y = sum((k + 1) * (x / 10) ** k for k in range(order + 1))
-    assert np.allclose(savgol.savgol(y, x * 3, 40.0, order), y)
+    y = sum((k + 1) * (x / 10) ** k for k in range(degree + 1))
+    assert np.allclose(savgol.at_nearest_window(y, np.arange(60), 60, 13, degree), y)
+
+
+def plain_savgol(y, distance, window_m, degree=2):
+    """Each sample by a fit of its own."""
+    y, n = np.array(y, dtype=float), len(y)
+    there = np.isfinite(y)
+    if n < degree + 2 or there.sum() < 2:
+        return y
+    odd = lambda k: k + 1 - k % 2
+    gaps = np.diff(distance)
+    width = min(max(odd(int(np.rint(window_m / (np.median(gaps[gaps > 0]) if (gaps > 0).any() else 1.0)))), odd(degree + 2)), n - 1 + n % 2)
+    whole, half = np.interp(np.arange(n), np.flatnonzero(there), y[there]), width // 2
+    found = np.full(n, np.nan)
+    for i in np.flatnonzero(there):
+        c = min(max(i, half), n - 1 - half)
+        places = np.arange(c - half, c + half + 1)
+        found[i] = np.polyval(np.polyfit(places - c, whole[places], degree), i - c)
+    return found
 
 
-def test_savgol_of_short_and_missing_values():
-    assert savgol.savgol(np.array([1.0, 2.0, 3.0]), np.arange(3.0), 10).tolist() == [1.0, 2.0, 3.0]
-    y = np.arange(30.0)
-    y[[3, 4, 29]] = np.nan
-    found = savgol.savgol(y, np.arange(30.0), 7.0)
-    assert np.isnan(found[[3, 4, 29]]).all() and np.allclose(found[5:25], np.arange(5.0, 25.0))
-    assert [savgol.odd(n) for n in (0.5, 1.5, 2.5, 3.4, 4.0)] == [1, 3, 3, 3, 5]
+@pytest.mark.parametrize("block", [1, 64, 10_000])
+def test_savgol_is_the_same_in_blocks_of_any_size(spark, samples, block):
+    rng = np.random.default_rng(block)
+    runs = []
+    for n in (1, 3, 4, 5, 37, 400):
+        way = np.cumsum(rng.integers(0, 5, n)).astype(float)
+        y = np.where(rng.random(n) < 0.15, np.nan, 500 + np.cumsum(rng.normal(size=n)))
+        runs.append([(k, way[k], None if np.isnan(y[k]) else y[k], 100) for k in range(n)])
+    found = savgol.savgol_by_activity(samples(*runs), "altitude", "smooth", 40.0, block=block).orderBy("activity_id", "seq").toPandas()
+    for a, run in enumerate(runs):
+        own = found[found["activity_id"] == a]
+        wanted = plain_savgol([np.nan if r[2] is None else r[2] for r in run], np.array([r[1] for r in run]), 40.0)
+        assert own["seq"].tolist() == list(range(len(run)))
+        assert np.allclose(own["smooth"].to_numpy(float), wanted, equal_nan=True)
+
+
+def plain_loess(x, y, counts, fraction=0.4):
+    """Each bin by a fit of its own, over all bins."""
+    k, found = max(3, int(np.ceil(fraction * len(x)))), []
+    for i in range(len(x)):
+        away = np.abs(x - x[i])
+        weight = np.clip(1 - (away / np.sort(away)[k - 1]) ** 3, 0, None) ** 3 * counts
+        found.append(np.polyval(np.polyfit(x - x[i], y, 2, w=np.sqrt(weight)), 0.0))
+    return np.array(found)
+
+
+def test_loess_equals_fits_made_one_by_one():
+    rng = np.random.default_rng(8)
+    x = np.sort(rng.uniform(-350, 350, 60))
+    y, counts = 1 + x / 300 + rng.normal(size=60) / 10, rng.integers(1, 300, 60)
+    assert np.allclose(smoothing.loess(x, y, counts), plain_loess(x, y, counts))
+    tied = smoothing.loess(np.zeros(6), np.arange(6.0), np.array([1, 0, 0, 0, 0, 1]))
+    assert np.allclose(tied, smoothing.loess(np.zeros(6), np.arange(6.0), np.array([1, 0, 0, 0, 0, 1]))) and np.isfinite(tied).all()
 
 
 def test_loess_reproduces_parabolas_and_leaves_empty_bins():
@@ -264,33 +308,68 @@ def test_curve_smoothers_on_frames(spark):
         smoothing.loess_curves(curve, 0.0)
 
 
-def test_boosted_trees_learn_and_parts_are_stable(spark):
+def test_targets_are_the_pairs_summed(spark):
+    """For every split the mean flat speed and the number of its pairs, part by part, whatever the partitioning."""
+    df, _ = some_splits(spark, 40, 60)
+    df = df.withColumn("heartrate", F.round("heartrate")).unionByName(df.limit(3).withColumns({"heartrate": F.lit(None).cast("double"), "split_id": F.col("split_id") + 10_000}))
+    test = F.pmod(F.xxhash64("flat_activity", "flat_split"), F.lit(5)) < 1
+    pairs = curves.calibration_pairs_plain(df, 5.0).withColumn("part", F.when(test, "test").otherwise("train"))
+    wanted = {(r["activity_id"], r["split_id"], r["part"]): (r["y"], r["n"]) for r in pairs.groupBy("activity_id", "split_id", "part").agg(F.avg("y").alias("y"), F.count(F.lit(1)).alias("n")).collect()}
+    for rows in (df, df.repartition(7)):
+        found = {(r["activity_id"], r["split_id"], r["part"]): (r["y"], r["n"]) for r in curves.flat_speed_targets(rows, 5.0).collect()}
+        assert found.keys() == wanted.keys() and all(found[k] == pytest.approx(wanted[k]) for k in wanted)
+    by = curves.flat_speed_targets(df.withColumn("scale", F.explode(F.array(F.lit("a"), F.lit("b")))), 5.0, ["scale"])
+    assert by.filter("scale = 'b'").agg(F.sum("n")).first()[0] == sum(n for _, n in wanted.values()) == by.agg(F.sum("n")).first()[0] / 2
+    assert curves.flat_speed_targets(df.limit(0)).count() == 0
+
+
+def test_boosted_trees_learn(spark):
     df, _ = some_splits(spark, 40, 60)
-    pairs = gbt.split_parts(curves.calibration_pairs(df, 5.0))
-    again = gbt.split_parts(curves.calibration_pairs(df, 5.0).repartition(7))
-    key = ["activity_id", "split_id", "flat_activity", "flat_split", "part"]
-    assert sorted(map(tuple, pairs.select(*key).collect())) == sorted(map(tuple, again.select(*key).collect()))
-    share = pairs.filter("part = 'test'").count() / pairs.count()
+    targets = curves.flat_speed_targets(df, 5.0)
+    share = targets.filter("part = 'test'").agg(F.sum("n")).first()[0] / targets.agg(F.sum("n")).first()[0]
     assert 0.1 < share < 0.3
     with pytest.raises(RuntimeError):
-        gbt.BoostedGap().predict(pairs)
-    model = gbt.BoostedGap(rounds=3, depth=3).fit(pairs)
-    told = model.predict(pairs).agg(F.avg(F.abs(F.col("prediction") - F.col("y"))), F.avg(F.abs(F.col("y") - 10.0))).first()
+        gbt.BoostedGap().predict(targets)
+    with pytest.raises(curves.NothingToLearn):
+        gbt.BoostedGap().fit(df.filter("elevation_gain > 50"))
+    model = gbt.BoostedGap(rounds=3, depth=3).fit(df, 5.0)
+    told = model.predict(targets).agg(F.avg(F.abs(F.col("prediction") - F.col("y"))), F.avg(F.abs(F.col("y") - 10.0))).first()
     assert told[0] <= told[1] * 1.05
-    assert curves.reliability_curve(model.predict(pairs)).filter("bin >= 20").count() == 0
+    assert curves.reliability_curve(model.predict(targets)).filter("bin >= 20").count() == 0
+    whole, part = (c.agg(F.sum("count")).first()[0] for c in (model.curve(), model.curve((0.0, 150.0))))
+    assert 0 < part < whole
+
+
+def test_weighted_curves_equal_those_of_repeated_points(spark):
+    points = spark.createDataFrame([(float(k % 90), (k % 7) / 10 + 0.5, k % 4 + 1) for k in range(200)], "elevation_gain double, adjuster double, n long")
+    repeated = points.withColumn("_", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int")))).drop("_", "n")
+    a, b = (sorted(map(tuple, x.collect())) for x in (curves.equi_width_curve(points, weight="n"), curves.equi_width_curve(repeated)))
+    assert [r[0::3] for r in a] == [r[0::3] for r in b] and all(x == pytest.approx(y) for x, y in zip(a, b))
+
+
+@pytest.mark.parametrize("model", [lambda: curves.EfficiencyGap(20), lambda: gbt.BoostedGap(rounds=1, depth=1)])
+def test_an_empty_range_of_heart_rates_is_an_error(spark, model):
+    df, _ = some_splits(spark, 40, 60)
+    fitted = model().fit(df)
+    assert fitted.curve().columns == ["bin_center", "mean", "std", "count"] and fitted.predict(df).count() > 0
+    with pytest.raises(ValueError, match="500"):
+        fitted.curve((500.0, 600.0))
 
 
 def test_boosted_curves_are_whole_by_default(samples):
-    """The reference's use case fits both models unless told not to, the boosted one with 100 rounds of depth 6."""
+    """Both models are fitted unless told not to, the boosted one with 100 rounds of depth 6."""
     model = gbt.BoostedGap().regressor
     assert (model.getMaxIter(), model.getMaxDepth(), model.getStepSize()) == (100, 6, 0.3)
     climb = lambda t: 0.1 * (t // 100 % 5) - 0.2
     run = [(t, 3 * t, sum(3 * climb(k) for k in range(t)), 140 + t % 7) for t in range(600)]
     df = samples(run)
     listed = df.select("activity_id", F.lit("Run").alias("sport_type"), F.lit("2024-01-01").alias("start_date")).distinct()
-    found = gap.personal_curves(df, listed, per_bucket=10, references=False, warmup_s=0.0).collect()
-    assert {r["curve"] for r in found} == {"all efficiency", "all boosted"}
+    split = lambda t: gap.dataset(t, warmup_s=0.0)
+    found = gap.personal_curves(df, listed, per_bucket=10, references=False, split=split, model=lambda: gbt.BoostedGap(rounds=5), intensities=[(140.0, 144.0)]).collect()
+    assert {r["curve"] for r in found} == {"all efficiency", "all boosted", "all efficiency 140-144", "all boosted 140-144"}
     assert sum(r["count"] for r in found if r["curve"] == "all boosted") > 0
+    with pytest.raises(ValueError):
+        gap.personal_curves(df, listed, split=split, boosted=False, intensities=[(10.0, 20.0)])
     found = gap.personal_curves(df, listed, per_bucket=10, references=False).collect()  # all of it is warm-up
     assert found == []
 
@@ -337,7 +416,7 @@ def test_time_scales_are_checked():
 def test_table_source_and_csv(spark, tmp_path):
     S.telemetry_from_events(spark.createDataFrame([(k, k % 3, float(k)) for k in range(60)], "event_id long, user_id long, value double")).write.parquet(f"{tmp_path}/t")
     spark.createDataFrame([(0, "Run", "2024-01-03", True), (1, "Ride", "2024-01-02", True), (2, "Run", None, True), (3, "Run", "2024-01-01", False)], "activity_id long, sport_type string, start_date string, has_heartrate boolean").write.parquet(f"{tmp_path}/a")
-    source = S.TableSource(spark, f"{tmp_path}/t", f"{tmp_path}/a")
+    source = S.TableSource.load(spark, f"{tmp_path}/t", f"{tmp_path}/a")
     assert sorted(r[0] for r in source.list_activities(["Run"]).collect()) == [0, 2]
     assert sorted(r[0] for r in source.list_activities([], "2024-01-01", "2024-01-02").collect()) == [1]
     assert {r[0] for r in source.fetch_streams(max_activities=1).select("activity_id").collect()} == {0}
