@@ -37,6 +37,30 @@ splits as (select w.activity_id, w.k as split_id, avg(speed) as speed, avg(eleva
   bool_or(dd = 0 or dt = 0) as poisoned from walk w join b on b.activity_id = w.activity_id and b.i >= w.i and b.i < w.j group by w.activity_id, w.k)"""
 
 
+def savgol(rows: str, to: str = "smoothed", window_m: float = 500.0) -> str:
+    """The rows with their altitude smoothed: the value at each sample's place of the parabola through the nearest full window, from its moments."""
+    odd = lambda n: f"({n} + 1 - ({n}) % 2)"
+    return f"""ix as (select *, row_number() over w - 1 as i, count(*) over (partition by activity_id) as n, distance - lag(distance) over w as gap from {rows} window w as (partition by activity_id order by seq)),
+sp as (select activity_id, cast(round_even({window_m!r}::double / coalesce(median(gap) filter (where gap > 0), 1.0), 0) as bigint) as wanted from ix group by activity_id),
+ce as (select *, cast((width - 1) / 2 as bigint) as m, least(greatest(i, cast((width - 1) / 2 as bigint)), n - 1 - cast((width - 1) / 2 as bigint)) as centre from (select ix.*, least(greatest({odd('wanted')}, 5), n - 1 + n % 2) as width from ix join sp using (activity_id)) x),
+mo as (select c.activity_id, c.seq, any_value(c.m)::double as m, any_value(c.i - c.centre)::double as o, sum(b.altitude) as s0, sum((b.i - c.centre) * b.altitude) as s1, sum((b.i - c.centre) * (b.i - c.centre) * b.altitude) as s2
+  from ce c join ce b on b.activity_id = c.activity_id and b.i between c.centre - c.m and c.centre + c.m group by 1, 2),
+pq as (select *, 2 * m + 1 as k, m * (m + 1) * (2 * m + 1) / 3 as q2, m * (m + 1) * (2 * m + 1) / 3 * (3 * m * m + 3 * m - 1) / 5 as q4 from mo),
+pa as (select *, (k * s2 - q2 * s0) / (k * q4 - q2 * q2) as a2 from pq),
+{to} as (select r.* replace (case when ce.n < 4 then r.altitude else (s0 - a2 * q2) / k + s1 / q2 * o + a2 * o * o end as altitude) from {rows} r join ce using (activity_id, seq) left join pa using (activity_id, seq))"""
+
+
+def loess(rows: str) -> str:
+    """Curves smoothed by the closed form of weighted parabolas, mean and std alike."""
+    level = lambda b: f"({b}0 * (m2 * m4 - m3 * m3) - m1 * ({b}1 * m4 - m3 * {b}2) + m2 * ({b}1 * m3 - m2 * {b}2)) / (m0 * (m2 * m4 - m3 * m3) - m1 * (m1 * m4 - m3 * m2) + m2 * (m1 * m3 - m2 * m2))"
+    return f"""li as (select *, row_number() over (partition by curve order by bin_center) as i, count(*) over (partition by curve) as n from {rows}),
+lp as (select a.curve, a.i, a.n, b.bin_center - a.bin_center as dx, b.mean as y, b.std as z, b.count as c, row_number() over (partition by a.curve, a.i order by abs(b.bin_center - a.bin_center)) as r from li a join li b on a.curve = b.curve),
+lh as (select *, max(case when r <= greatest(3, ceil(0.4::double * n)) then abs(dx) end) over (partition by curve, i) as h from lp),
+lw as (select curve, i, dx / h as u, y, z, pow(1 - pow(least(abs(dx) / h, 1), 3), 3) * c as w from lh),
+lm as (select curve, i, sum(w) as m0, sum(w * u) as m1, sum(w * u ** 2) as m2, sum(w * u ** 3) as m3, sum(w * u ** 4) as m4, sum(w * y) as y0, sum(w * u * y) as y1, sum(w * u * u * y) as y2, sum(w * z) as z0, sum(w * u * z) as z1, sum(w * u * u * z) as z2 from lw group by curve, i),
+smooth as (select li.curve, bin_center, case when n <= 3 then mean else {level('y')} end as mean, case when n <= 3 then std else {level('z')} end as std, count from li join lm using (curve, i))"""
+
+
 SPLITS = f"{TELE}, {STEPS}, {greedy('t', 'select * from steps where t >= 900', 10)}"
 USABLE = f"{SPLITS}, u as (select activity_id, split_id, speed, elevation_gain, heartrate from splits where not mixed and not poisoned and elevation_gain between -350 and 350 and speed between 3 and 22)"
 
@@ -58,8 +82,8 @@ PREDICT = f"""{CURVE}, near as (select u.activity_id, u.split_id, u.speed, u.ele
   from u cross join curve c group by u.activity_id, u.split_id, u.speed, u.elevation_gain)"""
 REFERENCE = "ref as (select * from (values " + ", ".join(f"('{n}', {x!r}::double, {y!r}::double, 0.0::double, 1::bigint)" for n, ys in C.REFERENCE_CURVES.items() for x, y in zip(C.KNOTS, ys, strict=True)) + ") v(curve, bin_center, mean, std, count))"
 NAMED = f"{CURVE}, {REFERENCE}, named as (select 'personal' as curve, bin_center, mean, std, count from curve)"
-RACE = f"""{TELE},
-alt as (select activity_id, seq, t, distance, heartrate, {rolling('altitude', 60)} as altitude from tele),
+ROLLED = f"{TELE}, alt as (select activity_id, seq, t, distance, heartrate, {rolling('altitude', 60)} as altitude from tele)"
+RACE = f"""{ROLLED},
 d as (select *, cast(t - lag(t) over w as double) as dt, distance - lag(distance) over w as dd, altitude - lag(altitude) over w as da from alt window w as (partition by activity_id order by seq)),
 g as (select *, coalesce({MOVING}, false) as moving, case when dd >= 0.1 then da / dd * 100.0 else 0.0 end * 10.0 as gradient from d where dt is not null),
 f as (select *, {factor_sql('gradient')} as factor, case when {MOVING} then 1000.0::double / least(greatest(case when dt > 0 then dd / dt else 0 end, {3.0 / 3.6!r}::double), {20.0 / 3.6!r}::double) end as pace0 from g),
@@ -79,16 +103,16 @@ def band(g: str) -> str:
 BANDS = [b for b, _, _ in C.GRADIENT_BANDS]
 
 
-def efforts() -> str:
+def efforts(distances=C.SHORT_DISTANCES, to: str = "select") -> str:
     arms = []
-    for label, m in C.SHORT_DISTANCES:
+    for label, m in distances:
         arms.append(f"select *, '{label}' as label, {m!r}::double as meters, min(struct_pack(seq := seq, t := t, d := d, t0 := t0, d0 := d0)) over (partition by activity_id order by -d range between unbounded preceding and {m!r}::double preceding) as x from c")
-    return f"""{TELE},
-c0 as (select activity_id, seq, cast(t as double) as t, max(distance) over (partition by activity_id order by seq rows unbounded preceding) as d from tele),
+    told = "select activity_id, label, meters, round(min(case when elapsed > 0 then elapsed end), 6) as best_s from e group by activity_id, label, meters"
+    told = f"\n{told}" if to == "select" else f", {to} as ({told})"
+    return f"""c0 as (select activity_id, seq, cast(t as double) as t, max(distance) over (partition by activity_id order by seq rows unbounded preceding) as d from tele),
 c as (select *, lag(t) over w as t0, lag(d) over w as d0 from c0 window w as (partition by activity_id order by seq)),
 r as ({' union all '.join(arms)}),
-e as (select activity_id, label, meters, x.t0 + case when x.d - x.d0 > 0 then (d + meters - x.d0) / (x.d - x.d0) else 0 end * (x.t - x.t0) - t as elapsed from r)
-select activity_id, label, meters, round(min(case when elapsed > 0 then elapsed end), 6) as best_s from e group by activity_id, label, meters"""
+e as (select activity_id, label, meters, x.t0 + case when x.d - x.d0 > 0 then (d + meters - x.d0) / (x.d - x.d0) else 0 end * (x.t - x.t0) - t as elapsed from r){told}"""
 
 
 def cumulative(value: str) -> str:
@@ -129,9 +153,17 @@ select u.activity_id, u.split_id, f.activity_id as flat_activity, f.split_id as
 BANDED = f"""{TELE}, {STEPS}, bs as (select activity_id, {band('(case when dd > 0 then da / dd * 100.0 else 0.0 end)')} as band, dt from steps where {MOVING} and dd > 0),
 bn as (select unnest({BANDS!r}) as band), ids as (select distinct activity_id from steps),
 bt as (select i.activity_id, n.band, coalesce(sum(dt), 0.0) as seconds from ids i cross join bn n left join bs on bs.activity_id = i.activity_id and bs.band = n.band group by 1, 2)"""
+RACE_SAVGOL = RACE.replace("from alt window", "from smoothed window").replace(f"{ROLLED},", f"{ROLLED}, {savgol('alt')},")
 PROGRESS_STEPS = f"""{TELE}, {STEPS}, g as (select *, coalesce({MOVING} and dd > 0, false) as moving, case when dd > 0 then da / dd * 100.0 else 0.0 end as pct from steps),
 h as (select *, {band('pct')} as band, {power_sql('(case when dt > 0 then dd / dt else 0 end)', '(pct * 10.0)', MASS)} as watts from g), {DATED}"""
 
+PROGRESS = f"""select d.activity_id, d.start_date as date, d.sport_type, round(sum(case when moving then dd else 0 end), 6) as distance_m, round(sum(case when moving and da > 0 then da else 0 end), 6) as elevation_gain_m, sum(case when moving then dt else 0 end) as moving_seconds,
+{', '.join(f"sum(case when moving and band = '{b}' then dt else 0 end) as {b}" for b in BANDS)}, round(avg(case when moving and heartrate > 0 then watts end) / avg(case when moving and heartrate > 0 then heartrate end), 6) as power_to_hr
+from h join dated d using (activity_id) where d.start_date is not null group by 1, 2, 3"""
+PAYLOADS = """o as (select cast(o_custkey as bigint) as activity_id, row_number() over (partition by o_custkey order by o_orderkey) as k, count(*) over (partition by o_custkey) as n, cast(round(o_totalprice * 100) as bigint) as cents from orders)"""
+SCALED = f"""{USABLE}, {DATED}, us as (select u.*, s.scale from u join dated d using (activity_id) join (values ('all'), ('two days')) s(scale) on scale = 'all' or d.start_date is null or d.start_date between date '2024-01-01' and date '2024-01-02'),
+ut as (select *, scale || ' efficiency' as curve from us union all select us.*, scale || ' efficiency ' || intensity from us join (values ('120-140', 120, 140), ('135-160', 135, 160)) v(intensity, a, b) on heartrate between a and b)"""
+
 SQL: dict[str, str] = {
     "history_summary": f"with {LISTING} select min(start_date) as first_date, max(start_date) as last_date, count(distinct activity_id) as n_activities from listing",
     "workout_list": f"""with {TELE}, {DATED}, w as (select activity_id, arg_max(t, seq) - arg_min(t, seq) as elapsed, arg_max(distance, seq) - arg_min(distance, seq) as distance, count(*) as samples, 'Activity ' || activity_id::varchar as label from tele group by activity_id)
@@ -157,10 +189,13 @@ n >= 2 and time_s = min(time_s) over () as best_time_s, n >= 2 and avg_pace_s_pe
     "race_plot_axes": f"""with {RACE} select activity_id, seq, round(time_s / 60.0, 6) as time_min, round(distance_m / 1000.0, 6) as distance_km, round(3600.0 / gap_pace_s_per_km, 6) as gap_speed_kmh,
 bool_or(gap_pace_s_per_km is not null) over w as has_gap_pace_s_per_km, bool_or(heartrate is not null) over w as has_heartrate, bool_or(power_w is not null) over w as has_power_w, bool_or(power_to_hr is not null) over w as has_power_to_hr from series window w as (partition by activity_id)""",
     "gradient_bands": f"with {BANDED} select activity_id, band, seconds, round(seconds / nullif(sum(seconds) over (partition by activity_id), 0) * 100.0, 6) as pct from bt",
-    "progress_sums": f"""with {PROGRESS_STEPS} select d.activity_id, d.start_date as date, d.sport_type, round(sum(case when moving then dd else 0 end), 6) as distance_m, round(sum(case when moving and da > 0 then da else 0 end), 6) as elevation_gain_m, sum(case when moving then dt else 0 end) as moving_seconds,
-{', '.join(f"sum(case when moving and band = '{b}' then dt else 0 end) as {b}" for b in BANDS)}, round(avg(case when moving and heartrate > 0 then watts end) / avg(case when moving and heartrate > 0 then heartrate end), 6) as power_to_hr
-from h join dated d using (activity_id) where d.start_date is not null group by 1, 2, 3""",
-    "best_efforts": f"with {efforts()}",
+    "progress_sums": f"with {PROGRESS_STEPS} {PROGRESS}",
+    "activity_progress": f"""with {ROLLED}, {savgol('alt')}, {PROGRESS_STEPS.replace(TELE + ', ', '').replace('from tele window', 'from smoothed window')}, p as ({PROGRESS}), {efforts(C.PR_DISTANCES, 'best')}
+select p.*, {', '.join(f"max(best_s) filter (where label = '{label}') as best_{label.lower().replace(' ', '_')}" for label, _ in C.PR_DISTANCES)} from p left join best using (activity_id) group by all""",
+    "savgol_altitude": f"with {TELE}, {savgol('tele')} select tele.*, round(s.altitude, 6) as smooth from tele join smoothed s using (activity_id, seq)",
+    "race_series_savgol": f"with {RACE_SAVGOL} select activity_id, seq, round(time_s, 3) as time_s, round(distance_m, 3) as distance_m, round(gap_pace_s_per_km, 3) as gap_pace_s_per_km, round(heartrate, 3) as heartrate, round(power_w, 3) as power_w, round(power_to_hr, 3) as power_to_hr from series",
+    "race_metrics_savgol": f"with {RACE_SAVGOL} select metrics.*, label, ord from metrics join (values (2, 'Second', 0), (0, 'Activity 0', 1), (3, 'Activity 3', 2)) v(activity_id, label, ord) using (activity_id)",
+    "best_efforts": f"with {TELE},\n{efforts()}",
     "record_progression": f"""with {SUMS}, p as (select sport_type as label, date, best_1km as value, min(best_1km) over (partition by sport_type order by date, best_1km rows between unbounded preceding and 1 preceding) as prev from s where best_1km is not null)
 select label, date, value from p where prev is null or value < prev""",
     "current_records": f"with {SUMS}, x as (select sport_type as label, arg_min(date, struct_pack(v := best_1km, a := activity_id)) filter (where best_1km is not null) as date, min(best_1km) as value from s group by 1) select * from x",
@@ -184,6 +219,20 @@ ui as (select u.*, intensity from u join ranges on heartrate between a and b), {
     "efficiency_predict": f"with recursive {PREDICT} select activity_id, split_id, round(speed * factor, 6) as gap from near",
     "calibration_pairs": PAIRS.replace("with ", "with recursive ", 1),
     "calibration_pairs_bucketed": PAIRS.replace("with ", "with recursive ", 1),
+    "flat_speed_targets": f"""with recursive {USABLE} select u.activity_id, u.split_id, round(avg(f.speed), 6) as y, count(*) as n from u join u f on f.elevation_gain > -10 and f.elevation_gain < 10 and abs(f.heartrate - u.heartrate) <= 3.0 group by 1, 2""",
+    "loess_curve": f"with recursive {NAMED}, {loess('named')} select curve, round(bin_center, 6) as bin_center, round(mean, 6) as mean, round(std, 6) as std, count from smooth",
+    "gap_efficiency_curves": f"""with recursive {SCALED}, {efficiency('ut', 'curve').replace('curve as (select curve, bucket', 'buckets as (select curve, bucket')}, {loess('buckets')}, {REFERENCE}, every as (select * from smooth union all select * from ref)
+select curve, round(bin_center, 6) as bin_center, round(mean, 6) as mean, round(std, 6) as std, count from every""",
+    "listed_activities": f"with {LISTING} select * from listing where activity_id % 3 <> 0 and sport_type = 'TrailRun' and start_date between date '1996-01-01' and date '1997-12-31'",
+    "fetched_streams": f"with {TELE}, {DATED}, l as (select * from dated order by start_date desc nulls last, activity_id limit 2) select tele.* replace (round(distance, 6) as distance), sport_type, start_date from tele join l using (activity_id)",
+    "single_stream": f"with {TELE} select * from tele where activity_id = 3",
+    "decoded_streams": f"with {PAYLOADS} select activity_id, k - 1 as seq, k * 2 as t, k * 5.5::double as distance, cast(cents % 900 as double) as altitude, case when cents % 7 <> 0 then cast(120 + cents % 60 as double) end as heartrate from o where activity_id % 10 <> 0",
+    "mismatched_streams": f"with {PAYLOADS} select distinct activity_id, cast(n as int) as n_times, cast(n - 1 as int) as n_heartrates from o where activity_id % 10 = 0",
+    "remote_streams": f"with {LISTING}, l as (select activity_id as i from listing order by start_date desc nulls last, activity_id limit 200) select i as activity_id, cast(case when i % 7 = 1 then -1 else i % 4 end as int) as n, case when i % 7 = 1 then 'KeyError: ' || chr(39) || 'stream ' || i || chr(39) end as error from l",
+    "saved_summary": f"with {SUMS} select cast(year(date) as int) as year, round(sum(distance_m), 3) as distance_m from s group by 1",
+    "pace_clocks": f"with {SUMS} select activity_id, cast(trunc(elevation_gain_m * 1000) as bigint) as climb_ms, cast(trunc(best_1km * 1000) as bigint) as best_ms from s",
+    "series_colours": "select n_nationkey, case when n_nationkey % 4 = 3 then n_name else 'rgba(' || (c // 65536) || ',' || (c // 256 % 256) || ',' || (c % 256) || ',0.25)' end as colour from (select *, cast(n_nationkey * 700001 % 16777216 as bigint) as c from nation) x",
+    "region_words": "select r_regionkey, en as word_en, case when r_name = 'ASIA' then 'Asie' else en end as word_fr, en as word_de from (select *, case r_name when 'ASIA' then 'Asia' when 'EUROPE' then 'Europe' else r_name end as en from region) x",
     "pair_counts": f"""with recursive {USABLE}, c as (select floor(heartrate / 3.0) * 3.0 as hr_from, count(*) as n_splits, count(*) filter (where elevation_gain > -10 and elevation_gain < 10) as n_flat from u group by 1)
 select cast(hr_from as double) as hr_from, n_splits, n_flat, n_splits * n_flat as n_pairs from c""",
     "equi_width_curve": f"""with recursive {PREDICT}, a as (select elevation_gain as x, speed * factor / speed as adjuster from near), span as (select cast(floor(min(x) / 20) as bigint) as first, cast(ceil(max(x) / 20) as bigint) as last from a),
@@ -205,8 +254,8 @@ def _dates_as_text(sql: str, *columns: str) -> str:
 
 for _names, _columns in (
     (("history_summary",), ("first_date", "last_date")),
-    (("workout_list", "workout_dates", "stream_filter", "latest_activities"), ("start_date",)),
-    (("progress_sums", "record_progression", "current_records"), ("date",)),
+    (("workout_list", "workout_dates", "stream_filter", "latest_activities", "listed_activities", "fetched_streams"), ("start_date",)),
+    (("progress_sums", "activity_progress", "record_progression", "current_records"), ("date",)),
     (("annual_distance", "annual_elevation", "avg_gradient_week", "avg_gradient_month", "power_hr_weekly", "power_hr_monthly", "gradient_map_week", "gradient_map_month"), ("x",)),
 ):
     for _name in _names:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 from functools import wraps
@@ -14,17 +15,20 @@ from cadenza.functions import running as R
 from cadenza.operators import curves as K
 from cadenza.operators import records, seasons, splits, steps
 from cadenza.operators.ranks import exact_median
-from cadenza.operators.gbt import BoostedGap, split_parts
+from cadenza.operators.gbt import BoostedGap
 from cadenza.operators.savgol import savgol_by_activity
 from cadenza.operators.smoothing import loess_curves, rolling_mean_curve
 from cadenza.plans import gap, progress, races
 from cadenza.sources import activities as S
+from cadenza.sources.remote import fetch_streams
+from cadenza.sources.saved import saved
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 MASS = 70.0
 #: Without Savitzky-Golay, so that SQL can say it too.
 ROLLING = races.Smoothing(altitude=races.Filter(60.0))
+METRICS = ("distance_km", "elevation_gain_m", "time_s", "avg_pace_s_per_km", "avg_gap_pace_s_per_km", "avg_power_w")
 RANGES = ((120.0, 140.0), (135.0, 160.0), (160.0, 180.0))
 
 
@@ -171,7 +175,7 @@ def race_series(spark, d):
 @query
 def race_metrics(spark, d):
     found = races.race_metrics(races.race_steps(telemetry(spark, d), MASS, ROLLING))
-    return rounded(found, "distance_km", "elevation_gain_m", "time_s", "avg_pace_s_per_km", "avg_gap_pace_s_per_km", "avg_power_w")
+    return rounded(found, *METRICS)
 
 
 @query
@@ -182,7 +186,14 @@ def race_best_flags(spark, d):
 @query
 def race_metrics_savgol(spark, d):
     metrics, _ = races.compare_races(telemetry(spark, d), [(2, "Second"), (0, None), (3, None)], MASS)
-    return metrics
+    return rounded(metrics, *METRICS)
+
+
+@query
+def race_series_savgol(spark, d):
+    """The whole filter chain over all activities."""
+    found = races.race_series(races.race_steps(telemetry(spark, d), MASS))
+    return rounded(found, "time_s", "distance_m", "gap_pace_s_per_km", "heartrate", "power_w", "power_to_hr", places=3)
 
 
 @query
@@ -194,7 +205,7 @@ def race_plot_axes(spark, d):
 
 @query
 def savgol_altitude(spark, d):
-    return savgol_by_activity(telemetry(spark, d), "altitude", "smooth", 500.0)
+    return rounded(savgol_by_activity(telemetry(spark, d), "altitude", "smooth", 500.0), "smooth")
 
 
 # --- gradient bands and progress
@@ -211,8 +222,12 @@ def gradient_bands(spark, d):
 
 @query
 def activity_progress(spark, d):
+    """With the smoothed altitude, and each best effort in a column of its own."""
     t = telemetry(spark, d)
-    return progress.activity_progress(t, dated(t), MASS)
+    found = progress.activity_progress(t, dated(t), MASS)
+    efforts = {label: "best_" + label.lower().replace(" ", "_") for label, _ in C.PR_DISTANCES}
+    found = found.withColumns({name: F.try_element_at("best_efforts", F.lit(label)) for label, name in efforts.items()}).drop("best_efforts")
+    return rounded(found, "distance_m", "elevation_gain_m", "power_to_hr", *efforts.values())
 
 
 @query
@@ -350,14 +365,20 @@ def efficiency_predict(spark, d):
 
 @query
 def calibration_pairs(spark, d):
-    found = K.calibration_pairs_plain(usable(spark, d))
+    found = K.calibration_pairs(usable(spark, d))
     return rounded(found.select("activity_id", "split_id", "flat_activity", "flat_split", "y"), "y")
 
 
 @query
 def calibration_pairs_bucketed(spark, d):
-    found = K.calibration_pairs(usable(spark, d))
-    return rounded(found.select("activity_id", "split_id", "flat_activity", "flat_split", "y"), "y")
+    return calibration_pairs(spark, d)
+
+
+@query
+def flat_speed_targets(spark, d):
+    """Both parts of each split together: the mean flat speed beside it, and how many flat splits that is of."""
+    told = K.flat_speed_targets(usable(spark, d)).groupBy("activity_id", "split_id").agg((F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("y"), F.sum("n").alias("n"))
+    return rounded(told, "y")
 
 
 @query
@@ -399,26 +420,127 @@ def curve_export(spark, d):
 
 @query
 def loess_curve(spark, d):
-    return loess_curves(named_curve(spark, d))
+    return rounded(loess_curves(named_curve(spark, d)), "bin_center", "mean", "std")
+
+
+SCALES = (("all", None, None), ("two days", date(2024, 1, 1), date(2024, 1, 2)))
 
 
 @query
 def gap_curves(spark, d):
     t = telemetry(spark, d)
-    scales = [("all", None, None), ("two days", date(2024, 1, 1), date(2024, 1, 2))]
-    return gap.personal_curves(t, dated(t), scales, per_bucket=50)
+    return gap.personal_curves(t, dated(t), SCALES, per_bucket=50)
 
 
-def boosted(spark, d):
-    pairs = split_parts(K.calibration_pairs(usable(spark, d))).cache()
-    return BoostedGap().fit(pairs).predict(pairs)
+@query
+def gap_efficiency_curves(spark, d):
+    """The curves that SQL can say too: efficiency in both scales and two intensities, smoothed, and the published ones."""
+    t = telemetry(spark, d)
+    strata = RANGES[:2] if not usable(spark, d).isEmpty() else ()
+    return rounded(gap.personal_curves(t, dated(t), SCALES, intensities=strata, per_bucket=50, boosted=False), "bin_center", "mean", "std")
 
 
 @query
 def gbt_gap_curve(spark, d):
-    return K.equi_width_curve(boosted(spark, d).filter("part = 'test'"))
+    return BoostedGap().fit(usable(spark, d)).curve()
 
 
 @query
 def reliability_curve(spark, d):
-    return K.reliability_curve(boosted(spark, d))
+    targets = K.flat_speed_targets(usable(spark, d))
+    return K.reliability_curve(BoostedGap().fit_targets(targets).predict(targets))
+
+
+# --- sources
+
+
+def source(spark, d):
+    """The derived tables as a source; every third activity of the list has no heart rate."""
+    return S.TableSource(telemetry(spark, d), listing(spark, d).withColumn("has_heartrate", F.col("activity_id") % 3 != 0))
+
+
+@query
+def listed_activities(spark, d):
+    return source(spark, d).list_activities(["TrailRun"], date(1996, 1, 1), date(1997, 12, 31))
+
+
+@query
+def fetched_streams(spark, d):
+    """Samples of the two latest activities."""
+    t = telemetry(spark, d)
+    found = S.TableSource(t, dated(t)).fetch_streams(max_activities=2)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+@query
+def single_stream(spark, d):
+    return source(spark, d).fetch_single_stream(3)
+
+
+def payloads(spark, d):
+    """Parallel arrays as a provider sends them, one row for each customer's orders; every tenth has an array cut short."""
+    o = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    rows = table(spark, d, "orders").select("o_custkey", o.alias("k"), S.cents(F.col("o_totalprice")).alias("cents"))
+    in_order = F.array_sort(F.collect_list(F.struct("k", "cents")))
+    told = rows.groupBy(F.col("o_custkey").cast("long").alias("activity_id")).agg(in_order.alias("s"))
+    of = lambda f: F.transform("s", f)
+    arrays = {"time": of(lambda x: (x["k"] * 2).cast("long")), "distance": of(lambda x: x["k"] * 5.5), "altitude": of(lambda x: (x["cents"] % 900).cast("double")), "heartrate": of(lambda x: F.when(x["cents"] % 7 != 0, (120 + x["cents"] % 60).cast("double")))}
+    told = told.withColumns(arrays).drop("s")
+    return told.withColumn("heartrate", F.when(F.col("activity_id") % 10 == 0, F.slice("heartrate", 1, F.size("heartrate") - 1)).otherwise(F.col("heartrate")))
+
+
+@query
+def decoded_streams(spark, d):
+    return S.decode_streams(payloads(spark, d))
+
+
+@query
+def mismatched_streams(spark, d):
+    return S.mismatched_streams(payloads(spark, d)).select("activity_id", F.size("time").alias("n_times"), F.size("heartrate").alias("n_heartrates"))
+
+
+@query
+def remote_streams(spark, d):
+    """Fetched in tasks from a provider that fails for every seventh activity."""
+
+    def provider(i, kinds, resolution):
+        if i % 7 == 1:
+            raise KeyError(f"stream {i}")
+        return {k: [float(j) for j in range(i % 4)] for k in kinds}
+
+    found = fetch_streams(listing(spark, d), provider, max_activities=200, throttle_s=0.0, tasks=4)
+    return found.select("activity_id", F.coalesce(F.size("time"), F.lit(-1)).alias("n"), "error")
+
+
+@query
+def saved_summary(spark, d):
+    """Season totals, made and kept under their parameters the first time and read from there."""
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/cadenza-saved"
+    make = lambda: summaries(spark, d).groupBy(F.year("date").alias("year")).agg(F.round(F.sum("distance_m"), 3).alias("distance_m"))
+    return [saved(spark, folder, make, query="season totals", tables=d, run=uuid.uuid4().hex) for _ in range(2)][1]
+
+
+# --- texts
+
+
+@query
+def pace_clocks(spark, d):
+    """Seconds as a point of time, told in milliseconds; none for a missing pace."""
+    s = summaries(spark, d)
+    return s.select("activity_id", F.unix_millis(R.as_clock(F.col("elevation_gain_m"))).alias("climb_ms"), F.unix_millis(R.as_clock(F.col("best_1km"))).alias("best_ms"))
+
+
+@query
+def series_colours(spark, d):
+    """Translucent colours; what isn't a colour code stays."""
+    n = F.col("n_nationkey")
+    code = F.concat(F.lit("#"), F.lpad(F.hex((n * 700001) % 16777216), 6, "0"))
+    return table(spark, d, "nation").select("n_nationkey", R.rgba(F.when(n % 4 == 3, F.col("n_name")).otherwise(code), 0.25).alias("colour"))
+
+
+@query
+def region_words(spark, d):
+    """Words by language, with English and then the key itself as fallback."""
+    words = {"en": {"ASIA": "Asia", "EUROPE": "Europe"}, "fr": {"ASIA": "Asie"}}
+    texts = F.create_map(*[x for lang, own in words.items() for x in (F.lit(lang), F.create_map(*[F.lit(y) for kv in own.items() for y in kv]))])
+    return table(spark, d, "region").select("r_regionkey", *[R.translated(texts, F.lit(lang), F.col("r_name")).alias(f"word_{lang}") for lang in ("en", "fr", "de")])
