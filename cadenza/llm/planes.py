@@ -1,12 +1,12 @@
 """Token ids in binary files of shuffled planes.
 
 Documents are dealt by ranges of their ids, sorted, encoded where they then are, and written as one file for each
-range. A file holds blocks of BLOCK ids; a block's ids are transposed into byte planes (or bit planes), and each
+range, or several if it holds many ids: a file's size, and what a task keeps of it, is bounded whatever the input. A file holds blocks of BLOCK ids; a block's ids are transposed into byte planes (or bit planes), and each
 plane is compressed with zstandard on its own. After the blocks come the documents' ids and lengths, and an index
 that has each block's place and planes, so that a reader fetches any block by itself and holds one at a time.
 
 A file is written under a name of its own attempt and renamed when it is whole, so lost and repeated tasks leave
-one file for each range. Files go to the folder that the caller names, which must be shared; pyarrow's file systems
+one file of each name. Files go to the folder that the caller names, which must be shared; pyarrow's file systems
 open it. Only one row for each file reaches the driver.
 
 Layout, integers little-endian: magic; planes of block 0, 1, ...; documents (zstandard: a byte for each id that is
@@ -40,6 +40,8 @@ from cadenza.llm.components import checkpoint_dir
 MAGIC = b"PLANES01"
 BLOCK = 1 << 16
 TRAILER = 6 * 8 + len(MAGIC)
+#: A file's ids, but for its last document's, and documents at most.
+FILE_IDS, FILE_DOCS = 1 << 27, 1 << 20
 #: Pieces of text that a worker keeps encoded, and the longest of them in bytes.
 KEPT, KEPT_BYTES = 600_000, 40
 #: Characters of text that are encoded together, and words that go to the model in one text.
@@ -190,8 +192,9 @@ class TextEncoder:
             ids = np.array(e.ids, dtype="<u4")
             raw, places = ids.tobytes(), (4 * (self.ends[ids].nonzero()[0] + 1)).tolist()
             own = words[k * RUN : (k + 1) * RUN]
+            if len(own) != len(places):
+                raise ValueError("the tokenizer left a word without its end")
             self.known.update((w, raw[a:b]) for w, a, b in zip(own, [0, *places], places, strict=False))
-            assert len(own) == len(places), "a word's end is missing"
 
     def _learn(self, new: list[bytes]) -> None:
         """Takes up the ids of pieces that aren't known."""
@@ -243,9 +246,21 @@ def text_encoder(path: str) -> TextEncoder:
 
 
 def write_planes(
-    documents: DataFrame, folder: str, tokenizer_path: str, *, end_id: int = 2, id_column: str = "doc_id", text_column: str = "text", files: int | None = None, bits: int = 8
+    documents: DataFrame,
+    folder: str,
+    tokenizer_path: str,
+    *,
+    end_id: int = 2,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    files: int | None = None,
+    file_ids: int = FILE_IDS,
+    file_docs: int = FILE_DOCS,
+    bits: int = 8,
 ) -> list[dict]:
-    """Writes the documents and returns one entry for each file, in order: file, n_docs, n_ids and start (ids in earlier files)."""
+    """Writes the documents and returns one entry for each file, in order: file, n_docs, n_ids and start (ids in earlier files).
+
+    files: ranges of ids that are written side by side. A range starts another file after file_ids ids or file_docs documents."""
     spark = documents.sparkSession
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     held = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
@@ -253,26 +268,37 @@ def write_planes(
     end = np.array([end_id], dtype="<u4")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, writer, out = text_encoder(tokenizer_path), None, None
+        encoder, writer, out, draft, k = text_encoder(tokenizer_path), None, None, "", 0
         store, top = fs.FileSystem.from_uri(folder)
         number = TaskContext.get().partitionId()
-        name, draft = f"{top}/part-{number:06d}.planes", f"{top}/.draft-{number:06d}-{uuid.uuid4().hex}"
+
+        def finished() -> pd.DataFrame:
+            writer.close()
+            out.close()
+            name = f"part-{number:06d}-{k:05d}.planes"
+            if store.get_file_info(f"{top}/{name}").type == fs.FileType.NotFound:
+                store.move(draft, f"{top}/{name}")
+            else:  # an earlier attempt at this task has written the same
+                store.delete_file(draft)
+            return pd.DataFrame({"part": [number], "nth": [k], "file": [name], "n_docs": [len(writer.names)], "n_ids": [writer.total]})
+
         for rows in batches:
             names = rows["doc_id"].astype(object).where(rows["doc_id"].notna(), None).tolist()
             for doc, ids in zip(names, encoder.encode([t or "" for t in rows["text"]]), strict=True):
+                if writer is not None and (writer.total >= file_ids or len(writer.names) >= file_docs):
+                    yield finished()
+                    writer, k = None, k + 1
                 if writer is None:
                     store.create_dir(top, recursive=True)
+                    draft = f"{top}/.draft-{number:06d}-{k:05d}-{uuid.uuid4().hex}"
                     out = store.open_output_stream(draft)
                     writer = PlaneWriter(out, bits)
                 writer.add(None if doc is None else int(doc), np.concatenate((np.frombuffer(ids, dtype="<u4"), end)))
         if writer is not None:
-            writer.close()
-            out.close()
-            store.move(draft, name)
-            yield pd.DataFrame({"part": [number], "file": [os.path.basename(name)], "n_docs": [len(writer.names)], "n_ids": [writer.total]})
+            yield finished()
 
-    told = dealt.mapInPandas(write, "part int, file string, n_docs long, n_ids long").collect()
-    wrote = sorted((r.asDict() for r in told), key=lambda r: r["part"])
+    told = dealt.mapInPandas(write, "part int, nth int, file string, n_docs long, n_ids long").collect()  # a row for each file
+    wrote = sorted((r.asDict() for r in told), key=lambda r: (r["part"], r["nth"]))
     start = 0
     for r in wrote:
         r["start"], start = start, start + r["n_ids"]
