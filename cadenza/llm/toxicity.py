@@ -10,7 +10,7 @@ each label, those whose hashed ids are smallest. How common either label is is c
 model's offset is corrected to that. Every text is scored whole, where it is; nothing but the sample is moved.
 
 Defined results: null and empty texts have no features and get the score of the offset alone; unlabelled rows, and
-labels other than 0 and 1, teach nothing; without labels of both kinds every score is the share of toxic labels (0
+labels other than 0 and 1, teach nothing; of several texts with one id the least is learned from; without labels of both kinds every score is the share of toxic labels (0
 without any); repeated rows each get their own result; an empty table gives an empty result.
 """
 
@@ -116,9 +116,41 @@ def matrix(texts: list[set[str]], place: dict[str, int]) -> tuple[np.ndarray, np
     return np.repeat(np.arange(len(texts)), [len(f) for f in found]), np.array([c for f in found for c in f], dtype=np.int64)
 
 
+@dataclass
+class Task:
+    """What is minimised: the logistic loss of the rows, each times its weight, plus the penalty of all changes between
+    rows and twins, plus the ridge. rows, columns: the features that the texts have; twin_rows, twin_columns: those of
+    their twins, twin k being that of text origin[k]."""
+
+    rows: np.ndarray
+    columns: np.ndarray
+    per_row: np.ndarray
+    labels: np.ndarray
+    origin: np.ndarray
+    twin_rows: np.ndarray
+    twin_columns: np.ndarray
+    features: int
+    penalty: float
+    ridge: float
+
+    def loss(self, w: np.ndarray, b: float) -> tuple[float, np.ndarray]:
+        """The loss, and its gradient by the weights and then the offset."""
+        n, m, d = len(self.labels), len(self.origin), self.features
+        z = np.bincount(self.rows, w[self.columns], n)
+        found = float(self.per_row @ (np.logaddexp(0, z + b) - self.labels * (z + b))) + self.ridge * float(w @ w) / 2
+        pull = (1 / (1 + np.exp(-z - b)) - self.labels) * self.per_row
+        grad = np.bincount(self.columns, pull[self.rows], d) + self.ridge * w
+        if m:
+            change = z[self.origin] - np.bincount(self.twin_rows, w[self.twin_columns], m)
+            found += self.penalty * float(change @ change)
+            push = 2 * self.penalty * change
+            grad += np.bincount(self.columns, np.bincount(self.origin, push, n)[self.rows], d) - np.bincount(self.twin_columns, push[self.twin_rows], d)
+        return found, np.append(grad, pull.sum())
+
+
 def fit(texts: list[str], labels: np.ndarray, *, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, prior: float | None = None, counterfactual: float = 5.0, ridge: float = 0.005, rounds: int = 300, rate: float = 0.1) -> Model:
     """The model that minimises the mean logistic loss of balanced classes, plus counterfactual times the mean squared
-    change between texts and twins, plus ridge times half the squared weights; by Adam over all rows in each round.
+    change between texts and twins, plus ridge, by the root of the number of features, times half the squared weights; by Adam over all rows in each round.
     prior: share of label 1 to which the offset is corrected."""
     labels = np.asarray(labels, dtype=np.float64)
     n1 = labels.sum()
@@ -135,19 +167,11 @@ def fit(texts: list[str], labels: np.ndarray, *, terms: tuple[tuple[str, ...], .
     tr, tc = matrix([t for _, t in pairs], place)
     n, m, d = len(labels), len(pairs), len(names)
     per_row = np.where(labels == 1, 0.5 / n1, 0.5 / (n - n1))
+    task = Task(r, c, per_row, labels, origin, tr, tc, d, counterfactual / m if m else 0.0, ridge / max(d, 1) ** 0.5)
     w, b = np.zeros(d), 0.0
     mean, square = np.zeros(d + 1), np.zeros(d + 1)
     for step in range(1, rounds + 1):
-        z = np.bincount(r, w[c], n) + b
-        pull = (1 / (1 + np.exp(-z)) - labels) * per_row
-        change = np.zeros(n)
-        grad = np.bincount(c, pull[r], d) + ridge * w / max(d, 1) ** 0.5
-        if m:
-            delta = (z - b)[origin] - np.bincount(tr, w[tc], m)
-            push = 2 * counterfactual * delta / m
-            change = np.bincount(origin, push, n)
-            grad += np.bincount(c, change[r], d) - np.bincount(tc, push[tr], d)
-        g = np.append(grad, pull.sum())
+        _, g = task.loss(w, b)
         mean, square = 0.9 * mean + 0.1 * g, 0.999 * square + 0.001 * g * g
         move = rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
@@ -167,7 +191,7 @@ def learn(documents: DataFrame, labels: DataFrame, *, id_column: str = "doc_id",
         part = told.filter(F.col("label") == y).orderBy(*order).limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = documents.select(F.col(id_column).alias("_doc"), F.col(text_column).alias("text")).filter("text is not null")
-    sample = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_id", "text", "label").dropDuplicates(["_id"])  # 2 * per_class ids
+    sample = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).groupBy("_id", "label").agg(F.min("text").alias("text"))  # 2 * per_class ids
     rows = sample.toPandas().sort_values("_id", kind="stable")
     total = sum(shares.values())
     return fit(rows["text"].tolist(), rows["label"].to_numpy(), prior=shares.get(1, 0) / total if total else 0.0, **options)

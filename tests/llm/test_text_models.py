@@ -123,6 +123,26 @@ def test_neutral_mentions_score_lower_with_the_penalty():
     assert fair.scores([toxic])[0] > 0.5
 
 
+def test_gradient_is_that_of_the_loss():
+    """With twins and without, against differences of the loss."""
+    rng = np.random.default_rng(6)
+    for m in (7, 0):
+        rows, columns, twin_rows, twin_columns = rng.integers(0, 20, 60), rng.integers(0, 9, 60), rng.integers(0, max(m, 1), 3 * m), rng.integers(0, 9, 3 * m)
+        task = toxicity.Task(rows, columns, rng.random(20), rng.integers(0, 2, 20).astype(float), rng.integers(0, 20, m), twin_rows, twin_columns, 9, 0.7, 0.3)
+        at = rng.normal(size=10)
+        loss = lambda x: task.loss(x[:-1], x[-1])[0]  # noqa: B023, E731
+        steps = np.eye(10) * 1e-6
+        assert np.allclose(task.loss(at[:-1], at[-1])[1], [(loss(at + e) - loss(at - e)) / 2e-6 for e in steps], atol=1e-7)
+
+
+def test_repeated_ids_are_learned_alike_on_every_run(spark, documents):
+    rows = [(r[0], r[1], *r[2:4]) for r in texts(200)]
+    rows += [(i, f"again {t}", la, s) for i, t, la, s in rows]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    a, b = (toxicity.learn(documents(x).repartition(n), labels) for x, n in ((rows, 3), (rows[::-1], 7)))
+    assert a == b
+
+
 @pytest.mark.parametrize("text", ["", None])
 def test_texts_without_words_get_the_offset(text):
     model = toxicity.Model(-1.0, {"bad": 3.0})
