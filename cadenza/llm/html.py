@@ -11,8 +11,9 @@ Near copies of a page count about once: pages are counted by each of 15 MinHash
 texts, which near copies mostly share, and a subtree is template if over half of these counts reach both limits. A host
 that has little else than many near copies of one page can't be told from one whose template is most of its pages.
 
-Prose (paragraphs, headings and the like) within an article or main element is never taken for a template, however
-many pages share it.
+Prose (paragraphs, headings and the like) within an article or main element is template only on `prose_pages` or more
+and on `prose_share` or more of the host's pages: a passage that some articles share stays, a line under every article
+goes.
 
 The template's hashes go to the tasks as one array while there are at most `held_hashes` of them; beyond that they
 are joined to the pages by Spark. Both give the same rows.
@@ -39,6 +40,7 @@ from cadenza.llm.components import checkpoint_dir
 from cadenza.llm.simhash import minima, shingle_set
 
 MIN_PAGES, MIN_SHARE, VALUES, HELD_HASHES = 5, 0.25, 15, 1_000_000
+PROSE_PAGES, PROSE_SHARE = 20, 0.5
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -167,8 +169,8 @@ class Page:
             node = self.parents[node]
         return False
 
-    def subtrees(self) -> dict[int, int]:
-        """The hash of each subtree that could be a template part, by its element's number."""
+    def subtrees(self) -> dict[int, tuple[int, bool]]:
+        """The hash of each subtree that could be a template part, and whether it is prose of an article, by its element's number."""
         n = len(self.tags)
         inside = [False] * n
         for i in range(1, n):
@@ -177,7 +179,8 @@ class Page:
         for i in range(n - 1, -1, -1):
             told = [self.tags[i], self.names[i], *(f"#{hashes[c]:x}" if isinstance(c, int) else " ".join(unescape(c).split()) for c in self.content[i])]
             hashes[i] = xxhash.xxh64_intdigest("\x1f".join(x for x in told if x).encode("utf-8", "replace"))
-        return {i: hashes[i] for i in range(1, n) if self.tags[i] in BLOCKS and self.tags[i] not in LANDMARKS and not (inside[i] and self.tags[i] in PROSE) and self.content[i]}
+        parts = [i for i in range(1, n) if self.tags[i] in BLOCKS and self.tags[i] not in LANDMARKS and self.content[i]]
+        return {i: (hashes[i], inside[i] and self.tags[i] in PROSE) for i in parts}
 
     def text(self, deleted: Container[int] = ()) -> str:
         """The text of the articles, else of the main elements, else of the whole page, without what says that it is left out and the elements given."""
@@ -216,9 +219,9 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def host_hash(host: str, subtree: int) -> int:
-    """A signed 64-bit hash of a subtree on a host."""
-    return xxhash.xxh64_intdigest(host.encode("utf-8", "replace") + subtree.to_bytes(8, "little")) - (1 << 63)
+def host_hash(host: str, subtree: int, prose: bool = False) -> int:
+    """A signed 64-bit hash of a subtree on a host; prose of articles is told apart."""
+    return xxhash.xxh64_intdigest(host.encode("utf-8", "replace") + subtree.to_bytes(8, "little"), int(prose)) - (1 << 63)
 
 
 def page_values(text: str) -> list[int]:
@@ -227,36 +230,52 @@ def page_values(text: str) -> list[int]:
 
 
 def page_subtrees(pages: DataFrame) -> DataFrame:
-    """(site, page, values, of) from rows (host, html): hashes of each page's host and text, the text's MinHash values, and each subtree as a hash with its host."""
+    """(site, page, values, loose, prose) from rows (host, html): hashes of each page's host and text, the text's MinHash
+    values, and each subtree as a hash with its host, those of article prose apart."""
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             told = []
             for host, html in zip(rows["host"], rows["html"], strict=True):
                 tree = Page(html)
-                text = tree.text()
-                told.append((host_hash(host, 0), xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63), page_values(text), list({host_hash(host, h) for h in tree.subtrees().values()})))
-            yield pd.DataFrame(told, columns=["site", "page", "values", "of"])
+                text, own = tree.text(), set(tree.subtrees().values())
+                kinds = ([host_hash(host, *x) for x in own if x[1] == prose] for prose in (False, True))
+                told.append((host_hash(host, 0), xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63), page_values(text), *kinds))
+            yield pd.DataFrame(told, columns=["site", "page", "values", "loose", "prose"])
 
-    return pages.mapInPandas(hashed, "site long, page long, values array<long>, of array<long>")
+    return pages.mapInPandas(hashed, "site long, page long, values array<long>, loose array<long>, prose array<long>")
 
 
-def recurring(seen: DataFrame, min_pages: int, min_share: float) -> DataFrame:
+def recurring(seen: DataFrame, least: tuple[int, float], least_prose: tuple[int, float]) -> DataFrame:
     """(of): the subtrees that recur on so many pages, and on such a share of their host's pages, by over half of the counts."""
-    often = seen.select("page", F.explode("of").alias("of")).groupBy("of").agg(F.count_distinct("page").alias("n")).filter(F.col("n") >= min_pages).select("of")
+    kind = lambda c, prose: F.transform(c, lambda x: F.struct(x.alias("of"), F.lit(prose).alias("prose")))
+    parts = seen.select("site", "page", "values", F.explode(F.concat(kind("loose", False), kind("prose", True))).alias("x")).select("site", "page", "values", "x.*")
+    limit = lambda k: F.when(F.col("prose"), least_prose[k]).otherwise(least[k])
+    often = parts.groupBy("of", "prose").agg(F.count_distinct("page").alias("n")).filter(F.col("n") >= limit(0)).select("of")
     whole = seen.select("site", F.posexplode("values").alias("k", "value")).distinct().groupBy("site", "k").agg(F.count(F.lit(1)).alias("whole"))
-    own = seen.select("site", "values", F.explode("of").alias("of")).join(often, "of", "left_semi")
-    own = own.select("site", "of", F.posexplode("values").alias("k", "value")).distinct().groupBy("site", "of", "k").agg(F.count(F.lit(1)).alias("pages"))
-    reached = (F.col("pages") >= min_pages) & (F.col("pages") >= min_share * F.col("whole"))
+    own = parts.join(often, "of", "left_semi").select("site", "of", "prose", F.posexplode("values").alias("k", "value")).distinct()
+    own = own.groupBy("site", "of", "prose", "k").agg(F.count(F.lit(1)).alias("pages"))
+    reached = (F.col("pages") >= limit(0)) & (F.col("pages") >= limit(1) * F.col("whole"))
     return own.join(whole, ["site", "k"]).groupBy("of").agg(F.count_if(reached).alias("n")).filter(2 * F.col("n") > VALUES).select("of")
 
 
-def main_text(pages: DataFrame, *, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, held_hashes: int = HELD_HASHES) -> DataFrame:
+def main_text(
+    pages: DataFrame,
+    *,
+    id_column: str = "page_id",
+    url_column: str = "url",
+    html_column: str = "html",
+    min_pages: int = MIN_PAGES,
+    min_share: float = MIN_SHARE,
+    prose_pages: int = PROSE_PAGES,
+    prose_share: float = PROSE_SHARE,
+    held_hashes: int = HELD_HASHES,
+) -> DataFrame:
     """page_id, url, text, n_chars (code points) and n_deleted (template subtrees) of every row."""
     spark = pages.sparkSession
     held = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url"), host_of(F.col(url_column)).alias("host"), F.coalesce(F.col(html_column), F.lit("")).alias("html"))
     checkpoint_dir(spark)
-    template = recurring(page_subtrees(held.select("host", "html")).checkpoint(), min_pages, min_share)
+    template = recurring(page_subtrees(held.select("host", "html")).checkpoint(), (min_pages, min_share), (prose_pages, prose_share))
     few = template.limit(held_hashes + 1).toPandas()["of"].to_numpy(np.int64)
     schema = f"page_id {held.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long, n_deleted long"
 
@@ -264,7 +283,7 @@ def main_text(pages: DataFrame, *, id_column: str = "page_id", url_column: str =
         texts, n = [], []
         for host, html, hashes in zip(rows["host"], rows["html"], listed, strict=True):
             tree = Page(html)
-            subtrees = {i: host_hash(host, h) for i, h in tree.subtrees().items()} if len(hashes) else {}
+            subtrees = {i: host_hash(host, *x) for i, x in tree.subtrees().items()} if len(hashes) else {}
             own = np.fromiter(subtrees.values(), dtype=np.int64, count=len(subtrees))
             place = np.minimum(np.searchsorted(hashes, own), max(len(hashes) - 1, 0))
             deleted = {i for i, is_in in zip(subtrees, hashes[place] == own if len(own) else [], strict=True) if is_in}
@@ -283,7 +302,7 @@ def main_text(pages: DataFrame, *, id_column: str = "page_id", url_column: str =
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            pairs = [(r, host_hash(host, h)) for r, host, html in zip(rows["row"], rows["host"], rows["html"], strict=True) for h in set(Page(html).subtrees().values())]
+            pairs = [(r, host_hash(host, *x)) for r, host, html in zip(rows["row"], rows["host"], rows["html"], strict=True) for x in set(Page(html).subtrees().values())]
             yield pd.DataFrame(pairs, columns=["row", "of"]).astype("int64")
 
     def clean_joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -72,11 +72,11 @@ def test_pieces_are_encoded_as_whole_texts():
         assert np.frombuffer(ids, dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("bits", [8, 1])
-def test_files_hold_all_documents_in_order(spark, documents, tmp_path, bits):
+@pytest.mark.parametrize(("bits", "limits"), [(8, {}), (1, {"file_ids": 20}), (8, {"file_docs": 2})])
+def test_files_hold_all_documents_in_order(spark, documents, tmp_path, bits, limits):
     rows = [*MESSY, (None, "no id", "en", "a"), (4, "again", "en", "a")]
     folder = f"file://{tmp_path}/planes"
-    found = planes.token_files(documents(rows, clashes=True).repartition(5), WORDS, folder=folder, files=3, bits=bits).collect()
+    found = planes.token_files(documents(rows, clashes=True).repartition(5), WORDS, folder=folder, files=3, bits=bits, **limits).collect()
     library, start, wanted = Tokenizer.from_file(WORDS), 0, []
     for i, text in sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 2], dtype="<u4")
@@ -84,6 +84,8 @@ def test_files_hold_all_documents_in_order(spark, documents, tmp_path, bits):
         start += len(ids)
     assert sorted(map(tuple, found), key=lambda r: r[1]) == wanted
     assert not [p for p in (tmp_path / "planes").iterdir() if p.name.startswith(".draft") and not p.name.endswith(".crc")]
+    written = len(list((tmp_path / "planes").glob("part-*.planes")))
+    assert written > 3 if limits else written <= 3
 
 
 def test_a_block_is_read_by_itself(tmp_path):
@@ -177,6 +179,38 @@ def test_near_copies_and_rare_passages_of_pages_without_articles_stay(spark):
         assert [found[100 + i] for i in range(60)] == [f"{x} {passage}" if i < 8 else x for i, x in enumerate(own)]
 
 
+def test_a_line_under_every_article_goes_and_a_passage_of_some_stays(spark):
+    rng = np.random.default_rng(13)
+    own = [" ".join(rng.choice([f"w{j}" for j in range(3000)], 40)) for _ in range(49)]
+    rows = [(i, "http://a.example", f"<article><p>{own[i]}</p>" + ("<p>a passage of some</p>" if i < 14 else "") + "<p>Follow us everywhere</p></article>") for i in range(30)]
+    rows += [(i, "http://b.example", f"<article><p>{own[i]}</p><p>Follow us everywhere</p></article>") for i in range(30, 49)]  # too few pages to tell
+    found = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: own[i] + (" a passage of some" if i < 14 else " Follow us everywhere" if i >= 30 else "") for i in range(49)}
+
+
+def test_templates_equal_a_plain_count(spark):
+    """Sites without speaking names: what goes is what a plain count of equal block texts by host finds, as all pages differ much."""
+    rng = np.random.default_rng(12)
+    words = lambda k: " ".join(rng.choice([f"w{j}" for j in range(3000)], k))
+    rows, blocks = [], {}
+    for site, n in enumerate((4, 5, 19, 40)):
+        shared = [(words(6), share) for share in (1.0, 0.6, 0.3, 0.2, 0.1)]
+        for i in range(n):
+            own = [words(40)] + [t for t, share in shared if rng.random() < share]
+            own = [own[k] for k in rng.permutation(len(own))]
+            blocks[len(rows)] = (site, own)
+            rows.append((len(rows), f"http://s{site}.example/{i}", "".join(f"<section>{t}</section>" for t in own)))
+    pages = {site: sum(s == site for s, _ in blocks.values()) for site, _ in blocks.values()}
+    count = {}
+    for site, own in blocks.values():
+        for t in set(own):
+            count[site, t] = count.get((site, t), 0) + 1
+    template = {(s, t) for (s, t), n in count.items() if n >= html.MIN_PAGES and n >= html.MIN_SHARE * pages[s]}
+    found = {r["page_id"]: r for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: r["text"] for i, r in found.items()} == {i: " ".join(t for t in own if (s, t) not in template) for i, (s, own) in blocks.items()}
+    assert sum(r["n_deleted"] for r in found.values()) == sum((s, t) in template for s, own in blocks.values() for t in own) > 50
+
+
 def test_pipeline_by_its_stages(spark, documents, tmp_path):
     rng = np.random.default_rng(9)
     line = lambda k: " ".join(rng.choice([f"w{j}" for j in range(300)], k))
