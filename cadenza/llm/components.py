@@ -29,6 +29,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that a job has written, in whatever store its path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _smallest(links: DataFrame) -> DataFrame:
     """(node, least): the smallest id among a node and its neighbours, from both directions of each link."""
     return links.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("node", "least").alias("least"))

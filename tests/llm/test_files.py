@@ -243,5 +243,14 @@ def test_pipeline_by_its_stages(spark, documents, tmp_path):
     assert all(list(r.ids) == library.encode(texts[r.doc_id], add_special_tokens=False).ids for r in kept["bpe"].itertuples())
 
 
+def test_only_the_last_table_of_a_run_stays(spark, documents, tmp_path, monkeypatch):
+    documents(MESSY).write.parquet(f"{tmp_path}/documents.parquet")
+    step = lambda spark, docs, sf_dir: docs.filter("text is not null")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", step), ("b", step), ("c", step)])
+    monkeypatch.setattr(corpus_pipeline, "checkpoint_dir", lambda _: f"file://{tmp_path}/shared")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == len(MESSY) - 1
+    assert [p.name for p in tmp_path.glob("shared/pipeline-*/*")] == ["2-c"]
+
+
 def test_stages_use_the_operators():
     assert corpus_pipeline.toxicity is toxicity and corpus_pipeline.simhash is simhash
