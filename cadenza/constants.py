@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Record distances in metres.
-PR_DISTANCES = (("1 km", 1000.0), ("3 km", 3000.0), ("5 km", 5000.0), ("10 km", 10000.0), ("Half marathon", 21097.5), ("Marathon", 42195.0), ("50 km", 50000.0), ("100 km", 100000.0), ("150 km", 150000.0))
+#: Record distances in metres; the labels are keys of results.
+PR_DISTANCES = (("1 km", 1000.0), ("3 km", 3000.0), ("5 km", 5000.0), ("10 km", 10000.0), ("Semi", 21097.5), ("Marathon", 42195.0), ("50 km", 50000.0), ("100 km", 100000.0), ("150 km", 150000.0))
 #: Shorter distances, which the smallest activities also reach.
 SHORT_DISTANCES = (("100 m", 100.0), ("400 m", 400.0), ("1 km", 1000.0), ("3 km", 3000.0), ("150 km", 150000.0))
 #: Gradient bands in percent, lower edge included; None is open.

@@ -89,12 +89,13 @@ def equi_width_curve(points: DataFrame, width: float = 20.0, value: str = "adjus
 def calibration_pairs(splits: DataFrame, tolerance: float = C.HR_TOLERANCE) -> DataFrame:
     """Every split beside every flat split whose heart rate is within the tolerance, itself included: the features and y, the flat speed.
 
-    Heart rates are dealt in cells of the tolerance's width, and flat splits are sent to their own and both
-    neighbouring cells, so the join has a key; Spark splits cells that are large."""
-    cell = F.floor(F.col("heartrate") / tolerance)
+    Heart rates are dealt in cells of a quarter of the tolerance, and flat splits are sent to the cells within it, so the
+    join has a key, and keys enough to be dealt to many tasks; Spark splits cells that are large. The rows grow with the
+    square of the splits: models are fitted on flat_speed_targets instead, which has the sums alone."""
+    width, reach = tolerance / 4, tolerance * (1 + 1e-9)
     flat = splits.filter(is_flat()).select(F.col("heartrate").alias("flat_hr"), F.col("speed").alias("y"), F.col("activity_id").alias("flat_activity"), F.col("split_id").alias("flat_split"))
-    flat = flat.withColumn("_cell", F.explode(F.array(*[F.floor(F.col("flat_hr") / tolerance) + k for k in (-1, 0, 1)])))
-    met = splits.withColumn("_cell", cell).join(flat, "_cell").filter(F.abs(F.col("flat_hr") - F.col("heartrate")) <= tolerance)
+    flat = flat.withColumn("_cell", F.explode(F.sequence(F.floor((F.col("flat_hr") - reach) / width), F.floor((F.col("flat_hr") + reach) / width))))
+    met = splits.withColumn("_cell", F.floor(F.col("heartrate") / width)).join(flat, "_cell").filter(F.abs(F.col("flat_hr") - F.col("heartrate")) <= tolerance)
     return met.drop("_cell")
 
 
