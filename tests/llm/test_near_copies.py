@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 from cadenza.llm import lattice, simhash
-from cadenza.llm.components import connected_components
+from cadenza.llm.components import checkpoint_dir, connected_components
 from tests.llm.conftest import MESSY, by_sql, same_rows
 
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -129,6 +129,20 @@ def test_empty_tables(spark, documents):
     assert lattice.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "k8s://host", "local-cluster[3,2,1024]"])
+def test_a_cluster_without_a_shared_folder_is_an_error(master):
+    class Session:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            pass
+
+    Session.sparkContext.master = master
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Session)
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, 100 + k) for k in range(1, 30)] + [(200, 201), (201, 200), (7, 7)]
     found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
