@@ -224,6 +224,23 @@ def test_texts_of_durations(spark):
     assert tuple(r) == ("word", "x", "k")
 
 
+def test_splits_are_the_same_in_batches_of_any_size(spark, samples):
+    rng = np.random.default_rng(3)
+    runs = [[(t, 3 * t, t % 9, 140) for t in np.cumsum(rng.integers(0, 4, n))] for n in (1, 2, 80, 300)]
+    stepped = steps.steps(samples(*runs))
+    told = lambda: sorted(map(tuple, splits.with_split(stepped, "t", 10.0).select("activity_id", "seq", "split_id").collect()))
+    whole = told()
+    by_hand = []
+    for a, run in enumerate(runs):
+        ends = splits.cuts(np.array([r[0] for r in run[1:]], dtype=float), 10.0)
+        by_hand += [(a, k + 1, int(np.searchsorted(ends, k, side="right"))) for k in range(ends[-1] if ends else 0)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert told() == whole == sorted(by_hand)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 @pytest.mark.parametrize("degree", [1, 2, 3])
 def test_windows_reproduce_polynomials(degree):
     x = np.arange(60.0)

@@ -15,9 +15,11 @@ def provider(i, kinds, resolution):
 
 def test_one_failure_does_not_end_the_others(spark):
     listing = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-03"), (3, "2024-01-02"), (4, None)], "activity_id long, start_date string")
-    found = fetch_streams(listing, provider, max_activities=3, throttle_s=0, tasks=2).cache()
+    done = spark.sparkContext.accumulator(0)
+    found = fetch_streams(listing, provider, max_activities=3, throttle_s=0, tasks=2, done=done).cache()
     assert {r["activity_id"]: r["error"] for r in found.collect()} == {1: None, 2: "KeyError: 'no such stream'", 3: None}
     assert S.decode_streams(found.filter("error is null")).count() == 6
+    assert done.value == 3
 
 
 def test_results_are_made_once_for_each_signature(spark, tmp_path):
