@@ -74,7 +74,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     per = per.join(F.broadcast(totals), F.lit(True)).join(F.broadcast(level), F.lit(True))
     cap = F.col("cap").cast("double")
     target = F.coalesce(F.least(cap, F.col("w") * F.col("level")), cap)
-    return per.select("source", "source_size", target.alias("target"), budget.alias("budget"))
+    return per.select("source", "source_size", target.alias("target"), budget.alias("budget")).checkpoint()
 
 
 def fair_queue(
@@ -112,6 +112,8 @@ def fair_queue(
         held.withColumn("upto", F.sum("size").over(inside))
         .withColumn("nth", F.count(F.lit(1)).over(inside))
         .join(starts, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
+        .drop("b_source", "b_bucket")
+        .checkpoint()
     )
     passed = F.col("pass") * F.col("source_size") + F.col("start") + F.col("upto")
     copies = (
@@ -126,7 +128,7 @@ def fair_queue(
         """The rows of the ranges that the budget takes or leaves whole, with taken, and those of the range in which it ends, with its start as c_start."""
         words = rows.groupBy(by, start, "budget").agg(F.sum("size").alias("words"))  # 2 * RANGES + 1 rows at most
         upto = F.col(start) + F.sum("words").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
-        ranges = words.select(F.col(by).alias("r_range"), (upto - F.col("words")).alias("c_start"), upto.alias("c_end"))
+        ranges = words.select(F.col(by).alias("r_range"), (upto - F.col("words")).alias("c_start"), upto.alias("c_end")).checkpoint()
         placed = rows.join(F.broadcast(ranges), F.col(by) == F.col("r_range"))
         splits = (F.col("c_start") < F.col("budget")) & (F.col("c_end") > F.col("budget"))
         whole = placed.filter(~splits).withColumn("taken", F.col("c_end") <= F.col("budget"))

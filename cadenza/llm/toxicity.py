@@ -113,7 +113,7 @@ def choose_features(texts: list[set[str]], labels: np.ndarray, terms: Iterable[t
 def matrix(texts: list[set[str]], place: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """(rows, columns) of the features that are there."""
     found = [sorted({place[x] for w in words for x in word_features(w) if x in place}) for words in texts]
-    return np.repeat(np.arange(len(texts)), [len(f) for f in found]), np.array([c for f in found for c in f], dtype=np.int64)
+    return np.repeat(np.arange(len(texts), dtype=np.int32), [len(f) for f in found]), np.fromiter((c for f in found for c in f), dtype=np.int32)
 
 
 @dataclass
@@ -157,8 +157,9 @@ def fit(texts: list[str], labels: np.ndarray, *, terms: tuple[tuple[str, ...], .
     if not 0 < n1 < len(labels):
         share = prior if prior is not None else (n1 / len(labels) if len(labels) else 0.0)
         return Model(float(np.log(max(share, 1e-12) / max(1 - share, 1e-12))))
-    words = [text_words(t) for t in texts]
-    del texts
+    known: dict[str, str] = {}
+    words = [{known.setdefault(w, w) for w in text_words(t)} for t in texts]  # each different word is held once
+    del texts, known
     names = choose_features(words, labels, terms)
     place = {x: k for k, x in enumerate(names)}
     r, c = matrix(words, place)
