@@ -21,8 +21,10 @@ null; an empty table gives an empty result.
 (Jaccard) are near copies, whose fingerprints differ in up to 14 bits, more than pigeonhole search can cover. Its
 candidates share all minima of one of 24 bands of 6 MinHash values (a pair at exactly 0.8 is missed with odds of 0.0007,
 more similar ones with less), and a link is only what the texts' own shingles confirm. Members of a band's bucket are
-first compared with four of its texts; after that only texts of different components are, so a large group of near
-copies isn't expanded into all its pairs, and the components are those that all pairs of all buckets would give.
+first compared with four of its texts, the one that shares the fullest buckets among them, since it lies in the middle
+of its copies. After that only texts of different components are compared, by their shingles in the join's own
+condition, so that what doesn't link makes no row: a large group of near copies isn't expanded into its pairs, and the
+components are those that all pairs of all buckets would give.
 """
 
 from __future__ import annotations
@@ -293,11 +295,13 @@ def similar_components(documents: DataFrame, id_column: str, text_column: str, s
     marked = held.select("doc_id", "hash", sketch_column(F.col("text")).alias("s")).select("doc_id", "hash", "s.*").checkpoint()
     nodes = marked.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")).alias("least"))
     spread = marked.dropDuplicates(["node"]).select(F.explode("keys").alias("key"), F.struct("node", "left", "right").alias("x"))
-    other = lambda f, k: f(F.col("x"), F.xxhash64(F.col("x.node"), F.lit(k)))
-    firsts = F.array(F.min("x"), F.max("x"), other(F.min_by, 1), other(F.max_by, 1))
-    buckets = spread.groupBy("key").agg(firsts.alias("firsts")).filter(F.col("firsts")[0]["node"] < F.col("firsts")[1]["node"])
-    crowded = spread.join(buckets.withColumnRenamed("key", "of"), F.col("key") == F.col("of")).select("key", "x", "firsts").checkpoint()
-
+    sizes = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumnRenamed("key", "of")
+    members = spread.join(sizes, F.col("key") == F.col("of")).select("key", "x", "n").checkpoint()
+    central = members.groupBy("x.node").agg(F.sum("n").alias("score")).withColumnRenamed("node", "of")
+    scored = members.join(central, F.col("x.node") == F.col("of")).select("key", "x", "score")
+    firsts = F.array(F.max_by("x", F.struct("score", "x.node")), F.min("x"), F.max("x"), F.min_by("x", F.xxhash64("x.node")))
+    buckets = scored.groupBy("key").agg(firsts.alias("firsts")).withColumnRenamed("key", "of")
+    crowded = members.join(buckets, F.col("key") == F.col("of")).select("key", "x", "firsts").checkpoint()
     asked = crowded.select("x.node").distinct().join(nodes.select("node", F.col("least.hash").alias("hash")), "node")
     texts = held.join(asked.select("hash"), "hash", "left_semi").groupBy("hash").agg(F.first("text").alias("text")).join(asked, "hash")
     sets = texts.select("node", shingle_column(F.col("text")).alias("set")).checkpoint()  # of texts that share a bucket with others
@@ -313,9 +317,11 @@ def similar_components(documents: DataFrame, id_column: str, text_column: str, s
     joined = crowded.select("key", "x").join(near, F.col("x.node") == F.col("node"), "left").select("key", "x", F.coalesce("component", "x.node").alias("part")).checkpoint()
     mixed = joined.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.mode("part", True).alias("most")).filter("low < high").select(F.col("key").alias("of"), "most")
     rest = joined.join(mixed, F.col("key") == F.col("of")).select("of", "x", "part", "most")
-    few = rest.filter("part <> most").select(F.col("of").alias("key"), "x", F.col("part").alias("x_part"))  # of two different parts one at least isn't the most frequent
-    met = few.join(rest.select("of", F.col("x").alias("y"), "part"), (F.col("key") == F.col("of")) & (F.col("x_part") != F.col("part")) & alike("x", "y"))
-    late = confirmed(met.select("x", "y"))
+    rest = rest.join(sets.withColumnRenamed("node", "n"), F.col("x.node") == F.col("n")).select("of", "x", "part", "most", "set")
+    few = rest.filter("part <> most").select(F.col("of").alias("key"), "x", F.col("part").alias("x_part"), F.col("set").alias("x_set"))  # of two different parts one at least isn't the most frequent
+    linked = (F.col("x_part") != F.col("part")) & alike("x", "y") & (jaccard(F.col("x_set"), F.col("set")) >= similarity)
+    met = few.join(rest.select("of", F.col("x").alias("y"), "part", "set"), (F.col("key") == F.col("of")) & linked)
+    late = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     for c in "ab":
         late = late.join(near.select(F.col("node").alias("n"), F.col("component").alias(f"{c}_part")), F.col(c) == F.col("n"), "left").drop("n")
     last = connected_components(late.select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b"))).select(F.col("node").alias("part"), F.col("component").alias("root"))
