@@ -291,7 +291,7 @@ def similar_components(documents: DataFrame, id_column: str, text_column: str, s
 
     stays: the row's id and text are the smallest of its component, null ids last; rows that repeat both share it."""
     checkpoint_dir(documents.sparkSession)
-    held = documents.select(F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("hash"), F.col(text_column).alias("text"))
+    held = documents.select(F.col(id_column).alias("doc_id"), F.xxhash64(id_column).alias("id_hash"), F.xxhash64(text_column).alias("hash"), F.col(text_column).alias("text"))
     marked = held.select("doc_id", "hash", sketch_column(F.col("text")).alias("s")).select("doc_id", "hash", "s.*").checkpoint()
     nodes = marked.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")).alias("least"))
     spread = marked.dropDuplicates(["node"]).select(F.explode("keys").alias("key"), F.struct("node", "left", "right").alias("x"))
@@ -302,8 +302,8 @@ def similar_components(documents: DataFrame, id_column: str, text_column: str, s
     firsts = F.array(F.max_by("x", F.struct("score", "x.node")), F.min("x"), F.max("x"), F.min_by("x", F.xxhash64("x.node")))
     buckets = scored.groupBy("key").agg(firsts.alias("firsts")).withColumnRenamed("key", "of")
     crowded = members.join(buckets, F.col("key") == F.col("of")).select("key", "x", "firsts").checkpoint()
-    asked = crowded.select("x.node").distinct().join(nodes.select("node", F.col("least.hash").alias("hash")), "node")
-    texts = held.join(asked.select("hash"), "hash", "left_semi").groupBy("hash").agg(F.first("text").alias("text")).join(asked, "hash")
+    asked = crowded.select("x.node").distinct().join(nodes, "node").select("node", F.xxhash64("least.doc_id").alias("id_hash"), F.col("least.hash").alias("hash"))  # one row of each: copies don't meet in a task
+    texts = held.join(asked.select("id_hash", "hash"), ["id_hash", "hash"], "left_semi").groupBy("id_hash", "hash").agg(F.first("text").alias("text")).join(asked, ["id_hash", "hash"])
     sets = texts.select("node", shingle_column(F.col("text")).alias("set")).checkpoint()  # of texts that share a bucket with others
 
     def confirmed(pairs: DataFrame) -> DataFrame:
