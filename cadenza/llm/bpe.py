@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -181,17 +182,17 @@ def encoded(documents: DataFrame, vocabulary_path: str, *, id_column: str = "doc
     """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the decoded text) and, if asked for, the ids of every row."""
     held = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     schema = f"doc_id {held.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
+    kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"ids": pa.list_(pa.int32())} if ids else {})
 
-    def framed(names: pd.Series, found: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(found, columns=["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids])
-        out.insert(0, "doc_id", names.to_numpy())
-        return out
+    def framed(names: pa.Array, found: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array([f[k] for f in found], type=kind) for k, kind in enumerate(kinds.values())]
+        return pa.RecordBatch.from_arrays([names, *columns], names=["doc_id", *kinds])
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(vocabulary_path)
         for rows in batches:
-            found, done, held = [], 0, 0
-            for text in rows["text"]:
+            names, found, done, held = rows.column("doc_id"), [], 0, 0  # ids stay in Arrow, as they are
+            for text in rows.column("text").to_pylist():
                 words = v.encode(text or "")
                 flat = [i for w in words for i in w[0]]
                 told = hashlib.sha256(",".join([w[1] for w in words]).encode()).hexdigest()
@@ -199,11 +200,11 @@ def encoded(documents: DataFrame, vocabulary_path: str, *, id_column: str = "doc
                 found.append((len(flat), told, back, *([np.array(flat, dtype=np.int32)] if ids else [])))
                 held += len(flat)
                 if ids and held >= HELD_IDS:
-                    yield framed(rows["doc_id"].iloc[done : done + len(found)], found)
+                    yield framed(names.slice(done, len(found)), found)
                     done, found, held = done + len(found), [], 0
-            yield framed(rows["doc_id"].iloc[done:], found)
+            yield framed(names.slice(done), found)
 
-    return held.mapInPandas(encode, schema)
+    return held.mapInArrow(encode, schema)
 
 
 def decoded(tokens: DataFrame, vocabulary_path: str, *, ids_column: str = "ids", to: str = "text") -> DataFrame:

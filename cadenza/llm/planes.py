@@ -28,7 +28,7 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -42,6 +42,7 @@ BLOCK = 1 << 16
 TRAILER = 6 * 8 + len(MAGIC)
 #: A file's ids, but for its last document's, and documents at most.
 FILE_IDS, FILE_DOCS = 1 << 27, 1 << 20
+FILES = pa.schema([("part", pa.int32()), ("nth", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 #: Pieces of text that a worker keeps encoded, and the longest of them in bytes.
 KEPT, KEPT_BYTES = 600_000, 40
 #: Characters of text that are encoded together, and words that go to the model in one text.
@@ -267,12 +268,12 @@ def write_planes(
     dealt = held.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
     end = np.array([end_id], dtype="<u4")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, writer, out, draft, k = text_encoder(tokenizer_path), None, None, "", 0
         store, top = fs.FileSystem.from_uri(folder)
         number = TaskContext.get().partitionId()
 
-        def finished() -> pd.DataFrame:
+        def finished() -> pa.RecordBatch:
             writer.close()
             out.close()
             name = f"part-{number:06d}-{k:05d}.planes"
@@ -280,11 +281,11 @@ def write_planes(
                 store.move(draft, f"{top}/{name}")
             else:  # an earlier attempt at this task has written the same
                 store.delete_file(draft)
-            return pd.DataFrame({"part": [number], "nth": [k], "file": [name], "n_docs": [len(writer.names)], "n_ids": [writer.total]})
+            return pa.RecordBatch.from_pylist([{"part": number, "nth": k, "file": name, "n_docs": len(writer.names), "n_ids": writer.total}], schema=FILES)
 
         for rows in batches:
-            names = rows["doc_id"].astype(object).where(rows["doc_id"].notna(), None).tolist()
-            for doc, ids in zip(names, encoder.encode([t or "" for t in rows["text"]]), strict=True):
+            names, texts = (rows.column(c).to_pylist() for c in ("doc_id", "text"))
+            for doc, ids in zip(names, encoder.encode([t or "" for t in texts]), strict=True):
                 if writer is not None and (writer.total >= file_ids or len(writer.names) >= file_docs):
                     yield finished()
                     writer, k = None, k + 1
@@ -293,11 +294,15 @@ def write_planes(
                     draft = f"{top}/.draft-{number:06d}-{k:05d}-{uuid.uuid4().hex}"
                     out = store.open_output_stream(draft)
                     writer = PlaneWriter(out, bits)
-                writer.add(None if doc is None else int(doc), np.concatenate((np.frombuffer(ids, dtype="<u4"), end)))
+                writer.add(doc, np.concatenate((np.frombuffer(ids, dtype="<u4"), end)))
         if writer is not None:
             yield finished()
 
-    told = dealt.mapInPandas(write, "part int, nth int, file string, n_docs long, n_ids long").collect()  # a row for each file
+    told = dealt.mapInArrow(write, "part int, nth int, file string, n_docs long, n_ids long").collect()  # a row for each file
+    store, top = fs.FileSystem.from_uri(folder)
+    for left in store.get_file_info(fs.FileSelector(top, allow_not_found=True)):
+        if left.base_name.startswith(".draft-"):  # of an attempt that was lost
+            store.delete_file(left.path)
     wrote = sorted((r.asDict() for r in told), key=lambda r: (r["part"], r["nth"]))
     start = 0
     for r in wrote:
@@ -305,30 +310,31 @@ def write_planes(
     return wrote
 
 
-def read_planes(spark: SparkSession, folder: str, files: list[dict], schema: str, each: Callable[[int, str, PlaneReader], pd.DataFrame]) -> DataFrame:
+def read_planes(spark: SparkSession, folder: str, files: list[dict], schema: str, each: Callable[[int, str, PlaneReader], pa.RecordBatch]) -> DataFrame:
     """The rows that each(start, file, reader) makes of every file, a task for each."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = fs.FileSystem.from_uri(folder)
         for rows in batches:
-            for start, file in zip(rows["start"], rows["file"], strict=True):
-                with store.open_input_file(f"{top}/{file}") as source:
-                    yield each(int(start), file, PlaneReader(source))
+            for r in rows.to_pylist():
+                with store.open_input_file(f"{top}/{r['file']}") as source:
+                    yield each(r["start"], r["file"], PlaneReader(source))
 
     listed = spark.createDataFrame([(r["start"], r["file"]) for r in files], "start long, file string")
-    return listed.repartition(max(1, len(files)), "start").mapInPandas(read, schema)
+    return listed.repartitionByRange(max(1, len(files)), "start").mapInArrow(read, schema)
 
 
-def document_checksums(start: int, file: str, reader: PlaneReader) -> pd.DataFrame:
-    found = []
+def document_checksums(start: int, file: str, reader: PlaneReader) -> pa.RecordBatch:
+    found = {"doc_id": [], "start": [], "n_tokens": [], "ids_crc32": []}
     for doc, pieces in reader.documents():
         crc = 0
         for p in pieces:
             crc = zlib.crc32(p.tobytes(), crc)
         n = sum(map(len, pieces))
-        found.append((doc, start, n, crc))
+        for told, x in zip(found.values(), (doc, start, n, crc), strict=True):
+            told.append(x)
         start += n
-    return pd.DataFrame(found, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
+    return pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in found.values()], names=list(found))
 
 
 def token_files(documents: DataFrame, tokenizer_path: str, *, folder: str | None = None, **options) -> DataFrame:

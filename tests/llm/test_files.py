@@ -1,6 +1,7 @@
 """BPE and plane files against the tokenizers library, template removal by hand, the pipeline by its parts."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -136,6 +137,8 @@ def test_article_without_what_is_left_out():
         ("a < b and 3 > 2", "a < b and 3 > 2"),
         ("<div class=topnav>m</div><div id=userComments>c</div><div class='cookiebar big'>k</div><div class=navy>kept</div>", "kept"),
         ("<article><div class='ad'>x</div><nav>t</nav><p>a</p><footer>f</footer></article>", "a"),
+        ("<article><p class='social-study'>a</p><p class='alert-level'>b</p><div class='share-price-table'>c</div><section class='related-work'>d</section><p id='reply'>e</p></article>", "a b c d e"),
+        ("<article><div class='share-buttons'>x</div><div class='big comment-list'>y</div><div id='relatedLinks'>z</div><p>a</p></article><p class='social-study'>s</p>", "a"),
     ],
 )
 def test_pages(page, text):
@@ -211,6 +214,55 @@ def test_templates_equal_a_plain_count(spark):
     assert sum(r["n_deleted"] for r in found.values()) == sum((s, t) in template for s, own in blocks.values() for t in own) > 50
 
 
+def test_counts_alone_find_what_stands_beside_articles(spark):
+    """With the names left out of it, menus, adverts and footers on a few pages of many go; an article's own stays."""
+    menus = [f"<nav><a>menu {k} of the site</a></nav>" for k in range(12)]
+    ads = [f"<div>buy thing {k}</div>" for k in range(12)]
+    rows = [(i, "http://a.example", f"<body>{menus[i % 12]}{ads[i % 10]}<article><p>own {i} text</p><p>shared by all</p></article><footer>site {i % 12}</footer></body>") for i in range(120)]
+    rows += [(500 + i, "http://a.example", f"{menus[i]}{ads[0]}<p>page {i} without one</p><footer>site {i}</footer>") for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for held in (html.HELD_HASHES, 0):
+        found = {r["page_id"]: r for r in html.main_text(df, named=False, held_hashes=held).collect()}
+        assert all(found[i]["n_deleted"] >= 3 for i in range(120))
+        assert [found[500 + i]["text"] for i in range(3)] == [f"page {i} without one" for i in range(3)]
+        assert all(found[i]["text"] == f"own {i} text" for i in range(120))  # a line under every article is template
+
+
+def test_a_page_of_nested_headers_is_one_walk():
+    n = 30_000
+    began = time.process_time()
+    assert html.Page("<div><header>" * n + "x").text() == "" and html.Page("<article>" + "<div><header>" * n + "x").text() == "x"
+    assert time.process_time() - began < 10
+
+
+BIG = [(1 << 53) + 1, (1 << 53) + 3, None, 5, -((1 << 60) + 7)]
+
+
+def test_ids_come_back_as_they_were(spark, documents, tmp_path):
+    docs = documents([(i, f"text {k}", "en", "a") for k, i in enumerate(BIG)]).coalesce(1)
+    key = lambda i: (i is not None, i or 0)
+    ids = lambda df, c="doc_id": sorted((r[c] for r in df.select(c).collect()), key=key)
+    wanted = sorted(BIG, key=key)
+    assert ids(bpe.encoded(docs, BYTES)) == ids(bpe.encoded(docs, BYTES, ids=False)) == wanted
+    assert ids(planes.token_files(docs, WORDS, folder=f"file://{tmp_path}/p", files=1)) == wanted
+    pages = spark.createDataFrame([(i, "http://a.example", f"<p>{k}</p>") for k, i in enumerate(BIG)], "page_id long, url string, html string").coalesce(1)
+    for held in (html.HELD_HASHES, 0):
+        assert ids(html.main_text(pages, held_hashes=held), "page_id") == wanted
+    assert sorted(r["doc_id"] for r in bpe.encoded(docs.filter("doc_id > 0").selectExpr("'x' || doc_id as doc_id", "text"), BYTES).collect()) == sorted(f"x{i}" for i in BIG if i and i > 0)
+
+
+def test_pipeline_keeps_ids_and_takes_empty_tables(spark, documents, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "checkpoint_dir", lambda _: f"file://{tmp_path}/shared")
+    many = [(1000 + i, ("vile awful insult " if i % 4 == 1 else "") + f"plain words number {i} of this small corpus here", "en", "a") for i in range(40)]
+    rows = [(i, None if k == 3 else "" if k == 4 else f"some own text with the number {k} in it and more", "en", "a") for k, i in enumerate(BIG)]
+    for name, docs in (("full", rows + many), ("none", [])):
+        documents(docs).coalesce(1).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1000 + i, 1, int(i % 4 == 1)) for i in range(40)] if docs else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    kept = {r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/full").collect()}
+    assert kept and kept <= {*BIG, *(r[0] for r in many)} and {(1 << 53) + 1, (1 << 53) + 3} & kept
+
+
 def test_pipeline_by_its_stages(spark, documents, tmp_path):
     rng = np.random.default_rng(9)
     line = lambda k: " ".join(rng.choice([f"w{j}" for j in range(300)], k))
