@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import bpe, html, langid, lattice, line_dedup, mixing, planes, quality_lines, simhash, toxicity
+from cadenza.llm import bpe, centroids, html, langid, lattice, line_dedup, mixing, planes, quality_lines, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_general_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_exact_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_template_removal": op1_template_removal,
     "op2_counterfactual": op2_counterfactual,
@@ -65,10 +69,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rank_array_bpe": op8_rank_array_bpe,
     "op9_hyperdimensional": op9_hyperdimensional,
     "op10_general_pigeonhole": op10_general_pigeonhole,
+    "op13_exact_clusters": op13_exact_clusters,
 }
 SQL: dict[str, str] = {
     "op3_line_spread": line_dedup.LINES_SQL,
     "op4_e8_lattice": lattice.VECTORS_SQL,
     "op5_line_frequency": quality_lines.RULES_SQL,
     "op7_fair_queue": mixing.MIX_SQL,
+    "op13_exact_clusters": centroids.CLUSTERS_SQL,
 }
