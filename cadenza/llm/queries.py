@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import bpe, centroids, html, langid, lattice, line_dedup, mixing, planes, quality_lines, simhash, toxicity
+from cadenza.llm import bpe, centroids, html, langid, lattice, line_dedup, mixing, packing, planes, quality_lines, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_general_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op13_exact_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clusters(table(spark, sf_dir, "embeddings"))
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rank_array_bpe": op8_rank_array_bpe,
     "op9_hyperdimensional": op9_hyperdimensional,
     "op10_general_pigeonhole": op10_general_pigeonhole,
+    "op11_linear_grouping": op11_linear_grouping,
     "op13_exact_clusters": op13_exact_clusters,
 }
 SQL: dict[str, str] = {
