@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import bpe, centroids, html, langid, lattice, line_dedup, mixing, packing, planes, quality_lines, simhash, toxicity
+from cadenza.llm import alignment, bpe, centroids, html, langid, lattice, line_dedup, mixing, packing, planes, quality_lines, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op11_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_elementary_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_exact_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clusters(table(spark, sf_dir, "embeddings"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_hyperdimensional": op9_hyperdimensional,
     "op10_general_pigeonhole": op10_general_pigeonhole,
     "op11_linear_grouping": op11_linear_grouping,
+    "op12_elementary_intervals": op12_elementary_intervals,
     "op13_exact_clusters": op13_exact_clusters,
 }
 SQL: dict[str, str] = {
