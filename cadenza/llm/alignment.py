@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,11 +45,18 @@ HELD_PAIRS = 4_000_000
 KEPT, KEPT_CHARS = 400_000, 40
 #: Characters of text that are aligned together.
 AT_ONCE = 2_000_000
+#: Units that are encoded as one text.
+RUN = 1000
 SALTS = 16
 #: Sums of a unit or document: its A and B tokens, groups, links, best links and counts of links.
 SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
+#: White space but single spaces and line ends, or white space at the end.
+OTHER = SPACE.replace("\\n", "").replace("\\x20", "")
+ODD = re.compile(f"[{SPACE}][{SPACE}]|[{OTHER}]|[{SPACE}]\\Z")
+
+
 class Tokens:
     """Ids and bytes by the two tokenizers of strings that begin with white space."""
 
@@ -71,13 +79,14 @@ class Tokens:
         self.units = self._pattern([p.replace("▁", " ") for p in pieces if not p.startswith("<")])
         tried = "  two words,\n\nlines\tand  it's 12 x　y \r\n\r z  ;\r!"
         if self._whole(tried) != [[i for ids in per for i in ids] for per in self.encode(self.units.findall(" " + tried))]:
-            self.units = regex.compile(r"(?s).+")  # then a text is one unit
+            self.units, self.plain = regex.compile(r"(?s).+"), False  # then a text is one unit
 
     def _pattern(self, pieces: list[str]) -> regex.Pattern:
         """Units: white space and what follows it, on to the next white space without a gluing character."""
         glue = {c for p in pieces for c in p if c != " " and regex.match(f"[{SPACE}]", c)}
         if any(regex.search(f"[^{SPACE}] ", p) for p in pieces):
             glue.add(" ")
+        self.plain = not glue & {" ", "\n"}
         if not glue:
             return regex.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
         g = "".join(map(regex.escape, sorted(glue)))
@@ -87,12 +96,28 @@ class Tokens:
         return [self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)]
 
     def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """The ids of each unit in its text. The B tokenizer puts a space before what it is given: the unit's own first
-        space is left to it, and where a unit begins with other white space, the space that was put there is taken off."""
+        """The ids of each unit in its text, one by one. The B tokenizer puts a space before what it is given: the unit's own
+        first space is left to it, and where a unit begins with other white space, the space put there is taken off."""
         a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
         b = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
         return a, [[self.b_space] if u == " " else ids if u[0] == " " else ids[1:] for u, ids in zip(units, b, strict=True)]
 
+    def encode_run(self, units: list[str]) -> tuple[list[int], list[int]] | None:
+        """The ids of units that don't end in white space, one after the other as one text; None if that text's bytes don't
+        come back. The first unit begins with a space."""
+        text = "".join(units)
+        a, b = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.encode(text[1:])
+        raw = text.encode("utf-8", "surrogatepass")
+        same = b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
+        return (a, b) if same else None
+
+    def cut(self, text: str) -> list[str]:
+        """The units of space and text."""
+        if self.plain and not ODD.search(text) and text[0] not in " \n":
+            words = text.replace("\n", " \n").split(" ")
+            return [w if w[0] == "\n" else " " + w for w in words]
+        return self.units.findall(" " + text)
+
 
 def intervals(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(cuts, owner among A tokens, owner among B tokens, whether both end) of every elementary interval."""
@@ -114,12 +139,14 @@ class Counts:
 
 
 class Aligner:
-    """Units' alignments, kept from text to text."""
+    """Units' alignments, kept from text to text: with sums and groups, or links alone."""
 
-    def __init__(self, tokens: Tokens, counts: Counts | None = None):
-        self.tokens, self.counts = tokens, counts
+    def __init__(self, tokens: Tokens, counts: Counts | None = None, groups: bool = True):
+        self.tokens, self.counts, self.with_groups = tokens, counts, groups
         sized = lambda found: np.array([len(found.get(i, b"")) for i in range(max(found) + 1)], dtype=np.int64)
         self.a_sizes, self.b_sizes = sized(tokens.a_bytes), sized(tokens.b_bytes)
+        # an id's digits with what can follow it: the next id of its side, or the next side or group
+        self.digits = [np.array([f"{i}{end}" for i in range(len(of))], dtype=object) for of, end in ((self.a_sizes, ","), (self.a_sizes, "|"), (self.b_sizes, ","), (self.b_sizes, ";"))]
         self.forget()
 
     def forget(self) -> None:
@@ -129,48 +156,65 @@ class Aligner:
         self.links: list[np.ndarray] = []  # of units in order, as keys
         self.failed: set[int] = set()
 
-    def cut(self, text: str) -> list[str]:
-        return self.tokens.units.findall(" " + text)
-
     def learn(self, units: list[str]) -> None:
-        """Aligns units that aren't known, all at once: their bytes stand one after the other."""
-        of_a, of_b = self.tokens.encode(units)
-        first, whole = len(self.groups), []
-        for k, (u, a, b) in enumerate(zip(units, of_a, of_b, strict=True)):
-            self.place[u] = first + k
-            raw = u.encode("utf-8", "surrogatepass")
-            if b"".join(map(self.tokens.a_bytes.__getitem__, a)) == raw == b"".join(map(self.tokens.b_bytes.__getitem__, b)):
-                whole.append(k)
-            else:
-                self.failed.add(first + k)
+        """Aligns units that aren't known, many at once: they are encoded as runs of text, and the intervals of a run come
+        from its bytes as a whole."""
+        first = len(self.groups)
+        self.place.update(zip(units, range(first, first + len(units))))
         self.groups += [""] * len(units)
         self.links += [np.zeros(0, dtype=np.int64)] * len(units)
         while len(self.sums) < len(self.groups):
             self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
         self.sums[first : len(self.groups)] = 0
-        if not whole:
-            return
-        a, b = (np.array([i for k in whole for i in found[k]], dtype=np.int64) for found in (of_a, of_b))
-        n_a, n_b = (np.array([len(found[k]) for k in whole]) for found in (of_a, of_b))
-        ends_a, ends_b = self.a_sizes[a].cumsum(), self.b_sizes[b].cumsum()
-        cuts, own_a, own_b, closes = intervals(ends_a, ends_b)
-        ends = np.searchsorted(cuts, ends_a[n_a.cumsum() - 1], side="right")  # of each unit's intervals
+        alone = [k for k, u in enumerate(units) if u[-1].isspace() or "▁" in u]
+        apart = set(alone)
+        rest = [k for k in range(len(units)) if k not in apart]
+        for at in range(0, len(rest), RUN):
+            own = rest[at : at + RUN]
+            run = [units[k] for k in own]
+            if (found := self.tokens.encode_run([" x", *run])) is None:
+                alone += own
+            else:
+                self._take(np.array([0, *own]) + first, [" x", *run], *found, 1)
+        if alone:
+            own = [units[k] for k in alone]
+            for k, u, a, b in zip(alone, own, *self.tokens.encode(own), strict=True):
+                raw = u.encode("utf-8", "surrogatepass")
+                if b"".join(map(self.tokens.a_bytes.__getitem__, a)) == raw == b"".join(map(self.tokens.b_bytes.__getitem__, b)):
+                    self._take(np.array([first + k]), [u], a, b, 0)
+                else:
+                    self.failed.add(first + k)
+
+    def _take(self, places: np.ndarray, units: list[str], a: list[int], b: list[int], skip: int) -> None:
+        """Keeps the alignment of units that stand one after the other, but for the first few."""
+        a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        cuts, own_a, own_b, closes = intervals(self.a_sizes[a].cumsum(), self.b_sizes[b].cumsum())
+        edges = np.array([len(u.encode("utf-8", "surrogatepass")) for u in units]).cumsum()
+        ends = np.searchsorted(cuts, edges) + 1  # of each unit's intervals
         starts = np.concatenate([[0], ends[:-1]])
+        if not (closes[ends - 1].all() and (cuts[ends - 1] == edges).all()):
+            raise ValueError("a token reaches beyond its unit")
         keys = a[own_a] << 32 | b[own_b]
-        sums = np.zeros((len(whole), len(SUMS)), dtype=np.int64)
-        sums[:, 0], sums[:, 1], sums[:, 2], sums[:, 3] = n_a, n_b, np.add.reduceat(closes.astype(np.int64), starts), ends - starts
+        for place, x, y in zip(places[skip:].tolist(), starts[skip:].tolist(), ends[skip:].tolist(), strict=True):
+            self.links[place] = keys[x:y]
+        if not self.with_groups:
+            return
+        sums = np.zeros((len(units), len(SUMS)), dtype=np.int64)
+        sums[:, 0], sums[:, 1] = np.diff(own_a[ends - 1], prepend=-1), np.diff(own_b[ends - 1], prepend=-1)
+        sums[:, 2], sums[:, 3] = np.add.reduceat(closes.astype(np.int64), starts), ends - starts
         if self.counts is not None:
             n, best = self.counts.of(keys)
             sums[:, 4], sums[:, 5] = np.add.reduceat(best, starts), np.add.reduceat(n, starts)
-        self.sums[first + np.array(whole)] = sums
-        text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        upto_a, upto_b = (own_a[closes] + 1).tolist(), (own_b[closes] + 1).tolist()
-        told = [",".join(text_a[a0:a1]) + "|" + ",".join(text_b[b0:b1]) for a0, a1, b0, b1 in zip([0, *upto_a], upto_a, [0, *upto_b], upto_b, strict=False)]
-        at = 0
-        for k, many, x, y in zip(whole, sums[:, 2].tolist(), starts.tolist(), ends.tolist(), strict=True):
-            self.groups[first + k] = ";".join(told[at : at + many])
-            self.links[first + k] = keys[x:y]
-            at += many
+        self.sums[places[skip:]] = sums[skip:]
+        # the text of all groups: each group's A ids and then its B ids, every id with what follows it
+        last_a, last_b = np.zeros(len(a), dtype=bool), np.zeros(len(b), dtype=bool)
+        last_a[own_a[closes]] = last_b[own_b[closes]] = True
+        group_a, group_b = last_a.cumsum() - last_a, last_b.cumsum() - last_b
+        told = np.concatenate([np.where(last_a, self.digits[1][a], self.digits[0][a]), np.where(last_b, self.digits[3][b], self.digits[2][b])])
+        told = told[np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")].tolist()
+        upto = (own_a[ends - 1] + own_b[ends - 1] + 2).tolist()
+        for place, x, y in zip(places[skip:].tolist(), [0, *upto][skip:], upto[skip:], strict=False):
+            self.groups[place] = "".join(told[x:y])[:-1]
 
     def places(self, texts: list[str | None], forget: bool = True) -> Iterator[tuple[int, list[int] | None]]:
         """(number of the text, its units' places, or None if it has no tokens), a run of texts after the other; what is
@@ -183,7 +227,7 @@ class Aligner:
             while end < len(texts) and (end == at or size + len(texts[end] or "") <= AT_ONCE):
                 size += len(texts[end] or "")
                 end += 1
-            cut = [self.cut(t) if t else [] for t in texts[at:end]]
+            cut = [self.tokens.cut(t) if t else [] for t in texts[at:end]]
             if new := [u for u in set().union(*cut) if u not in self.place]:
                 self.learn(new)
             for k, units in enumerate(cut):
@@ -206,7 +250,7 @@ def counted(documents: DataFrame, a_path: str, b_path: str, text_column: str) ->
     """(a, b, n): partial counts of links."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(tokens_of(a_path, b_path))
+        aligner = Aligner(tokens_of(a_path, b_path), groups=False)
         often = np.zeros(0, dtype=np.int64)
 
         def told() -> Iterator[pa.RecordBatch]:
@@ -298,7 +342,7 @@ def with_joined_counts(told: DataFrame, held: DataFrame, pairs: DataFrame, a_pat
     """The rows with n_best and count_sum from a join of each different text's links to the counts."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(tokens_of(a_path, b_path))
+        aligner = Aligner(tokens_of(a_path, b_path), groups=False)
         for rows in batches:
             k0, k1 = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("k0", "k1"))
             for k, found in aligner.places(rows.column("text").to_pylist()):

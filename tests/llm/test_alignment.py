@@ -76,6 +76,7 @@ def test_units_give_what_whole_texts_give():
         assert "".join(units) == " " + text
         if "▁" in text or not text:
             continue
+        assert tokens.cut(text) == units, repr(text)
         a, b = tokens.encode(units)
         assert [i for x in a for i in x] == a_lib.encode(" " + text, add_special_tokens=False).ids, repr(text)
         assert [i for x in b for i in x] == b_lib.encode(text), repr(text)
