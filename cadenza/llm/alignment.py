@@ -10,9 +10,10 @@ vocabularies, glues what is around it together). So a text is cut into units, wh
 tokens, groups and links are the same wherever they stand. A worker aligns each different unit once, many at a time in
 one pass of the interval method, and keeps the result up to a fixed number of units; documents add units up.
 
-How often two ids are linked is counted over all documents: tasks add up their units, Spark adds up the tasks' rows. The
-counts go to the tasks that need them while there are at most `held_pairs` of them; beyond that documents' links are
-joined to the counts by Spark, dealt by a salt. Both give the same rows.
+Documents are aligned once: sums, digest and the different links of each (ids and how often, compressed) are written to
+the shared folder. From there tasks add up how often two ids are linked, and Spark adds up the tasks' rows. The counts go
+to the tasks that need them while there are at most `held_pairs` of them; beyond that documents' links are joined to the
+counts by Spark, dealt by a salt. Both give the same rows.
 
 Defined results: null and empty texts, and texts whose tokens don't give back their bytes (those with U+2581, which the
 B tokenizer takes for a space), have no tokens, zeros and an empty digest. Words of special tokens in a text are plain
@@ -26,14 +27,15 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.bpe import SPACE, byte_letters
@@ -42,19 +44,16 @@ from cadenza.llm.components import checkpoint_dir
 #: Links' different id pairs that are sent to tasks at most.
 HELD_PAIRS = 4_000_000
 #: Units that a worker keeps, and the longest of them in characters.
-KEPT, KEPT_CHARS = 400_000, 40
+KEPT, KEPT_CHARS = 600_000, 40
 #: Characters of text that are aligned together.
 AT_ONCE = 2_000_000
 #: Units that are encoded as one text.
 RUN = 1000
 SALTS = 16
-#: Sums of a unit or document: its A and B tokens, groups, links, best links and counts of links.
-SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-
-
-#: White space but single spaces and line ends, or white space at the end.
-OTHER = SPACE.replace("\\n", "").replace("\\x20", "")
-ODD = re.compile(f"[{SPACE}][{SPACE}]|[{OTHER}]|[{SPACE}]\\Z")
+#: Links that a task counts together.
+COUNTED = 4_000_000
+#: Sums of a unit or document: its A and B tokens, groups and links.
+SUMS = ("n_a", "n_b", "n_groups", "n_links")
 
 
 class Tokens:
@@ -73,6 +72,7 @@ class Tokens:
         with open(a_path, encoding="utf-8") as f:
             vocabulary: dict[str, int] = json.load(f)["model"]["vocab"]
         self.a_bytes = {i: bytes(map(letters.__getitem__, token)) for token, i in vocabulary.items()}
+        self.lossless = self.a.normalizer is None and {bytes([k]) for k in range(256)} <= set(self.a_bytes.values())  # bytes come back by construction
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = {i: bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)}
         self.b_space = pieces.index("▁")
@@ -108,14 +108,14 @@ class Tokens:
         text = "".join(units)
         a, b = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.encode(text[1:])
         raw = text.encode("utf-8", "surrogatepass")
-        same = b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
+        same = raw == b"".join(map(self.b_bytes.__getitem__, b)) and (self.lossless or raw == b"".join(map(self.a_bytes.__getitem__, a)))
         return (a, b) if same else None
 
     def cut(self, text: str) -> list[str]:
         """The units of space and text."""
-        if self.plain and not ODD.search(text) and text[0] not in " \n":
-            words = text.replace("\n", " \n").split(" ")
-            return [w if w[0] == "\n" else " " + w for w in words]
+        words, single = text.split(), text.count(" ") + text.count("\n")
+        if self.plain and len(words) == single + 1 and sum(map(len, words)) + single == len(text):  # no white space but single ones between words
+            return (" " + text.replace(" ", "\x1f ").replace("\n", "\x1f\n")).split("\x1f")
         return self.units.findall(" " + text)
 
 
@@ -126,23 +126,33 @@ def intervals(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.nd
     return cuts, a, b, (ends_a[a] == cuts) & (ends_b[b] == cuts)
 
 
-class Counts:
-    """How often id pairs are linked, by key (A id above 32 bits, B id), and which are their B id's best."""
+def weighed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, in order, and the sums of their times."""
+    order = np.argsort(keys, kind="stable")
+    keys, times = keys[order], times[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(times, first) if len(first) else times
+
 
-    def __init__(self, keys: np.ndarray, n: np.ndarray, best: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.n, self.best = keys[order], n[order], best[order]
+def press(keys: np.ndarray, times: np.ndarray) -> bytes:
+    """Links (A id above 32 bits, B id) and how often each is there, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.concatenate([np.diff(keys >> 32, prepend=0), keys & 0xFFFFFFFF, times]).astype("<u4").tobytes())
 
-    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(self.keys, keys)
-        return self.n[at], self.best[at].astype(np.int64)
+
+def unpress(links: Iterable[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The links of some documents one after the other, how often each is there, and how many each document has."""
+    take = zstandard.ZstdDecompressor().decompress
+    own = [np.frombuffer(take(x) if x else b"", dtype="<u4").reshape(3, -1).astype(np.int64) for x in links]
+    keys = [x[0].cumsum() << 32 | x[1] for x in own]
+    nothing = [np.zeros(0, dtype=np.int64)]
+    return np.concatenate(nothing + keys), np.concatenate(nothing + [x[2] for x in own]), np.array([x.shape[1] for x in own], dtype=np.int64)
 
 
 class Aligner:
-    """Units' alignments, kept from text to text: with sums and groups, or links alone."""
+    """Units' alignments, kept from text to text."""
 
-    def __init__(self, tokens: Tokens, counts: Counts | None = None, groups: bool = True):
-        self.tokens, self.counts, self.with_groups = tokens, counts, groups
+    def __init__(self, tokens: Tokens):
+        self.tokens = tokens
         sized = lambda found: np.array([len(found.get(i, b"")) for i in range(max(found) + 1)], dtype=np.int64)
         self.a_sizes, self.b_sizes = sized(tokens.a_bytes), sized(tokens.b_bytes)
         # an id's digits with what can follow it: the next id of its side, or the next side or group
@@ -153,7 +163,8 @@ class Aligner:
         self.place: dict[str, int] = {}  # of each unit among all that have been aligned
         self.groups: list[str] = []
         self.sums = np.zeros((1 << 12, len(SUMS)), dtype=np.int64)
-        self.links: list[np.ndarray] = []  # of units in order, as keys
+        self.starts = np.zeros(1 << 12, dtype=np.int64)  # of each unit's links
+        self.links, self.n_links = np.zeros(1 << 14, dtype=np.int64), 0
         self.failed: set[int] = set()
 
     def learn(self, units: list[str]) -> None:
@@ -162,9 +173,8 @@ class Aligner:
         first = len(self.groups)
         self.place.update(zip(units, range(first, first + len(units))))
         self.groups += [""] * len(units)
-        self.links += [np.zeros(0, dtype=np.int64)] * len(units)
         while len(self.sums) < len(self.groups):
-            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
+            self.sums, self.starts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sums, self.starts))
         self.sums[first : len(self.groups)] = 0
         alone = [k for k, u in enumerate(units) if u[-1].isspace() or "▁" in u]
         apart = set(alone)
@@ -185,6 +195,13 @@ class Aligner:
                 else:
                     self.failed.add(first + k)
 
+    def links_of(self, places: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The different links of units, and how often each is there."""
+        at = np.array(places)
+        n = self.sums[at, 3]
+        before = n.cumsum() - n
+        return weighed(self.links[np.arange(n.sum()) + np.repeat(self.starts[at] - before, n)], np.ones(n.sum(), dtype=np.int64))
+
     def _take(self, places: np.ndarray, units: list[str], a: list[int], b: list[int], skip: int) -> None:
         """Keeps the alignment of units that stand one after the other, but for the first few."""
         a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
@@ -195,16 +212,14 @@ class Aligner:
         if not (closes[ends - 1].all() and (cuts[ends - 1] == edges).all()):
             raise ValueError("a token reaches beyond its unit")
         keys = a[own_a] << 32 | b[own_b]
-        for place, x, y in zip(places[skip:].tolist(), starts[skip:].tolist(), ends[skip:].tolist(), strict=True):
-            self.links[place] = keys[x:y]
-        if not self.with_groups:
-            return
+        while len(self.links) < self.n_links + len(keys):
+            self.links = np.concatenate([self.links, np.zeros_like(self.links)])
+        self.links[self.n_links : self.n_links + len(keys)] = keys
+        self.starts[places[skip:]] = self.n_links + starts[skip:]
+        self.n_links += len(keys)
         sums = np.zeros((len(units), len(SUMS)), dtype=np.int64)
         sums[:, 0], sums[:, 1] = np.diff(own_a[ends - 1], prepend=-1), np.diff(own_b[ends - 1], prepend=-1)
         sums[:, 2], sums[:, 3] = np.add.reduceat(closes.astype(np.int64), starts), ends - starts
-        if self.counts is not None:
-            n, best = self.counts.of(keys)
-            sums[:, 4], sums[:, 5] = np.add.reduceat(best, starts), np.add.reduceat(n, starts)
         self.sums[places[skip:]] = sums[skip:]
         # the text of all groups: each group's A ids and then its B ids, every id with what follows it
         last_a, last_b = np.zeros(len(a), dtype=bool), np.zeros(len(b), dtype=bool)
@@ -216,12 +231,12 @@ class Aligner:
         for place, x, y in zip(places[skip:].tolist(), [0, *upto][skip:], upto[skip:], strict=False):
             self.groups[place] = "".join(told[x:y])[:-1]
 
-    def places(self, texts: list[str | None], forget: bool = True) -> Iterator[tuple[int, list[int] | None]]:
+    def places(self, texts: list[str | None]) -> Iterator[tuple[int, list[int] | None]]:
         """(number of the text, its units' places, or None if it has no tokens), a run of texts after the other; what is
-        known may be forgotten between runs, unless the caller sees to that."""
+        known may be forgotten between runs."""
         at = 0
         while at < len(texts):
-            if forget and len(self.groups) > KEPT:
+            if len(self.groups) > KEPT:
                 self.forget()
             end, size = at, 0
             while end < len(texts) and (end == at or size + len(texts[end] or "") <= AT_ONCE):
@@ -246,117 +261,100 @@ def tokens_of(a_path: str, b_path: str) -> Tokens:
     return Tokens(a_path, b_path)
 
 
-def counted(documents: DataFrame, a_path: str, b_path: str, text_column: str) -> DataFrame:
-    """(a, b, n): partial counts of links."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(tokens_of(a_path, b_path), groups=False)
-        often = np.zeros(0, dtype=np.int64)
-
-        def told() -> Iterator[pa.RecordBatch]:
-            used = often.nonzero()[0]
-            if len(used):
-                own = [aligner.links[k] for k in used.tolist()]
-                keys, at = np.unique(np.concatenate(own), return_inverse=True)
-                n = np.zeros(len(keys), dtype=np.int64)
-                np.add.at(n, at, np.repeat(often[used], list(map(len, own))))
-                yield pa.RecordBatch.from_arrays([pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], names=["a", "b", "n"])
+def aligned(documents: DataFrame, a_path: str, b_path: str, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id, row (a number of its own), the sums, groups_sha256 and links (see press) of every document."""
+    held = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
 
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner, row = Aligner(tokens_of(a_path, b_path)), TaskContext.get().partitionId() << 33
         for rows in batches:
-            texts, at = rows.column(0).to_pylist(), 0
-            while at < len(texts):
-                # a stretch at a time, so that what is counted is still known when it is told
-                end, size = at, 0
-                while end < len(texts) and (end == at or size < AT_ONCE):
-                    size += len(texts[end] or "")
-                    end += 1
-                if len(aligner.groups) > KEPT:
-                    yield from told()
-                    aligner.forget()
-                    often = np.zeros(0, dtype=np.int64)
-                for _, found in aligner.places(texts[at:end], forget=False):
-                    if len(often) < len(aligner.groups):
-                        often = np.concatenate([often, np.zeros(len(aligner.groups) - len(often), dtype=np.int64)])
-                    if found:
-                        often += np.bincount(found, minlength=len(often))
-                at = end
-        yield from told()
+            sums, digests, links = np.zeros((rows.num_rows, len(SUMS)), dtype=np.int64), [""] * rows.num_rows, [None] * rows.num_rows
+            for k, found in aligner.places(rows.column("text").to_pylist()):
+                if found:
+                    sums[k] = aligner.sums[found].sum(axis=0)
+                    digests[k] = hashlib.sha256(";".join(map(aligner.groups.__getitem__, found)).encode()).hexdigest()
+                    links[k] = press(*aligner.links_of(found))
+            own = [pa.array(np.arange(row, row + rows.num_rows)), *(pa.array(sums[:, k]) for k in range(len(SUMS))), pa.array(digests, pa.string()), pa.array(links, pa.binary())]
+            row += rows.num_rows
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *own], names=["doc_id", "row", *SUMS, "groups_sha256", "links"])
 
-    return documents.select(F.col(text_column).alias("text")).mapInArrow(count, "a int, b int, n long")
+    kind = held.schema["doc_id"].dataType.simpleString()
+    return held.mapInArrow(align, ", ".join([f"doc_id {kind}, row long", *(f"{c} long" for c in SUMS), "groups_sha256 string, links binary"]))
 
 
-def pair_counts(documents: DataFrame, a_path: str, b_path: str, *, text_column: str = "text") -> DataFrame:
-    """(a, b, n, best): how many links of all documents hold the ids a and b, and whether no A id has more with b."""
-    from pyspark.sql import Window
+def link_columns(keys: np.ndarray) -> list[pa.Array]:
+    return [pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32))]
 
-    whole = counted(documents, a_path, b_path, text_column).groupBy("a", "b").agg(F.sum("n").alias("n"))
-    return whole.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy("b")))  # a row for each A id at most
 
+def pair_counts(found: DataFrame) -> DataFrame:
+    """(a, b, n, best): how many links of all aligned documents hold the ids a and b, and whether no A id has more with b."""
 
-def text_key(text: Column) -> list[Column]:
-    return [F.xxhash64(text).alias("k0"), F.xxhash64(F.lit(1), text).alias("k1")]
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, times = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        for rows in batches:
+            links, at = rows.column("links").to_pylist(), 0
+            while at < len(links):
+                end, size = at, 0
+                while end < len(links) and size < COUNTED:
+                    size += len(links[end] or b"")
+                    end += 1
+                more, n, _ = unpress(links[at:end])
+                keys, times = weighed(np.concatenate([keys, more]), np.concatenate([times, n]))
+                at = end
+                if len(keys) > COUNTED:
+                    yield pa.RecordBatch.from_arrays([*link_columns(keys), pa.array(times)], names=["a", "b", "n"])
+                    keys, times = keys[:0], times[:0]
+        if len(keys):
+            yield pa.RecordBatch.from_arrays([*link_columns(keys), pa.array(times)], names=["a", "b", "n"])
+
+    whole = found.select("links").mapInArrow(count, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return whole.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy("b")))  # a row for each A id at most
 
 
-def alignment(
-    documents: DataFrame,
-    a_path: str,
-    b_path: str,
-    *,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    held_pairs: int = HELD_PAIRS,
-) -> DataFrame:
+def alignment(documents: DataFrame, a_path: str, b_path: str, *, id_column: str = "doc_id", text_column: str = "text", held_pairs: int = HELD_PAIRS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every document."""
     spark = documents.sparkSession
     checkpoint_dir(spark)
-    pairs = pair_counts(documents, a_path, b_path, text_column=text_column).checkpoint()
-    held = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    few = pairs.count() <= held_pairs
-    sent = None
-    if few:
-        found = pairs.toPandas()
-        keys = found["a"].to_numpy(np.int64) << 32 | found["b"].to_numpy(np.int64)
-        sent = spark.sparkContext.broadcast((keys, found["n"].to_numpy(np.int64), found["best"].to_numpy(bool)))  # of a checked size
-    passed = [f.name for f in held.schema.fields if f.name != "text"]
-    if not few:
-        held = held.select("doc_id", *text_key(F.col("text")), "text")
-        passed = ["doc_id", "k0", "k1"]
-    kinds = {f.name: f.dataType.simpleString() for f in held.schema.fields}
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in passed), *(f"{c} long" for c in SUMS), "groups_sha256 string"])
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(tokens_of(a_path, b_path), None if sent is None else Counts(*sent.value))
+    told = aligned(documents, a_path, b_path, id_column=id_column, text_column=text_column).checkpoint()
+    pairs = pair_counts(told).checkpoint()
+    if pairs.count() > held_pairs:
+        return with_joined_counts(told, pairs)
+    table = pairs.toPandas()
+    keys = table["a"].to_numpy(np.int64) << 32 | table["b"].to_numpy(np.int64)
+    order = np.argsort(keys)
+    sent = spark.sparkContext.broadcast((keys[order], table["n"].to_numpy(np.int64)[order], table["best"].to_numpy(bool)[order]))  # of a checked size
+    passed = ["doc_id", *SUMS, "groups_sha256"]
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, often, is_best = sent.value
         for rows in batches:
-            sums, digests = np.zeros((rows.num_rows, len(SUMS)), dtype=np.int64), [""] * rows.num_rows
-            for k, found in aligner.places(rows.column("text").to_pylist()):
-                if found:
-                    sums[k] = aligner.sums[found].sum(axis=0)
-                    digests[k] = hashlib.sha256(";".join(map(aligner.groups.__getitem__, found)).encode()).hexdigest()
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in passed), *(pa.array(sums[:, k]) for k in range(len(SUMS))), pa.array(digests, pa.string())], names=[*passed, *SUMS, "groups_sha256"])
+            best, counts = np.zeros(rows.num_rows, dtype=np.int64), np.zeros(rows.num_rows, dtype=np.int64)
+            for k, links in enumerate(rows.column("links").to_pylist()):
+                if links:
+                    own, times, _ = unpress([links])
+                    at = np.searchsorted(known, own)
+                    best[k], counts[k] = (is_best[at] * times).sum(), (often[at] * times).sum()
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in passed), pa.array(best), pa.array(counts)], names=[*passed, "n_best", "count_sum"])
 
-    told = held.mapInArrow(align, schema)
-    return told if few else with_joined_counts(told, held, pairs, a_path, b_path)
+    kinds = {f.name: f.dataType.simpleString() for f in told.schema.fields}
+    return told.drop("row").mapInArrow(summed, ", ".join([*(f"{c} {kinds[c]}" for c in passed), "n_best long, count_sum long"]))
 
 
-def with_joined_counts(told: DataFrame, held: DataFrame, pairs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """The rows with n_best and count_sum from a join of each different text's links to the counts."""
+def with_joined_counts(told: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The documents with n_best and count_sum from a join of their links to the counts."""
 
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(tokens_of(a_path, b_path), groups=False)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            k0, k1 = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("k0", "k1"))
-            for k, found in aligner.places(rows.column("text").to_pylist()):
-                if found:
-                    keys, n = np.unique(np.concatenate([aligner.links[i] for i in found]), return_counts=True)
-                    same = np.full(len(keys), 1, dtype=np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (same * k0[k], same * k1[k], (keys >> 32).astype(np.int32), (keys & 0xFFFFFFFF).astype(np.int32), n.astype(np.int64))], names=["k0", "k1", "a", "b", "times"])
+            for row, links in zip(rows.column("row").to_pylist(), rows.column("links").to_pylist(), strict=True):
+                if links:
+                    keys, times, _ = unpress([links])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), row)), *link_columns(keys), pa.array(times)], names=["row", "a", "b", "times"])
 
-    own = held.select("k0", "k1", "text").mapInArrow(links, "k0 long, k1 long, a int, b int, times long")
-    own = own.groupBy("k0", "k1", "a", "b").agg(F.max("times").alias("times")).withColumn("salt", F.pmod("k0", F.lit(SALTS)).cast("int"))
+    own = told.select("row", "links").mapInArrow(each, "row long, a int, b int, times long").withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
     dealt = pairs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    sums = own.join(dealt, ["a", "b", "salt"]).groupBy("k0", "k1").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
-    joined = told.drop("n_best", "count_sum").join(sums, ["k0", "k1"], "left")
-    return joined.select("doc_id", *[F.coalesce(F.col(c), F.lit(0)).alias(c) if c in ("n_best", "count_sum") else F.col(c) for c in SUMS], "groups_sha256")
+    sums = own.join(dealt, ["a", "b", "salt"]).groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
+    none = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return told.drop("links").join(sums, "row", "left").select("doc_id", *SUMS, "groups_sha256", none("n_best"), none("count_sum"))
 
 
 GROUP = "struct<start:bigint,end:bigint,a:array<int>,b:array<int>>"
