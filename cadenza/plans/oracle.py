@@ -218,7 +218,8 @@ select label, date, value from p where prev is null or value < prev""",
 ui as (select u.*, intensity from u join ranges on heartrate between a and b), {efficiency('ui', 'intensity')} select intensity, bucket, round(bin_center, 6) as bin_center, round(mean, 6) as mean, round(std, 6) as std, count from curve""",
     "efficiency_predict": f"with recursive {PREDICT} select activity_id, split_id, round(speed * factor, 6) as gap from near",
     "calibration_pairs": PAIRS.replace("with ", "with recursive ", 1),
-    "calibration_pairs_bucketed": PAIRS.replace("with ", "with recursive ", 1),
+    "calibration_pairs_bucketed": f"""with recursive {USABLE}, flat as (select * from u where elevation_gain > -10 and elevation_gain < 10)
+      select floor(u.heartrate / 3.0) * 3.0 as hr_from, count(*) as n_pairs, round(avg(flat.speed), 6) as mean_y from u join flat on abs(flat.heartrate - u.heartrate) <= 3.0 group by 1""",
     "flat_speed_targets": f"""with recursive {USABLE} select u.activity_id, u.split_id, round(avg(f.speed), 6) as y, count(*) as n from u join u f on f.elevation_gain > -10 and f.elevation_gain < 10 and abs(f.heartrate - u.heartrate) <= 3.0 group by 1, 2""",
     "loess_curve": f"with recursive {NAMED}, {loess('named')} select curve, round(bin_center, 6) as bin_center, round(mean, 6) as mean, round(std, 6) as std, count from smooth",
     "gap_efficiency_curves": f"""with recursive {SCALED}, {efficiency('ut', 'curve').replace('curve as (select curve, bucket', 'buckets as (select curve, bucket')}, {loess('buckets')}, {REFERENCE}, every as (select * from smooth union all select * from ref)
@@ -228,7 +229,8 @@ select curve, round(bin_center, 6) as bin_center, round(mean, 6) as mean, round(
     "single_stream": f"with {TELE} select * from tele where activity_id = 3",
     "decoded_streams": f"with {PAYLOADS} select activity_id, k - 1 as seq, k * 2 as t, k * 5.5::double as distance, cast(cents % 900 as double) as altitude, case when cents % 7 <> 0 then cast(120 + cents % 60 as double) end as heartrate from o where activity_id % 10 <> 0",
     "mismatched_streams": f"with {PAYLOADS} select distinct activity_id, cast(n as int) as n_times, cast(n - 1 as int) as n_heartrates from o where activity_id % 10 = 0",
-    "remote_streams": f"with {LISTING}, l as (select activity_id as i from listing order by start_date desc nulls last, activity_id limit 200) select i as activity_id, cast(case when i % 7 = 1 then -1 else i % 4 end as int) as n, case when i % 7 = 1 then 'KeyError: ' || chr(39) || 'stream ' || i || chr(39) end as error from l",
+    "remote_streams": """select i as activity_id, cast(case when i % 7 = 1 then -1 else n end as int) as n, case when i % 7 = 1 then 'KeyError: ' || chr(39) || 'stream ' || i || chr(39) end as error
+      from (select cast(o_custkey as bigint) as i, count(*) as n from orders group by 1) o""",
     "saved_summary": f"with {SUMS} select cast(year(date) as int) as year, round(sum(distance_m), 3) as distance_m from s group by 1",
     "pace_clocks": f"with {SUMS} select activity_id, cast(trunc(elevation_gain_m * 1000) as bigint) as climb_ms, cast(trunc(best_1km * 1000) as bigint) as best_ms from s",
     "series_colours": "select n_nationkey, case when n_nationkey % 4 = 3 then n_name else 'rgba(' || (c // 65536) || ',' || (c // 256 % 256) || ',' || (c % 256) || ',0.25)' end as colour from (select *, cast(n_nationkey * 700001 % 16777216 as bigint) as c from nation) x",
@@ -241,11 +243,14 @@ select (bin + 0.5::double) * 20 as bin_center, round(mean, 6) as mean, round(std
     "rolling_mean_curves": f"""with recursive {CURVE}, o as (select 'personal' as curve, *, row_number() over (order by bin_center, bucket) as i, count(*) over () as n from curve),
 near as (select a.curve, a.bucket, a.bin_center, a.count, avg(b.mean) as mean, avg(b.std) as std from o a cross join (select unnest(range(-2, 3)) as k) k join o b on b.curve = a.curve and b.i = least(greatest(a.i + k.k, 1), a.n) group by 1, 2, 3, 4)
 select curve, bucket, round(bin_center, 6) as bin_center, round(mean, 6) as mean, round(std, 6) as std, count from near""",
-    "reference_curves": f"with {REFERENCE} select * from ref",
+    "reference_curves": f"with recursive {NAMED} " + " union all ".join(f"select '{c}' as reference, round(bin_center, 6) as bin_center, round({factor_sql('bin_center', c)}, 6) as factor, round(mean - {factor_sql('bin_center', c)}, 6) as away from named" for c in C.REFERENCE_CURVES),
     "curve_union": f"with recursive {NAMED}, x as (select * from named union all select * from ref) select curve, round(bin_center, 6) as bin_center, round(mean, 6) as mean, round(std, 6) as std, count, round(mean - std, 6) as low, round(mean + std, 6) as high from x",
     "curve_export": f"with recursive {NAMED}, x as (select * from named union all select * from ref) select curve, round(bin_center, 6) as bin_center_m_per_km, round(mean, 6) as speed_adjuster_mean, round(std, 6) as speed_adjuster_std, count as sample_count from x",
 }
 
+SQL["curve_files"] = SQL["curve_export"]
+SQL["paged_listing"] = SQL["listed_activities"]
+
 
 def _dates_as_text(sql: str, *columns: str) -> str:
     told = ", ".join(f"cast({c} as varchar) as {c}" for c in columns)
@@ -254,7 +259,7 @@ def _dates_as_text(sql: str, *columns: str) -> str:
 
 for _names, _columns in (
     (("history_summary",), ("first_date", "last_date")),
-    (("workout_list", "workout_dates", "stream_filter", "latest_activities", "listed_activities", "fetched_streams"), ("start_date",)),
+    (("workout_list", "workout_dates", "stream_filter", "latest_activities", "listed_activities", "paged_listing", "fetched_streams"), ("start_date",)),
     (("progress_sums", "activity_progress", "record_progression", "current_records"), ("date",)),
     (("annual_distance", "annual_elevation", "avg_gradient_week", "avg_gradient_month", "power_hr_weekly", "power_hr_monthly", "gradient_map_week", "gradient_map_month"), ("x",)),
 ):

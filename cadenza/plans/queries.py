@@ -20,7 +20,8 @@ from cadenza.operators.savgol import savgol_by_activity
 from cadenza.operators.smoothing import loess_curves, rolling_mean_curve
 from cadenza.plans import gap, progress, races
 from cadenza.sources import activities as S
-from cadenza.sources.remote import fetch_streams
+from cadenza.session import shared_folder
+from cadenza.sources import connector
 from cadenza.sources.saved import saved
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -371,7 +372,9 @@ def calibration_pairs(spark, d):
 
 @query
 def calibration_pairs_bucketed(spark, d):
-    return calibration_pairs(spark, d)
+    """The pairs of each heart-rate range of the splits: how many, and their mean flat speed."""
+    found = K.calibration_pairs(usable(spark, d)).groupBy((F.floor(F.col("heartrate") / C.HR_TOLERANCE) * C.HR_TOLERANCE).alias("hr_from"))
+    return rounded(found.agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("y").alias("mean_y")), "mean_y")
 
 
 @query
@@ -404,7 +407,10 @@ def rolling_mean_curves(spark, d):
 
 @query
 def reference_curves(spark, d):
-    return C.reference_curves(spark)
+    """The published curves laid over the personal one: their factors at its bins, and how far it is from them."""
+    names = list(C.REFERENCE_CURVES)
+    own = named_curve(spark, d).withColumns({n: R.factor_at(F.col("bin_center"), n) for n in names}).unpivot(["bin_center", "mean"], names, "reference", "factor")
+    return rounded(own.select("reference", "bin_center", "factor", (F.col("mean") - F.col("factor")).alias("away")), "bin_center", "factor", "away")
 
 
 @query
@@ -418,6 +424,16 @@ def curve_export(spark, d):
     return rounded(S.export_curves(named_curve(spark, d).unionByName(C.reference_curves(spark))), *names)
 
 
+@query
+def curve_files(spark, d):
+    """The export written by the sink of curves, and read back from its files."""
+    path = f"{shared_folder(spark).rstrip('/')}/curves-{uuid.uuid4().hex}"
+    told = curve_export(spark, d)
+    connector.register(spark)
+    told.write.format("curve_files").option("path", path).mode("append").save()
+    return spark.read.option("header", True).schema(told.schema).csv(f"{path}/part-*.csv")
+
+
 @query
 def loess_curve(spark, d):
     return rounded(loess_curves(named_curve(spark, d)), "bin_center", "mean", "std")
@@ -436,8 +452,7 @@ def gap_curves(spark, d):
 def gap_efficiency_curves(spark, d):
     """The curves that SQL can say too: efficiency in both scales and two intensities, smoothed, and the published ones."""
     t = telemetry(spark, d)
-    strata = RANGES[:2] if not usable(spark, d).isEmpty() else ()
-    return rounded(gap.personal_curves(t, dated(t), SCALES, intensities=strata, per_bucket=50, boosted=False), "bin_center", "mean", "std")
+    return rounded(gap.personal_curves(t, dated(t), SCALES, intensities=RANGES[:2], per_bucket=50, boosted=False), "bin_center", "mean", "std")
 
 
 @query
@@ -501,23 +516,36 @@ def mismatched_streams(spark, d):
 
 @query
 def remote_streams(spark, d):
-    """Fetched in tasks from a provider that fails for every seventh activity."""
+    """Payloads of the customers' activities, fetched as a stream of the listing's pages; every seventh has none."""
+    connector.register(spark)
+    folder = f"{shared_folder(spark).rstrip('/')}/streams-{uuid.uuid4().hex}"
+    listed = summaries(spark, d).join(table(spark, d, "orders").select(F.col("o_orderkey").alias("activity_id"), "o_custkey"), "activity_id")
+    listed = listed.groupBy(F.col("o_custkey").cast("long").alias("activity_id")).agg(F.min("sport_type").alias("sport_type"), F.min("date").alias("start_date"), F.lit(True).alias("has_heartrate"))
+    connector.write_pages(listed, f"{folder}/listing", 500)
+    payloads(spark, d).filter("activity_id % 7 <> 1").repartitionByRange(8, "activity_id").sortWithinPartitions("activity_id").write.parquet(f"{folder}/payloads")
+    stream = spark.readStream.format("activity_payloads").options(path=f"{folder}/listing", log=f"{folder}/log", provider="cadenza.sources.connector:payload_in_table", remote=f"{folder}/payloads").load()
+    q = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    found = spark.read.parquet(f"{folder}/out")
+    return found.select("activity_id", F.coalesce(F.size("time"), F.lit(-1)).alias("n"), "error")
 
-    def provider(i, kinds, resolution):
-        if i % 7 == 1:
-            raise KeyError(f"stream {i}")
-        return {k: [float(j) for j in range(i % 4)] for k in kinds}
 
-    found = fetch_streams(listing(spark, d), provider, max_activities=200, throttle_s=0.0, tasks=4)
-    return found.select("activity_id", F.coalesce(F.size("time"), F.lit(-1)).alias("n"), "error")
+@query
+def paged_listing(spark, d):
+    """The listing as pages, read by the connector: sport, dates and heart rate go to its reader."""
+    connector.register(spark)
+    path = f"{shared_folder(spark).rstrip('/')}/listing-{uuid.uuid4().hex}"
+    connector.write_pages(source(spark, d).activities, path, 1000)
+    found = connector.listed(spark, path).filter("has_heartrate and sport_type = 'TrailRun' and start_date between date'1996-01-01' and date'1997-12-31'")
+    return found.select("activity_id", "sport_type", "start_date")
 
 
 @query
 def saved_summary(spark, d):
-    """Season totals, made and kept under their parameters the first time and read from there."""
-    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/cadenza-saved"
+    """Season totals, made and kept under their parameters the first time, and read from there until the orders change."""
+    folder = f"{shared_folder(spark).rstrip('/')}/kept"
     make = lambda: summaries(spark, d).groupBy(F.year("date").alias("year")).agg(F.round(F.sum("distance_m"), 3).alias("distance_m"))
-    return [saved(spark, folder, make, query="season totals", tables=d, run=uuid.uuid4().hex) for _ in range(2)][1]
+    return [saved(spark, folder, make, [table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")], query="season totals", tables=d) for _ in range(2)][1]
 
 
 # --- texts

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -27,3 +29,15 @@ def build_session(cores: int | str = 8, app: str = "cadenza", **conf: str) -> Sp
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; a folder of this machine where the master
+    is this machine too and none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share (master {spark.sparkContext.master})")
+        folder = "file://" + tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder if re.match(r"[a-z0-9+.-]+:", folder) else f"file://{folder}"
