@@ -2,8 +2,9 @@
 nearest full window of samples. Inside an activity that window is centred; near its ends it is the first or the last one.
 
 What the filter has to know of a whole activity (its length, the spacing of its samples, the neighbours of missing
-values) comes from windows in Spark. The filter itself runs over blocks of an activity, each with a window's length of
-the samples on either side, so an activity of any length is smoothed by many tasks of a bounded size.
+values) comes from windows in Spark; the median spacing is taken by ranks, so that no task holds an activity's
+spacings. The filter itself runs over blocks of an activity, each with a window's length of the samples on either side,
+so an activity of any length is smoothed by many tasks of a bounded size.
 """
 
 from __future__ import annotations
@@ -52,23 +53,33 @@ def filled(value: Column, index: Column) -> Column:
     return F.coalesce(value, line, a["v"], b["v"])
 
 
+def prepared(rows: DataFrame, column: str, window_m: float, degree: int, distance: str) -> DataFrame:
+    """The rows with _v (null where missing), _i (their place), _n (how many there are), _filled, _width and _applies."""
+    whole, v, i = Window.partitionBy("activity_id"), F.col("_v"), F.col("_i")
+    value, gap = F.col(column).cast("double"), F.col(distance) - F.lag(distance).over(order())
+    held = rows.withColumns({"_v": F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value), "_i": F.row_number().over(order()) - 1, "_gap": gap})
+    held = held.withColumns({"_n": F.count(F.lit(1)).over(whole), "_there": F.count(v).over(whole), "_filled": filled(v, i)})
+    forward = F.when((F.col("_gap") > 0) & (F.col("_gap") < float("inf")), F.col("_gap"))
+    held = held.withColumns({"_rank": F.row_number().over(whole.orderBy(forward.asc_nulls_last())), "_steps": F.count(forward).over(whole)})
+    middle = (F.col("_rank") == F.floor((F.col("_steps") + 1) / 2)) | (F.col("_rank") == F.floor(F.col("_steps") / 2) + 1)
+    held = held.withColumn("_spacing", F.coalesce(F.avg(F.when(middle, forward)).over(whole), F.lit(1.0)))  # the median, by ranks
+    n = F.col("_n")
+    held = held.withColumn("_width", F.least(F.greatest(odd(F.rint(F.lit(float(window_m)) / F.col("_spacing")).cast("long")), odd(F.lit(degree + 2))), n - 1 + n % 2).cast("int"))
+    return held.withColumn("_applies", (n >= degree + 2) & (F.col("_there") >= 2) & (F.col("_width") > degree)).drop("_gap", "_there", "_spacing", "_rank", "_steps")
+
+
 def savgol_by_activity(rows: DataFrame, column: str, to: str, window_m: float, degree: int = 2, distance: str = "distance", block: int = BLOCK) -> DataFrame:
     """The rows with the smoothed column.
 
     The window holds window_m by the activity's median spacing of samples, an odd number of them, degree + 2 or more and
-    no more than there are. Missing values stay missing. Values stay as they are in activities with fewer than degree + 2
-    samples or fewer than two values, and where the window isn't longer than the degree."""
-    whole, v, i = Window.partitionBy("activity_id"), F.col("_v"), F.col("_i")
-    gap = F.col(distance) - F.lag(distance).over(order())
-    held = rows.withColumns({"_v": F.when(~F.isnan(F.col(column).cast("double")), F.col(column).cast("double")), "_i": F.row_number().over(order()) - 1, "_gap": F.when((gap > 0) & (gap < float("inf")), gap)})
-    held = held.withColumns({"_n": F.count(F.lit(1)).over(whole), "_there": F.count(v).over(whole), "_spacing": F.coalesce(F.median("_gap").over(whole), F.lit(1.0)), "_filled": filled(v, i)})
-    n = F.col("_n")
-    held = held.withColumn("_width", F.least(F.greatest(odd(F.rint(F.lit(float(window_m)) / F.col("_spacing")).cast("long")), odd(F.lit(degree + 2))), n - 1 + n % 2).cast("int"))
-    applies = (n >= degree + 2) & (F.col("_there") >= 2) & (F.col("_width") > degree)
+    no more than there are. Missing and infinite values stay missing. Values stay as they are in activities with fewer than
+    degree + 2 samples or fewer than two values, and where the window isn't longer than the degree. An activity is dealt in
+    blocks of `block` samples or a window."""
+    held, i = prepared(rows, column, window_m, degree, distance), F.col("_i")
     size = F.greatest(F.lit(block), F.col("_width"))
     own = F.floor(i / size)
     near = F.array(own, F.when((own > 0) & (i - own * size < F.col("_width")), own - 1), F.when((own + 1) * size - i <= F.col("_width"), own + 1))
-    held = held.withColumns({"_applies": applies, "_own": own}).drop("_gap", "_there", "_spacing").withColumn("_block", F.explode(F.array_compact(near)))
+    held = held.withColumn("_own", own).withColumn("_block", F.explode(F.array_compact(near)))
     schema = T.StructType([f for f in rows.schema.fields if f.name != to] + [T.StructField(to, T.DoubleType())])
 
     def smoothed(samples: pd.DataFrame) -> pd.DataFrame:

@@ -282,6 +282,18 @@ def test_savgol_is_the_same_in_blocks_of_any_size(spark, samples, block):
         assert np.allclose(own["smooth"].to_numpy(float), wanted, equal_nan=True)
 
 
+@pytest.mark.parametrize("degree", [0, 1, 2, 3])
+def test_savgol_of_any_degree_takes_infinities_as_missing(spark, samples, degree):
+    rng = np.random.default_rng(degree)
+    n = 900
+    way, y = np.cumsum(rng.integers(1, 4, n)).astype(float), 4000 + np.cumsum(rng.normal(size=n))
+    y[[5, 400]], y[17] = np.inf, -np.inf
+    found = savgol.savgol_by_activity(samples([(k, way[k], float(y[k]), 100) for k in range(n)]), "altitude", "smooth", 150.0, degree=degree, block=64).orderBy("seq").toPandas()
+    wanted = plain_savgol(y, way, 150.0, degree)
+    assert np.isnan(found["smooth"].to_numpy(float)[[5, 17, 400]]).all()
+    assert np.allclose(found["smooth"].to_numpy(float), np.where(np.isfinite(y), wanted, np.nan), equal_nan=True, rtol=0, atol=1e-6)
+
+
 def plain_loess(x, y, counts, fraction=0.4):
     """Each bin by a fit of its own, over all bins."""
     k, found = max(3, int(np.ceil(fraction * len(x)))), []
