@@ -10,8 +10,9 @@ The vocabulary file is named by path and read once by each worker. Texts are enc
 shuffled.
 
 Defined results: null and empty texts have no ids and decode to an empty text; special tokens written out in a text
-are that token's id, as the vocabulary file says; repeated rows each get their own result; an empty table gives an
-empty result.
+are that token's id, as the vocabulary file says; a very long text is held whole by its task; repeated rows each get
+their own result; ids come back as they were, null ones beside large ones too; further columns are left out, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

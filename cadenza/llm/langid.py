@@ -10,7 +10,8 @@ for each language and component, are summed by Spark, and only the sums reach th
 
 Defined results: null texts and texts without a letter get `und` and score 0, as do all texts if nothing was
 learned; texts of any length are read whole, a block of letters at a time; ties go to the first language by code
-point; repeated rows each get their own result.
+point; repeated rows each get their own result; further columns are left out, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ Equal vectors are one row from the start and are never expanded into pairs.
 
 Defined results: vectors that are null, empty or zero, or hold null or non-finite components, link with nothing, nor
 do vectors of different lengths; repeated rows are vectors of their own and link with each other; rows with a null id
-link and are counted, but don't name a component unless all its ids are null; an empty table gives an empty result.
+link and are counted, but don't name a component unless all its ids are null; long vectors are held one by one, whole;
+further columns are left out, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

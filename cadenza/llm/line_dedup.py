@@ -10,7 +10,8 @@ tasks, and the short list of spread lines to each of them.
 
 Defined results: a null text stays null and has no lines; lines without a word are never boilerplate; a null site is
 a site of its own; rows with the same id share the same decision; a null id is never first unless all ids are
-null; an empty table gives an empty result.
+null; very long texts are one row's lines in the JVM; further columns may have any names; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ the level of the targets from bands of size.
 Texts are read once for their sizes and take no part in the queue; `mixed_documents` joins them to what is taken.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; repeated rows are
-documents of their own; documents of size 0 are taken 0 words; an empty table gives an empty result.
+documents of their own; documents of size 0 are taken 0 words; texts of any length count whole; further columns may have
+any names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

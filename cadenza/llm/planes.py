@@ -15,7 +15,8 @@ the lengths of its planes as int64); int64 x 6: kind (8 or 1 bits a plane), plan
 documents' section, bytes of the index; magic.
 
 Defined results: null and empty texts have the end id alone; documents come by id, null first, and repeated ids by
-text, null first; an empty table gives no file and an empty result.
+text, null first; a very long text is held whole by its task; ids come back as they were; further columns are left
+out, whatever their names; an empty table gives no file and an empty result.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ less than `min_kept` of their words are rejected. The share makes the limit grow
 documents a usual line is in fifty of them, and says nothing.
 
 Defined results: a null text has no words and fails the base rules; a null host is a host of its own; lines without
-a word are never counted; repeated rows each get their own result; an empty table gives an empty result.
+a word are never counted; very long texts are one row's arrays in the JVM; repeated rows each get their own result;
+further columns are left out, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ model's offset is corrected to that. Every text is scored whole, where it is; no
 
 Defined results: null and empty texts have no features and get the score of the offset alone; unlabelled rows, and
 labels other than 0 and 1, teach nothing; of several texts with one id the least is learned from; without labels of both kinds every score is the share of toxic labels (0
-without any); repeated rows each get their own result; an empty table gives an empty result.
+without any); texts of any length are read whole; repeated rows each get their own result; further columns are left
+out, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
