@@ -257,11 +257,20 @@ def _dates_as_text(sql: str, *columns: str) -> str:
     return f"select * replace ({told}) from ({sql}) z"
 
 
+#: What arrives in batches has the same totals as what is there at once; running totals are told at each day's end.
+SQL |= {f"live_{name}": SQL[name] for name in ("avg_gradient_week", "gradient_map_week")} | {"live_power_hr_monthly": SQL["power_hr_monthly"]}
+SQL["live_annual_distance"] = f"select year, x, max(y) as y, any_value(total) as total from ({SQL['annual_distance']}) c where ord > 0 group by year, x"
+SQL["efficiency_pipeline"] = SQL["efficiency_predict"].replace("as gap from near", "as flat_speed from near")
+BROKEN = "case when activity_id % 17 = 4 then 'not JSON' when activity_id % 11 = 3 then 'no altitude' when activity_id % 10 = 0 and activity_id % 13 <> 5 then 'uneven' end"
+SQL["payload_errors"] = f"with {PAYLOADS} select distinct activity_id, {BROKEN} as error from o where {BROKEN} is not null"
+SQL["payload_samples"] = f"""with {PAYLOADS} select activity_id, k - 1 as seq, k * 2 as t, k * 5.5::double as distance, cast(cents % 900 as double) as altitude,
+  case when cents % 7 <> 0 and activity_id % 13 <> 5 then cast(120 + cents % 60 as double) end as heartrate from o where {BROKEN} is null"""
+
 for _names, _columns in (
     (("history_summary",), ("first_date", "last_date")),
     (("workout_list", "workout_dates", "stream_filter", "latest_activities", "listed_activities", "paged_listing", "fetched_streams"), ("start_date",)),
     (("progress_sums", "activity_progress", "record_progression", "current_records"), ("date",)),
-    (("annual_distance", "annual_elevation", "avg_gradient_week", "avg_gradient_month", "power_hr_weekly", "power_hr_monthly", "gradient_map_week", "gradient_map_month"), ("x",)),
+    (("annual_distance", "annual_elevation", "avg_gradient_week", "avg_gradient_month", "power_hr_weekly", "power_hr_monthly", "gradient_map_week", "gradient_map_month", "live_avg_gradient_week", "live_gradient_map_week", "live_power_hr_monthly", "live_annual_distance"), ("x",)),
 ):
     for _name in _names:
         SQL[_name] = _dates_as_text(SQL[_name], *_columns)

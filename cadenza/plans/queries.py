@@ -7,6 +7,7 @@ from collections.abc import Callable
 from datetime import date
 from functools import wraps
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,15 +15,17 @@ from cadenza import constants as C
 from cadenza.functions import running as R
 from cadenza.operators import curves as K
 from cadenza.operators import records, seasons, splits, steps
-from cadenza.operators.ranks import exact_median
+from cadenza.operators.estimators import EfficiencyEstimator
 from cadenza.operators.gbt import BoostedGap
+from cadenza.operators.ranks import exact_median
 from cadenza.operators.savgol import savgol_by_activity
 from cadenza.operators.smoothing import loess_curves, rolling_mean_curve
 from cadenza.plans import gap, progress, races
 from cadenza.sources import activities as S
 from cadenza.session import shared_folder
-from cadenza.sources import connector
+from cadenza.sources import connector, raw
 from cadenza.sources.saved import saved
+from cadenza.streaming import totals
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -298,6 +301,35 @@ def gradient_map_week(spark, d):
     return rounded(seasons.gradient_map(summaries(spark, d)), "pct")
 
 
+def arriving(spark, d):
+    """The days' sums after all summaries have arrived as files, two to a batch; several years are in each file."""
+    folder, s = f"{shared_folder(spark).rstrip('/')}/totals-{uuid.uuid4().hex}", summaries(spark, d)
+    s.repartition(6, "activity_id").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    totals.keep_totals(stream, f"{folder}/days", f"{folder}/state").awaitTermination()
+    return totals.totals(spark, f"{folder}/days")
+
+
+@query
+def live_avg_gradient_week(spark, d):
+    return rounded(seasons.average_gradient(arriving(spark, d)), "gradient", "season_avg")
+
+
+@query
+def live_gradient_map_week(spark, d):
+    return rounded(seasons.gradient_map(arriving(spark, d)), "pct")
+
+
+@query
+def live_power_hr_monthly(spark, d):
+    return rounded(totals.power_to_hr(arriving(spark, d), "month"), "power_to_hr")
+
+
+@query
+def live_annual_distance(spark, d):
+    return rounded(totals.annual_days(arriving(spark, d), "distance_m", 0.001), "y", "total")
+
+
 @query
 def gradient_map_month(spark, d):
     s = summaries(spark, d)
@@ -364,6 +396,16 @@ def efficiency_predict(spark, d):
     return rounded(found.select("activity_id", "split_id", "gap"), "gap")
 
 
+@query
+def efficiency_pipeline(spark, d):
+    """The model of efficiency as a stage of a pipeline: fitted, saved, loaded and applied."""
+    path = f"{shared_folder(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
+    rows = usable(spark, d)
+    Pipeline(stages=[EfficiencyEstimator(perBucket=50, predictionCol="flat_speed")]).fit(rows).save(path)
+    found = PipelineModel.load(path).transform(rows)
+    return rounded(found.select("activity_id", "split_id", "flat_speed"), "flat_speed")
+
+
 @query
 def calibration_pairs(spark, d):
     found = K.calibration_pairs(usable(spark, d))
@@ -514,6 +556,26 @@ def mismatched_streams(spark, d):
     return S.mismatched_streams(payloads(spark, d)).select("activity_id", F.size("time").alias("n_times"), F.size("heartrate").alias("n_heartrates"))
 
 
+def texts(spark, d):
+    """The payloads as JSON texts: some have no heart rate stream, some no altitude, an array cut short, or end too early."""
+    i = F.col("activity_id")
+    stream = lambda c: F.struct(F.col(c).alias("data"), F.size(c).alias("original_size"))
+    held = payloads(spark, d)
+    told = {"time": stream("time"), "distance": stream("distance"), "altitude": F.when(i % 11 != 3, stream("altitude")), "heartrate": F.when(i % 13 != 5, stream("heartrate"))}
+    text = F.to_json(F.struct(*[c.alias(k) for k, c in told.items()]))  # null streams are left out
+    return held.select("activity_id", F.when(i % 17 == 4, F.left(text, F.length(text) - 1)).otherwise(text).alias("payload"))
+
+
+@query
+def payload_samples(spark, d):
+    return raw.decode_payloads(texts(spark, d))
+
+
+@query
+def payload_errors(spark, d):
+    return raw.payload_errors(texts(spark, d))
+
+
 @query
 def remote_streams(spark, d):
     """Payloads of the customers' activities, fetched as a stream of the listing's pages; every seventh has none."""
