@@ -53,6 +53,22 @@ def valid_scales(scales: Sequence[tuple[str, object, object]]) -> None:
             raise ValueError(f"time scale {name!r} needs a name and an end after its start")
 
 
+def scale_problems(requests: DataFrame, scales: DataFrame) -> DataFrame:
+    """(request_id, reason) of the requests that `valid_scales` would refuse: no scale, more than five, one without a name,
+    one that ends before it starts; the first of them that applies.
+
+    requests has a request_id, scales request_id, name, start and end. A request's scales are reduced to counts before
+    they meet it, so a request of any number of them is one row in the join."""
+    told = scales.groupBy("request_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.coalesce(F.col("name"), F.lit("")) == "").alias("unnamed"),
+        F.count_if(F.col("start") > F.col("end")).alias("turned"),
+    )
+    n = F.coalesce("n", F.lit(0))
+    reason = F.when(n == 0, "no scale").when(n > MOST_SCALES, f"over {MOST_SCALES} scales").when(F.col("unnamed") > 0, "no name").when(F.col("turned") > 0, "ends before it starts")
+    return requests.join(told, "request_id", "left").select("request_id", reason.alias("reason")).filter("reason is not null")
+
+
 def personal_curves(
     telemetry: DataFrame,
     activities: DataFrame,

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from cadenza import constants as C
 from cadenza.functions.running import factor_sql, power_sql
-from cadenza.sources.activities import SUMMARIES_SQL, TELEMETRY_SQL
+from cadenza.sources.activities import SUMMARIES_SQL, telemetry_sql
 
 MASS = 70.0
-TELE = f"tele as ({TELEMETRY_SQL})"
+TELE = f"tele as ({telemetry_sql()})"
 STEPS = """d as (select *, cast(t - lag(t) over w as double) as dt, distance - lag(distance) over w as dd, altitude - lag(altitude) over w as da
   from tele window w as (partition by activity_id order by seq)),
 steps as (select activity_id, seq, t, distance, altitude, heartrate, dt, dd, da, case when dt <> 0 then dd / dt * 3.6::double end as speed,
   case when dd <> 0 then da / dd * 1000 end as elevation_gain from d where dt is not null)"""
 SUMS = f"s as ({SUMMARIES_SQL})"
 LISTING = f"{SUMS}, listing as (select activity_id, sport_type, case when activity_id % 7 <> 0 then date end as start_date from s)"
-DATED = "dated as (select distinct activity_id, case when activity_id % 2 = 0 then 'Run' else 'TrailRun' end as sport_type, case when activity_id < 4 then date '2024-01-01' + cast(activity_id as int) end as start_date from tele)"
+DATED = "dated as (select distinct activity_id, case when activity_id % 2 = 0 then 'Run' else 'TrailRun' end as sport_type, case when activity_id % 5 <> 4 then date '2024-01-01' + cast(activity_id % 3650 as int) end as start_date from tele)"
 MOVING = "(dt > 0 and dt <= 60)"
 
 
@@ -261,6 +261,24 @@ def _dates_as_text(sql: str, *columns: str) -> str:
 SQL |= {f"live_{name}": SQL[name] for name in ("avg_gradient_week", "gradient_map_week")} | {"live_power_hr_monthly": SQL["power_hr_monthly"]}
 SQL["live_annual_distance"] = f"select year, x, max(y) as y, any_value(total) as total from ({SQL['annual_distance']}) c where ord > 0 group by year, x"
 SQL["efficiency_pipeline"] = SQL["efficiency_predict"].replace("as gap from near", "as flat_speed from near")
+TARGETS = f"""{USABLE}, targets as (select u.activity_id, u.split_id, u.speed, u.elevation_gain, u.heartrate, avg(f.speed) as y, count(*) as n
+  from u join u f on f.elevation_gain > -10 and f.elevation_gain < 10 and abs(f.heartrate - u.heartrate) <= 3.0 group by all)"""
+SQL["boosted_stump"] = f"""with recursive {TARGETS}, long as (select activity_id, split_id, y, n, unnest([1, 2, 3]) as feature, unnest([floor(speed), floor(elevation_gain / 50) * 50, floor(heartrate / 2) * 2]) as x from targets),
+cuts as (select feature, (x + lead(x) over (partition by feature order by x)) / 2 as cut from (select distinct feature, x from long) v),
+sides as (select feature, cut, sum(y * n) filter (where x <= cut) as y0, sum(n) filter (where x <= cut) as n0, sum(y * n) filter (where x > cut) as y1, sum(n) filter (where x > cut) as n1 from cuts join long using (feature) where cut is not null group by all),
+best as (select * from sides order by y0 * y0 / n0 + y1 * y1 / n1 desc, feature, cut limit 1)
+select activity_id, split_id, round(case when x <= cut then y0 / n0 else y1 / n1 end, 6) as prediction from long join best using (feature)"""
+SQL["reliability_efficiency"] = f"""with recursive {PREDICT.replace(USABLE, TARGETS)}, p as (select speed * factor as p, y, n from near join (select activity_id, split_id, y, n from targets) t using (activity_id, split_id)),
+span as (select min(p) as low, max(p) as high from p), binned as (select p.*, cast(floor((p - low) / (high - low) * 20) as bigint) as bin from p cross join span)
+select bin, round(sum(p * n) / sum(n), 6) as mean_prediction, round(sum(y * n) / sum(n), 6) as mean_truth, cast(sum(n) as bigint) as count from binned where bin < 20 group by bin"""
+SQL["scale_problems"] = """with asked as (select o_custkey as r, case when c % 19 = 0 then '' when c % 23 <> 0 then o_orderstatus end as name, day, case when c % 5 <> 0 then day + cast(c % 400 - 20 as int) end as until
+  from (select *, cast(o_orderdate as date) as day, cast(round(o_totalprice * 100) as bigint) as c from orders where o_orderkey % 3 = 0) o),
+told as (select c_custkey as r, (select count(*) from asked a where a.r = c_custkey) as n, exists (select 1 from asked a where a.r = c_custkey and coalesce(name, '') = '') as unnamed, exists (select 1 from asked a where a.r = c_custkey and until < day) as turned from customer)
+select * from (select cast(r as bigint) as request_id, case when n = 0 then 'no scale' when n > 5 then 'over 5 scales' when unnamed then 'no name' when turned then 'ends before it starts' end as reason from told) x where reason is not null"""
+SQL["selection_problems"] = f"""with {LISTING}, told as (select o_custkey, count(*) as n, count(distinct o_orderkey) as different, bool_or(l.activity_id is null) as unknown
+  from orders left join (select activity_id from listing where start_date is not null) l on activity_id = o_orderkey where o_orderkey % 3 = 0 group by 1)
+select * from (select cast(c_custkey as bigint) as request_id, case when n is null then 'no race' when n > 4 then 'over 4 races' when different < n then 'a race twice' when unknown then 'unknown race' end as reason
+  from customer left join told on o_custkey = c_custkey) x where reason is not null"""
 BROKEN = "case when activity_id % 17 = 4 then 'not JSON' when activity_id % 11 = 3 then 'no altitude' when activity_id % 10 = 0 and activity_id % 13 <> 5 then 'uneven' end"
 SQL["payload_errors"] = f"with {PAYLOADS} select distinct activity_id, {BROKEN} as error from o where {BROKEN} is not null"
 SQL["payload_samples"] = f"""with {PAYLOADS} select activity_id, k - 1 as seq, k * 2 as t, k * 5.5::double as distance, cast(cents % 900 as double) as altitude,

@@ -67,10 +67,10 @@ def listing(spark, d):
 
 
 def dated(telemetry_rows: DataFrame) -> DataFrame:
-    """Activities of the telemetry, each a day after the one before it; the last has no date."""
+    """Activities of the telemetry, each a day after the one before it for ten years, and over again; every fifth has no date."""
     i = F.col("activity_id")
-    day = F.date_add(F.lit("2024-01-01").cast("date"), i.cast("int"))
-    return telemetry_rows.select("activity_id").distinct().select("activity_id", F.when(i % 2 == 0, "Run").otherwise("TrailRun").alias("sport_type"), F.when(i < 4, day).alias("start_date"))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (i % 3650).cast("int"))
+    return telemetry_rows.select("activity_id").distinct().select("activity_id", F.when(i % 2 == 0, "Run").otherwise("TrailRun").alias("sport_type"), F.when(i % 5 != 4, day).alias("start_date"))
 
 
 def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
@@ -508,6 +508,47 @@ def reliability_curve(spark, d):
     return K.reliability_curve(BoostedGap().fit_targets(targets).predict(targets))
 
 
+@query
+def boosted_stump(spark, d):
+    """The boosted model with one round of one cut, on features of few values, as SQL can say it: its predictions."""
+    near = lambda c, step: (F.floor(F.col(c) / step) * step).cast("double")
+    targets = K.flat_speed_targets(usable(spark, d), test_fifths=0)
+    targets = targets.withColumns({"speed": near("speed", 1), "elevation_gain": near("elevation_gain", 50), "heartrate": near("heartrate", 2)})
+    return rounded(BoostedGap(rounds=1, depth=1).fit_targets(targets).predict(targets).select("activity_id", "split_id", "prediction"), "prediction")
+
+
+@query
+def reliability_efficiency(spark, d):
+    """Reliability of the efficiency model: its flat speeds beside the mean flat speeds at a like heart rate."""
+    rows = usable(spark, d)
+    told = K.predict_nearest(rows, K.equi_depth_curve(K.with_efficiency(rows), 50)).select("activity_id", "split_id", F.col("gap").alias("prediction"))
+    found = K.reliability_curve(K.flat_speed_targets(rows, test_fifths=0).join(told, ["activity_id", "split_id"]))
+    return rounded(found.drop("part"), "mean_prediction", "mean_truth")
+
+
+@query
+def scale_problems(spark, d):
+    """Customers' orders as requests of time scales: those that can't be run, and why. Some scales have no name, some end
+    before they start, some are open."""
+    c = S.cents(F.col("o_totalprice"))
+    asked = table(spark, d, "orders").filter("o_orderkey % 3 = 0").select(
+        F.col("o_custkey").cast("long").alias("request_id"),
+        F.when(c % 19 == 0, "").when(c % 23 != 0, F.col("o_orderstatus")).alias("name"),
+        F.col("o_orderdate").cast("date").alias("start"),
+        F.when(c % 5 != 0, F.date_add(F.col("o_orderdate").cast("date"), (c % 400 - 20).cast("int"))).alias("end"),
+    )
+    everyone = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("request_id"))
+    return gap.scale_problems(everyone, asked)
+
+
+@query
+def selection_problems(spark, d):
+    """Customers' orders as chosen races: choices that can't be compared, and why. Undated activities aren't offered."""
+    asked = table(spark, d, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_custkey").cast("long").alias("request_id"), F.col("o_orderkey").cast("long").alias("activity_id"))
+    everyone = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("request_id"))
+    return races.selection_problems(everyone, asked, listing(spark, d).filter("start_date is not null"))
+
+
 # --- sources
 
 

@@ -87,6 +87,19 @@ def best_flags(metrics: DataFrame) -> DataFrame:
     return beside.select("activity_id", *[F.coalesce((F.col("n") >= 2) & (F.col(c) == F.col(f"top_{c}")), F.lit(False)).alias(f"best_{c}") for c in (*most, *least)])
 
 
+def selection_problems(requests: DataFrame, chosen: DataFrame, activities: DataFrame) -> DataFrame:
+    """(request_id, reason) of the requests whose races can't be compared: none chosen, more than four, one chosen twice, or
+    one that isn't among the activities; the first of them that applies.
+
+    requests has a request_id, chosen request_id and activity_id, activities an activity_id once."""
+    known = activities.select("activity_id", F.lit(True).alias("known"))
+    told = chosen.join(known, "activity_id", "left").groupBy("request_id", "activity_id").agg(F.count(F.lit(1)).alias("n"), F.max("known").alias("known"))
+    told = told.groupBy("request_id").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count_if(F.col("known").isNull()).alias("unknown"))
+    n = F.coalesce("n", F.lit(0))
+    reason = F.when(n == 0, "no race").when(n > MOST_RACES, f"over {MOST_RACES} races").when(F.col("most") > 1, "a race twice").when(F.col("unknown") > 0, "unknown race")
+    return requests.join(told, "request_id", "left").select("request_id", reason.alias("reason")).filter("reason is not null")
+
+
 def compare_races(telemetry: DataFrame, races: list[tuple[int, str | None]], mass_kg: float | None = None, smoothing: Smoothing = Smoothing()) -> tuple[DataFrame, DataFrame]:
     """(metrics, series) of one to four chosen races, labelled and in the order given."""
     if not 1 <= len(races) <= MOST_RACES:

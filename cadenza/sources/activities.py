@@ -19,9 +19,14 @@ def cents(value: Column) -> Column:
     return F.round(value * 100).cast("long")
 
 
-def telemetry_from_events(events: DataFrame, activities: int = 5) -> DataFrame:
-    """Deterministic samples of so many activities, by integer arithmetic on event values."""
-    activity = F.col("user_id") % activities
+#: Events that one set of activities is made of, so that an activity's samples are bounded whatever the number of events.
+BLOCK = 20_000
+
+
+def telemetry_from_events(events: DataFrame, activities: int = 5, block: int = BLOCK) -> DataFrame:
+    """Deterministic samples by integer arithmetic on event values: so many activities of each block of event ids, dealt by
+    user. Activities grow in number with the events, and not in length."""
+    activity = F.col("user_id") % activities + F.floor(F.col("event_id") / block) * activities
     numbered = events.select(
         activity.cast("long").alias("activity_id"),
         cents(F.col("value")).alias("cents"),
@@ -42,15 +47,18 @@ def telemetry_from_events(events: DataFrame, activities: int = 5) -> DataFrame:
     return steps.select("activity_id", "seq", F.sum("dt").over(w).cast("long").alias("t"), run("dd_cm").alias("distance"), (500.0 + run("da_cm")).alias("altitude"), "heartrate")
 
 
-TELEMETRY_SQL = """
+def telemetry_sql(activities: int = 5, block: int = BLOCK) -> str:
+    """The same samples in SQL."""
+    activity = f"user_id % {activities} + event_id // {block} * {activities}"
+    return f"""
   select activity_id, seq, cast(sum(dt) over w as bigint) as t, cast(sum(dd_cm) over w as double) / 100.0 as distance,
          500.0 + cast(sum(da_cm) over w as double) / 100.0 as altitude, cast(120 + cents % 60 as double) as heartrate
   from (select *, case when seq = 0 then 0 when seq % 397 = 0 then 90 else 1 + cents % 3 end as dt,
                case when seq = 0 or seq % 211 = 0 then 0 else 100 + cents % 300 end as dd_cm,
                case when seq = 0 then 0 when seq % 1500 < 300 then 12 when seq % 1500 < 600 then -9
                     when seq % 1500 < 900 then 0 when seq % 1500 < 1200 then 40 else -40 end as da_cm
-        from (select cast(user_id % 5 as bigint) as activity_id, cast(round(value * 100) as bigint) as cents,
-                     cast(row_number() over (partition by user_id % 5 order by event_id) - 1 as bigint) as seq
+        from (select cast({activity} as bigint) as activity_id, cast(round(value * 100) as bigint) as cents,
+                     cast(row_number() over (partition by {activity} order by event_id) - 1 as bigint) as seq
               from events) b) s
   window w as (partition by activity_id order by seq rows between unbounded preceding and current row)"""
 

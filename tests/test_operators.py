@@ -1,6 +1,7 @@
 """Hand-made edge cases of the telemetry operators."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +105,29 @@ def test_strict_edges_of_flat(spark):
     assert [r[0] for r in df.filter(curves.is_flat()).collect()] == [-9.99, 9.99]
 
 
+def test_telemetry_has_more_activities_and_no_longer_ones(spark):
+    import duckdb
+
+    events = spark.createDataFrame([(k, k * 7 % 11, k * 1.37) for k in range(1000)], "event_id long, user_id long, value double")
+    found = {a: S.telemetry_from_events(events, 3, a).orderBy("activity_id", "seq").toPandas() for a in (100, 5000)}
+    assert found[100].groupby("activity_id").size().max() <= 100 and found[100]["activity_id"].nunique() == 30
+    assert found[5000]["activity_id"].nunique() == 3
+    with duckdb.connect() as con:
+        con.register("events", events.toPandas())
+        pd.testing.assert_frame_equal(found[100], con.sql(f"select * from ({S.telemetry_sql(3, 100)}) x order by activity_id, seq").df())
+
+
+def test_refused_requests_say_why(spark):
+    ask = spark.createDataFrame([(k,) for k in range(6)], "request_id long")
+    day = "2024-01-0"
+    scales = [(1, "a", day + "1", None)] * 6 + [(2, None, None, None), (3, "a", day + "2", day + "1"), (4, "a", day + "1", day + "1"), (5, "", day + "2", day + "1")]
+    scales = spark.createDataFrame(scales, "request_id long, name string, start string, end string")
+    assert dict(map(tuple, gap.scale_problems(ask, scales).collect())) == {0: "no scale", 1: "over 5 scales", 2: "no name", 3: "ends before it starts", 5: "no name"}
+    chosen = spark.createDataFrame([(1, k) for k in range(5)] + [(2, 1), (2, 1), (3, 9), (4, 1), (4, 2), (5, None)], "request_id long, activity_id long")
+    known = spark.createDataFrame([(k,) for k in range(5)], "activity_id long")
+    assert dict(map(tuple, races.selection_problems(ask, chosen, known).collect())) == {0: "no race", 1: "over 4 races", 2: "a race twice", 3: "unknown race", 5: "unknown race"}
+
+
 def test_ranks_and_medians_without_a_global_window(spark):
     rng = np.random.default_rng(1)
     rows = [(int(g), k, float(v)) for k, (g, v) in enumerate(zip(rng.integers(0, 3, 500), np.round(rng.normal(0, 5, 500), 1)))]
