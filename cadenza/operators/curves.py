@@ -11,8 +11,6 @@ from cadenza import constants as C
 from cadenza.operators.ranks import exact_median, ranked
 
 KEYS = ("activity_id", "split_id")
-#: Values are dealt by these widths when they are put in order; splits are within bounded ranges.
-GRADIENT_WIDTH, EFFICIENCY_WIDTH = 0.1, 0.01
 
 
 def is_flat(gradient: Column | None = None) -> Column:
@@ -23,7 +21,7 @@ def is_flat(gradient: Column | None = None) -> Column:
 def with_efficiency(splits: DataFrame, by: Sequence[str] = (), least_flat: int = C.MIN_FLAT) -> DataFrame:
     """Heart rate by speed, relative to the flat median of the group if it has more than least_flat flat splits."""
     held = splits.withColumn("efficiency", F.try_divide("heartrate", "speed"))
-    flat = exact_median(held.filter(is_flat()), "efficiency", EFFICIENCY_WIDTH, KEYS, by)
+    flat = exact_median(held.filter(is_flat()), "efficiency", KEYS, by)
     scale = F.when(F.col("n") > least_flat, F.col("median"))
     flat = flat.select(*by, scale.alias("flat_median"))
     joined = held.join(flat, list(by), "left") if by else held.join(F.broadcast(flat), F.lit(True), "left")  # one row
@@ -32,7 +30,7 @@ def with_efficiency(splits: DataFrame, by: Sequence[str] = (), least_flat: int =
 
 def equi_depth_curve(rated: DataFrame, per_bucket: int = 250, by: Sequence[str] = ()) -> DataFrame:
     """Buckets of per_bucket splits in gradient order, the rest in a last one: mean gradient, mean, population deviation, count."""
-    placed = ranked(rated, "elevation_gain", GRADIENT_WIDTH, KEYS, by).withColumn("bucket", F.floor(F.col("rank") / per_bucket))
+    placed = ranked(rated, "elevation_gain", KEYS, by).withColumn("bucket", F.floor(F.col("rank") / per_bucket))
     told = placed.groupBy(*by, "bucket").agg(
         F.avg("elevation_gain").alias("bin_center"), F.avg("efficiency").alias("mean"), F.stddev_pop("efficiency").alias("std"), F.count(F.lit(1)).alias("count")
     )

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from cadenza import constants as C
 from cadenza.operators import curves as K
-from cadenza.session import shared_folder
+from cadenza.session import kept
 
 
 class EfficiencyParams(HasPredictionCol):
@@ -34,13 +34,10 @@ class EfficiencyEstimator(Estimator, EfficiencyParams, DefaultParamsReadable, De
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> EfficiencyModel:
-        """The buckets are written to the shared folder as a checkpoint, so a model isn't fitted anew wherever it predicts.
+        """The splits and the buckets are written to the shared folder as checkpoints, so a model isn't fitted anew wherever it predicts.
         Raises if no split has an efficiency."""
-        context, folder = dataset.sparkSession.sparkContext, shared_folder(dataset.sparkSession)
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(folder)
-        rated = K.with_efficiency(dataset, least_flat=self.getOrDefault("minFlat"))
-        buckets = K.equi_depth_curve(rated, self.getOrDefault("perBucket")).checkpoint()
+        rated = K.with_efficiency(kept(dataset), least_flat=self.getOrDefault("minFlat"))
+        buckets = kept(K.equi_depth_curve(rated, self.getOrDefault("perBucket")))
         if buckets.filter("mean is not null").isEmpty():
             raise K.NothingToLearn("no split has both a heart rate and a speed")
         return self._copyValues(EfficiencyModel(buckets))

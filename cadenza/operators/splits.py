@@ -42,17 +42,20 @@ def with_split(stepped: DataFrame, key: str, least: float) -> DataFrame:
     names = [f.name for f in stepped.schema.fields]
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_, split, last = None, 0, 0
+        held: list[pd.DataFrame] = []  # the open split's steps; the key of its first is the start
+        start, split, last = np.nan, 0, 0
         for rows in batches:
             if not (np.diff(rows["_i"].to_numpy(), prepend=last) == 1).all():
                 raise RuntimeError("an activity's steps came out of their order")
-            last = int(rows["_i"].iloc[-1])
-            rows = rows if open_ is None or open_.empty else pd.concat([open_, rows])
-            ends = np.array(cuts(rows[key].to_numpy(float), least), dtype=np.int64)
-            whole, open_ = rows.iloc[: ends[-1] if len(ends) else 0], rows.iloc[ends[-1] if len(ends) else 0 :]
-            if len(whole):
-                yield whole[names].assign(split_id=split + np.searchsorted(ends, np.arange(len(whole)), side="right").astype(np.int64))
-            split += len(ends)
+            last, keys = int(rows["_i"].iloc[-1]), rows[key].to_numpy(float)
+            ends = np.array(cuts(np.append(start, keys), least), dtype=np.int64) - 1 if held else np.array(cuts(keys, least), dtype=np.int64)
+            if not len(ends):
+                start = start if held else keys[0]
+                held.append(rows)
+                continue
+            whole, before = pd.concat([*held, rows.iloc[: ends[-1]]]), sum(map(len, held))
+            yield whole[names].assign(split_id=split + np.searchsorted(before + ends, np.arange(len(whole)), side="right").astype(np.int64))
+            held, start, split = [rows.iloc[ends[-1] :]], keys[ends[-1]], split + len(ends)
 
     return stepped.withColumn("_i", F.row_number().over(order())).groupBy("activity_id").applyInPandas(walk, schema)
 

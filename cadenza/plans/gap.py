@@ -15,6 +15,7 @@ from cadenza.operators.gbt import BoostedGap
 from cadenza.operators.smoothing import loess_curves
 from cadenza.operators.splits import greedy_splits, usable_splits
 from cadenza.operators.steps import steps
+from cadenza.session import kept
 from cadenza.sources.activities import filter_streams
 
 MOST_SCALES = 5
@@ -87,7 +88,7 @@ def personal_curves(
     """(curve, bin_center, mean, std, count) of every scale's models, of each intensity (range of heart rates) within it,
     and of the published curves. Branches that aren't asked for are never planned.
 
-    Telemetry is split once, and a split is in each scale that its activity's date is in. A scale without training rows
+    Telemetry is split once, and its splits are written to the shared folder; a split is in each scale that its activity's date is in. A scale without training rows
     has no boosted curve; an intensity without splits raises. Boosted curves are made at once, as the fit is: they are
     some tens of rows each."""
     valid_scales(scales)
@@ -95,8 +96,8 @@ def personal_curves(
         raise ValueError("no curve is asked for")
     within = [F.when(in_scale(start, end), F.lit(name)) for name, start, end in scales]
     listed = filter_streams(activities, sport_types).withColumn("scale", F.array_compact(F.array(*within))).filter(F.size("scale") > 0).select("activity_id", "scale")
-    splits = split(telemetry.join(listed.select("activity_id"), "activity_id", "left_semi")).join(listed, "activity_id").withColumn("scale", F.explode("scale"))
-    splits = splits.select("scale", "activity_id", "split_id", "speed", "elevation_gain", "heartrate")
+    splits = split(telemetry.join(listed.select("activity_id"), "activity_id", "left_semi")).join(listed, "activity_id")
+    splits = kept(splits.select("scale", "activity_id", "split_id", "speed", "elevation_gain", "heartrate")).withColumn("scale", F.explode("scale"))
     found: list[DataFrame] = []
 
     def add(curves: DataFrame, name: Column) -> None:
@@ -111,19 +112,15 @@ def personal_curves(
                 raise ValueError(f"no split in {sorted(lacking)}")
             add(K.equi_depth_curve(K.with_efficiency(strata, ["scale", "intensity"]), per_bucket, ["scale", "intensity"]), F.concat("scale", F.lit(" efficiency "), "intensity"))
     if boosted:
-        held = splits.persist()
-        try:
-            for name, _, _ in scales:
-                try:
-                    fitted = model().fit(held.filter(F.col("scale") == name).drop("scale"))
-                except K.NothingToLearn:
-                    continue
-                for heartrates in (None, *intensities):
-                    rows = fitted.curve(heartrates).select("bin_center", "mean", "std", "count")
-                    suffix = "" if heartrates is None else f" {heartrates[0]:g}-{heartrates[1]:g}"
-                    add(telemetry.sparkSession.createDataFrame(rows.collect(), rows.schema), F.lit(f"{name} boosted{suffix}"))
-        finally:
-            held.unpersist()
+        for name, _, _ in scales:
+            try:
+                fitted = model().fit(splits.filter(F.col("scale") == name).drop("scale"))
+            except K.NothingToLearn:
+                continue
+            for heartrates in (None, *intensities):
+                rows = fitted.curve(heartrates).select("bin_center", "mean", "std", "count")
+                suffix = "" if heartrates is None else f" {heartrates[0]:g}-{heartrates[1]:g}"
+                add(telemetry.sparkSession.createDataFrame(rows.collect(), rows.schema), F.lit(f"{name} boosted{suffix}"))
     curves = reduce(DataFrame.unionByName, found) if found else None
     if curves is not None and smooth is not None:
         curves = smooth(curves)

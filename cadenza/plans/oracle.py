@@ -259,6 +259,7 @@ def _dates_as_text(sql: str, *columns: str) -> str:
 
 #: What arrives in batches has the same totals as what is there at once; running totals are told at each day's end.
 SQL |= {f"live_{name}": SQL[name] for name in ("avg_gradient_week", "gradient_map_week")} | {"live_power_hr_monthly": SQL["power_hr_monthly"]}
+SQL |= {f"live_{name}": SQL[name] for name in ("record_progression", "current_records")}
 SQL["live_annual_distance"] = f"select year, x, max(y) as y, any_value(total) as total from ({SQL['annual_distance']}) c where ord > 0 group by year, x"
 SQL["efficiency_pipeline"] = SQL["efficiency_predict"].replace("as gap from near", "as flat_speed from near")
 TARGETS = f"""{USABLE}, targets as (select u.activity_id, u.split_id, u.speed, u.elevation_gain, u.heartrate, avg(f.speed) as y, count(*) as n
@@ -287,7 +288,7 @@ SQL["payload_samples"] = f"""with {PAYLOADS} select activity_id, k - 1 as seq, k
 for _names, _columns in (
     (("history_summary",), ("first_date", "last_date")),
     (("workout_list", "workout_dates", "stream_filter", "latest_activities", "listed_activities", "paged_listing", "fetched_streams"), ("start_date",)),
-    (("progress_sums", "activity_progress", "record_progression", "current_records"), ("date",)),
+    (("progress_sums", "activity_progress", "record_progression", "current_records", "live_record_progression", "live_current_records"), ("date",)),
     (("annual_distance", "annual_elevation", "avg_gradient_week", "avg_gradient_month", "power_hr_weekly", "power_hr_monthly", "gradient_map_week", "gradient_map_month", "live_avg_gradient_week", "live_gradient_map_week", "live_power_hr_monthly", "live_annual_distance"), ("x",)),
 ):
     for _name in _names:

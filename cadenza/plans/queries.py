@@ -22,9 +22,10 @@ from cadenza.operators.savgol import savgol_by_activity
 from cadenza.operators.smoothing import loess_curves, rolling_mean_curve
 from cadenza.plans import gap, progress, races
 from cadenza.sources import activities as S
-from cadenza.session import shared_folder
+from cadenza.session import kept, shared_folder
 from cadenza.sources import connector, raw
 from cadenza.sources.saved import saved
+from cadenza.streaming import records as live_records
 from cadenza.streaming import totals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -260,6 +261,25 @@ def current_records(spark, d):
     return records.current_records(record_samples(spark, d))
 
 
+def record_stream(spark, d):
+    """What is kept of records after all samples have come, two files to a batch; dates are in any order, and a tenth of the samples come twice."""
+    folder, s = f"{shared_folder(spark).rstrip('/')}/records-{uuid.uuid4().hex}", record_samples(spark, d)
+    s.unionByName(s.filter("activity_id % 10 = 0")).repartition(6).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    live_records.keep_records(stream, f"{folder}/changes", f"{folder}/state").awaitTermination()
+    return spark.read.schema(live_records.CHANGES).parquet(f"{folder}/changes")
+
+
+@query
+def live_record_progression(spark, d):
+    return live_records.progression(record_stream(spark, d))
+
+
+@query
+def live_current_records(spark, d):
+    return live_records.current(record_stream(spark, d))
+
+
 @query
 def annual_distance(spark, d):
     return rounded(seasons.annual_cumulative(summaries(spark, d), "distance_m", 0.001), "y", "total")
@@ -347,6 +367,11 @@ def usable(spark, d):
     return splits.usable_splits(all_splits(spark, d))
 
 
+def usable_kept(spark, d):
+    """For queries that rank splits, which reads them more than once."""
+    return kept(usable(spark, d))
+
+
 @query
 def greedy_splits(spark, d):
     return rounded(all_splits(spark, d), "speed", "elevation_gain", "heartrate")
@@ -370,12 +395,12 @@ def splits_lost(spark, d):
 
 @query
 def flat_median(spark, d):
-    held = usable(spark, d).withColumn("efficiency", F.try_divide("heartrate", "speed")).filter(K.is_flat())
-    return rounded(exact_median(held, "efficiency", K.EFFICIENCY_WIDTH, K.KEYS), "median")
+    held = usable_kept(spark, d).withColumn("efficiency", F.try_divide("heartrate", "speed")).filter(K.is_flat())
+    return rounded(exact_median(held, "efficiency", K.KEYS), "median")
 
 
 def efficiency(spark, d, per_bucket=50):
-    return K.equi_depth_curve(K.with_efficiency(usable(spark, d)), per_bucket)
+    return K.equi_depth_curve(K.with_efficiency(usable_kept(spark, d)), per_bucket)
 
 
 @query
@@ -385,13 +410,13 @@ def efficiency_curve(spark, d):
 
 @query
 def efficiency_curve_by_intensity(spark, d):
-    split_rows = K.by_intensity(usable(spark, d), RANGES)
+    split_rows = K.by_intensity(usable_kept(spark, d), RANGES)
     return rounded(K.equi_depth_curve(K.with_efficiency(split_rows, ["intensity"]), 50, ["intensity"]), "bin_center", "mean", "std")
 
 
 @query
 def efficiency_predict(spark, d):
-    rows = usable(spark, d)
+    rows = usable_kept(spark, d)
     found = K.predict_nearest(rows, K.equi_depth_curve(K.with_efficiency(rows), 50))
     return rounded(found.select("activity_id", "split_id", "gap"), "gap")
 
@@ -433,7 +458,7 @@ def pair_counts(spark, d):
 
 @query
 def equi_width_curve(spark, d):
-    rows = usable(spark, d)
+    rows = usable_kept(spark, d)
     found = K.predict_nearest(rows, K.equi_depth_curve(K.with_efficiency(rows), 50)).withColumn("adjuster", F.col("gap") / F.col("speed"))
     return rounded(K.equi_width_curve(found), "mean", "std")
 
@@ -520,7 +545,7 @@ def boosted_stump(spark, d):
 @query
 def reliability_efficiency(spark, d):
     """Reliability of the efficiency model: its flat speeds beside the mean flat speeds at a like heart rate."""
-    rows = usable(spark, d)
+    rows = usable_kept(spark, d)
     told = K.predict_nearest(rows, K.equi_depth_curve(K.with_efficiency(rows), 50)).select("activity_id", "split_id", F.col("gap").alias("prediction"))
     found = K.reliability_curve(K.flat_speed_targets(rows, test_fifths=0).join(told, ["activity_id", "split_id"]))
     return rounded(found.drop("part"), "mean_prediction", "mean_truth")

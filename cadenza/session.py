@@ -6,7 +6,7 @@ import os
 import re
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -41,3 +41,12 @@ def shared_folder(spark: SparkSession) -> str:
         folder = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder if re.match(r"[a-z0-9+.-]+:", folder) else f"file://{folder}"
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """The rows, made once and written to the shared folder as a checkpoint, for whoever reads them more than once."""
+    context = rows.sparkSession.sparkContext
+    folder = shared_folder(rows.sparkSession)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return rows.checkpoint()

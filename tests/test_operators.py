@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cadenza import constants as C
 from cadenza.functions import running as R
 from cadenza.operators import curves, gbt, records, savgol, seasons, smoothing, splits, steps
-from cadenza.operators.ranks import exact_median, ranked
+from cadenza.operators.ranks import cuts, exact_median, ranked
 from cadenza.plans import gap, progress, races
 from cadenza.sources import activities as S
 
@@ -134,12 +134,38 @@ def test_ranks_and_medians_without_a_global_window(spark):
     df = spark.createDataFrame(rows, "g long, k long, v double")
     for g in range(3):
         own = sorted((v, k) for gg, k, v in rows if gg == g)
-        found = {r["k"]: r["rank"] for r in ranked(df, "v", 0.5, ["k"], ["g"]).filter(F.col("g") == g).collect()}
+        found = {r["k"]: r["rank"] for r in ranked(df, "v", ["k"], ["g"]).filter(F.col("g") == g).collect()}
         assert found == {k: i for i, (_, k) in enumerate(own)}
-        median = exact_median(df, "v", 0.5, ["k"], ["g"]).filter(F.col("g") == g).first()
+        median = exact_median(df, "v", ["k"], ["g"]).filter(F.col("g") == g).first()
         assert median["median"] == pytest.approx(np.median([v for v, _ in own])) and median["n"] == len(own)
 
 
+@pytest.mark.parametrize("share", [1, 10, 100])
+def test_ranks_are_exact_however_rows_are_dealt(spark, share):
+    """Half of the rows have one value, some have a negative zero, an infinity, NaN or none; there is a group of one row."""
+    rng = np.random.default_rng(2)
+    v = [0.0 if k % 2 else float(x) for k, x in enumerate(np.round(rng.normal(0, 1, 2000), 2))]
+    v[:8] = [-0.0, -0.0, float("inf"), float("-inf"), float("-inf"), float("nan"), None, float("inf")]
+    rows = [(k % 3 if k else 3, k * 7919 % 2003, x) for k, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "g int, k long, v double").repartition(5)
+    at = cuts(df, "v", ["k"], ["g"], parts=50, share=share)
+    found = ranked(df, "v", ["k"], ["g"], at=at).collect()
+    for g in range(4):
+        own = sorted((x != x, x if x == x else 0.0, k) for gg, k, x in rows if gg == g and x is not None)
+        assert {r["k"]: r["rank"] for r in found if r["g"] == g} == {k: i for i, (_, _, k) in enumerate(own)}
+        assert {r["n"] for r in found if r["g"] == g} == {len(own)}
+
+
+def test_a_hot_value_is_dealt_to_many_buckets(spark):
+    df = spark.range(40_000).select(F.col("id").alias("k"), F.when(F.col("id") % 2 == 0, 0.0).otherwise(F.rand(3) - 0.5).alias("v"))
+    at = cuts(df, "v", ["k"], parts=20)
+    assert at.hot == (0.0,)
+    inside = df.select(F.when(F.col("v") == 0, F.lit(-1)).otherwise(sum((F.col("v") >= x).cast("int") for x in at.values)).alias("b"), F.when(F.col("v") == 0, sum((F.col("k") >= x).cast("int") for x in at.ties)).alias("c"))
+    sizes = [r[0] for r in inside.groupBy("b", "c").count().select("count").collect()]
+    assert max(sizes) <= 2 * 40_000 / 20 and len(sizes) > 25
+    assert cuts(df.filter("k < 0"), "v", ["k"]) == cuts(df.filter("k < 500"), "v", ["k"]) == type(at)()
+
+
 def test_equi_depth_keeps_the_rest(spark):
     df, rows = some_splits(spark, 120, 33)
     found = curves.equi_depth_curve(curves.with_efficiency(df), 50).orderBy("bucket").collect()

@@ -1,9 +1,14 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from cadenza.operators import records
 from cadenza.sources import activities as S
 from cadenza.sources.remote import fetch_streams
 from cadenza.sources.saved import saved, signature
+from cadenza.streaming import records as live_records
 from cadenza.streaming.live import live_splits
 
 
@@ -56,3 +61,39 @@ def test_live_splits_equal_those_of_the_whole(spark, tmp_path, parts):
     ends = cuts(np.arange(90) * 2.0, 10.0)
     assert [r["end_t"] for r in found] == [e * 2.0 for e in ends] * 2
     assert [r["split_id"] for r in found] == list(range(len(ends))) * 2 and all(r["distance"] == 15.0 and r["n_samples"] == 5 for r in found)
+
+
+def test_an_idle_activity_is_forgotten(spark, tmp_path):
+    schema = "activity_id long, seq long, t double, distance double, heartrate double"
+    sample = lambda a, k: (a, k, 6.0 * k, 3.0 * k, 120.0)
+    for batch in ([sample(1, k) for k in range(5)], [sample(2, k) for k in range(2)], [sample(1, k) for k in range(3)]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        out = live_splits(stream, idle_s=0.05).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state")
+        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+        try:
+            out.trigger(availableNow=True).start().awaitTermination(30)
+        finally:
+            spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+        time.sleep(0.2)
+    found = spark.read.parquet(f"{tmp_path}/out").select("activity_id", "split_id", "start_t").collect()
+    assert sorted(map(tuple, found)) == [(1, 0, 0.0), (1, 0, 0.0), (1, 1, 12.0)]
+
+
+def test_live_records_equal_those_of_the_whole_whatever_the_order(spark, tmp_path):
+    """Late and repeated samples, samples without a value, a day, an id or a label, ties of value; a stop between two runs."""
+    rng, schema = random.Random(5), "label string, activity_id long, date date, value double"
+    rows = [(rng.choice("ab"), k, f"2024-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}", float(rng.randrange(50, 90))) for k in range(150)]
+    rows += [("a", None, "2024-05-01", 55.0), ("b", 900, None, 70.0), (None, 901, "2024-01-01", 3.0), ("c", 902, "2024-01-01", None), ("a", 2**53 + 1, "2023-01-01", 89.0)]
+    rows += rows[::7]
+    rng.shuffle(rows)
+    make = lambda part: spark.createDataFrame(part, "label string, activity_id long, date string, value double").withColumn("date", F.col("date").cast("date"))
+    for part in (rows[:60], rows[60:]):
+        make(part).repartition(2).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        live_records.keep_records(stream, f"file://{tmp_path}/changes", f"{tmp_path}/state").awaitTermination()
+    changes, told = spark.read.schema(live_records.CHANGES).parquet(f"{tmp_path}/changes"), lambda d: sorted(map(str, d.collect()))
+    assert told(live_records.progression(changes)) == told(records.record_progression(make(rows)))
+    assert told(live_records.current(changes)) == told(records.current_records(make(rows)))
+    replayed = changes.unionByName(changes.limit(20))
+    assert told(live_records.progression(replayed)) == told(records.record_progression(make(rows)))
