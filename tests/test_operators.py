@@ -1,5 +1,7 @@
 """Hand-made edge cases of the telemetry operators."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -402,6 +404,20 @@ def test_targets_are_the_pairs_summed(spark):
     assert curves.flat_speed_targets(df.limit(0)).count() == 0
 
 
+def test_targets_end_where_differences_of_heart_rates_do(spark):
+    """Of a heart rate below 128 and one above, the sum with the tolerance is rounded and the difference isn't; large sums before a range don't blur it."""
+    pairs = [(k / n, (k + 3 * n) / n) for n in (3, 5, 6, 7, 9, 10, 11) for k in range(122 * n, 128 * n)]
+    assert any((f <= u + 3.0) != (f - u <= 3.0) for u, f in pairs)
+    rates = sorted({x for p in pairs for x in p})
+    rows = [(0, i, 9.0 + i % 7 / 3, 0.0 if i % 2 else 50.0, hr) for i, hr in enumerate(rates)] + [(1, i, 21.0 + i % 11 / 7, 1.0, 60.0) for i in range(2000)]
+    df = spark.createDataFrame(rows, "activity_id long, split_id long, speed double, elevation_gain double, heartrate double").repartition(5)
+    flat = [r for r in rows if abs(r[3]) < 10]
+    wanted = {r[:2]: [f[2] for f in flat if abs(f[4] - r[4]) <= 3.0] for r in rows[: len(rates)]}
+    found = {(r["activity_id"], r["split_id"]): (r["y"], r["n"]) for r in curves.flat_speed_targets(df.filter("activity_id = 0 or elevation_gain < 10"), test_fifths=0).collect() if r["activity_id"] == 0}
+    assert {k: n for k, (_, n) in found.items()} == {k: len(v) for k, v in wanted.items() if v}
+    assert all(abs(y - math.fsum(wanted[k]) / len(wanted[k])) < 1e-14 * y for k, (y, _) in found.items())
+
+
 def test_boosted_trees_learn(spark):
     df, _ = some_splits(spark, 40, 60)
     targets = curves.flat_speed_targets(df, 5.0)
