@@ -1,6 +1,7 @@
 """Hand-made edge cases of the telemetry operators."""
 
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -418,6 +419,14 @@ def test_targets_end_where_differences_of_heart_rates_do(spark):
     assert all(abs(y - math.fsum(wanted[k]) / len(wanted[k])) < 1e-14 * y for k, (y, _) in found.items())
 
 
+def test_reliability_reads_predictions_once(spark):
+    """Predictions that come out otherwise when they are made anew: one row, the largest, is in no bin, and none is below the first."""
+    again = F.udf(lambda x: x + random.random(), "double").asNondeterministic()
+    rows = spark.range(300).select(F.lit("train").alias("part"), again(F.lit(1.0)).alias("prediction"), F.lit(2.0).alias("y"), F.lit(1).alias("n"))
+    told = curves.reliability_curve(rows).agg(F.min("bin"), F.sum("count")).first()
+    assert tuple(told) == (0, 299)
+
+
 def test_boosted_trees_learn(spark):
     df, _ = some_splits(spark, 40, 60)
     targets = curves.flat_speed_targets(df, 5.0)
