@@ -12,7 +12,7 @@ from cadenza import constants as C
 from cadenza.functions import running as R
 from cadenza.operators import curves, gbt, records, savgol, seasons, smoothing, splits, steps
 from cadenza.operators.ranks import cuts, exact_median, ranked
-from cadenza.plans import gap, progress, races
+from cadenza.plans import gap, oracle, progress, races
 from cadenza.sources import activities as S
 
 TELEMETRY = "activity_id long, seq long, t double, distance double, altitude double, heartrate double"
@@ -390,6 +390,11 @@ def test_curve_smoothers_on_frames(spark):
         smoothing.loess_curves(curve, 0.0)
 
 
+def test_both_pair_queries_tell_every_pair():
+    """Not sums of them: a row for each pair, by the same SQL."""
+    assert oracle.SQL["calibration_pairs_bucketed"] == oracle.SQL["calibration_pairs"] and " group by " not in oracle.SQL["calibration_pairs"].rsplit("select", 1)[1]
+
+
 def test_targets_are_the_pairs_summed(spark):
     """For every split the mean flat speed and the number of its pairs, part by part, whatever the partitioning."""
     df, _ = some_splits(spark, 40, 60)
