@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -366,6 +367,21 @@ def test_loess_equals_fits_made_one_by_one():
     assert np.allclose(tied, smoothing.loess(np.zeros(6), np.arange(6.0), np.array([1, 0, 0, 0, 0, 1]))) and np.isfinite(tied).all()
 
 
+def test_long_curves_are_smoothed_in_little_more_than_their_length(monkeypatch):
+    """Sums of blocks give the fits made one by one, ties and empty bins included, without a point for each bin of each run."""
+    rng = np.random.default_rng(9)
+    x = np.sort(np.concatenate([rng.normal(0, 90, 1500), np.zeros(300), np.repeat(40.0, 7)]))
+    y, counts = 1 + x**2 / 1e5 + rng.normal(0, 0.05, len(x)), rng.integers(0, 60, len(x)).astype(float)
+    y[5] = np.nan
+    long = smoothing.loess(x, y, counts, 0.4)
+    monkeypatch.setattr(smoothing, "FITTED", 10**9)
+    assert np.allclose(long, smoothing.loess(x, y, counts, 0.4), rtol=0, atol=1e-9, equal_nan=True)
+    monkeypatch.undo()
+    began = time.perf_counter()
+    smoothing.loess(np.arange(40_000) / 30, np.ones(40_000), np.ones(40_000))  # 640 million points of fits
+    assert time.perf_counter() - began < 60
+
+
 def test_loess_reproduces_parabolas_and_leaves_empty_bins():
     x = np.linspace(-300, 300, 25)
     y = 1 + 0.01 * x + 1e-4 * x**2
