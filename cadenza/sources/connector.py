@@ -22,12 +22,17 @@ import csv
 import importlib
 import io
 import json
+import math
 import time
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.dataset as ds
 import pyarrow.parquet as pq
 from pyarrow import fs
@@ -230,14 +235,48 @@ class PayloadStream(DataSourceStreamReader):
         """Nothing to do: the query's checkpoint has the offset."""
 
 
-def payload_in_table(activity_id: int, kinds: Sequence[str], remote: str | None) -> dict[str, list]:
-    """A provider over a folder of Parquet files with a row of arrays for each activity. Raises if there is none."""
+def row_groups(remote: str) -> tuple[fs.FileSystem, list[tuple]]:
+    """The row groups of a folder's Parquet files as (least id, most id, file, metadata, number, most id so far), by their least id.
+    Those without statistics can hold any id."""
     store, top = fs.FileSystem.from_uri(remote)
-    files = [x.path for x in store.get_file_info(fs.FileSelector(top)) if x.path.endswith(".parquet")]
-    found = ds.dataset(files, filesystem=store).to_table(columns=list(kinds), filter=ds.field("activity_id") == activity_id).to_pylist()
-    if not found:
-        raise KeyError(f"stream {activity_id}")
-    return found[0]
+    return store, _row_groups(remote, tuple(sorted((x.path, x.size, x.mtime_ns) for x in store.get_file_info(fs.FileSelector(top)) if x.path.endswith(".parquet"))))
+
+
+@lru_cache(maxsize=4)
+def _row_groups(remote: str, files: tuple[tuple, ...]) -> list[tuple]:
+    """Footers are read once by a process, and again when the files are others."""
+    store, _ = fs.FileSystem.from_uri(remote)
+    found = []
+    for path, _, _ in files:
+        with store.open_input_file(path) as opened:
+            meta = pq.ParquetFile(opened).metadata
+        at = [k for k in range(meta.num_columns) if meta.schema.column(k).path == "activity_id"][0]
+        for k in range(meta.num_row_groups):
+            told = meta.row_group(k).column(at).statistics
+            known = told is not None and told.has_min_max
+            found.append((told.min if known else -math.inf, told.max if known else math.inf, path, meta, k))
+    found.sort(key=lambda g: g[:3] + g[4:])
+    return [(*g, most) for g, most in zip(found, accumulate((g[1] for g in found), max), strict=True)]
+
+
+def payload_in_table(activity_id: int, kinds: Sequence[str], remote: str | None) -> dict[str, list]:
+    """A provider over a folder of Parquet files with a row of arrays for each activity. Raises if there is none.
+
+    Only row groups whose ids reach around the asked one are read, so files in order of ids with small row groups
+    answer alike however long they are."""
+    store, groups = row_groups(remote)
+    for at in range(bisect_right(groups, activity_id, key=lambda g: g[0]) - 1, -1, -1):
+        _, most, path, meta, k, most_so_far = groups[at]
+        if most_so_far < activity_id:
+            break
+        if most < activity_id:
+            continue
+        with store.open_input_file(path) as opened:
+            rows = pq.ParquetFile(opened, metadata=meta).read_row_group(k, columns=["activity_id", *kinds])
+        found = rows.filter(pc.equal(rows["activity_id"], activity_id)).select(list(kinds)).to_pylist()
+        if found:
+            return found[0]
+    raise KeyError(f"stream {activity_id}")
 
 
 @dataclass

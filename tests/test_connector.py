@@ -5,6 +5,8 @@ import sys
 from datetime import date, timedelta
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -95,6 +97,26 @@ def test_a_stopped_stream_goes_on_and_fetches_each_activity_once(spark, pages, t
     assert spark.read.parquet(f"{tmp_path}/out").filter("activity_id = 500").count() == 1 and spark.read.parquet(f"{tmp_path}/out").count() == 101
 
 
+def test_a_payload_is_read_from_its_row_group_alone(tmp_path, monkeypatch):
+    """A fetch reads a row group, and footers once by a process, however many files and activities there are; new files are seen."""
+    ids = list(range(0, 4000, 2))
+    for k in range(2):
+        rows = [i for i in ids if i // 2000 == k]
+        pq.write_table(pa.table({"activity_id": rows} | {c: [[float(i), None] for i in rows] for c in connector.KINDS}), tmp_path / f"{k}.parquet", row_group_size=100)
+    read, opened = [], []
+    whole, init = pq.ParquetFile.read_row_group, pq.ParquetFile.__init__
+    monkeypatch.setattr(pq.ParquetFile, "read_row_group", lambda self, k, **more: read.append(k) or whole(self, k, **more))
+    monkeypatch.setattr(pq.ParquetFile, "__init__", lambda self, source, **more: opened.append("metadata" in more) or init(self, source, **more))
+    remote = f"file://{tmp_path}"
+    assert all(connector.payload_in_table(i, connector.KINDS, remote) == dict.fromkeys(connector.KINDS, [float(i), None]) for i in (0, 198, 200, 1998, 2000, 3998))
+    assert len(read) == 6 and opened.count(False) == 2
+    for i in (-1, 3, 5000):
+        with pytest.raises(KeyError, match=f"stream {i}"):
+            connector.payload_in_table(i, connector.KINDS, remote)
+    pq.write_table(pa.table({"activity_id": [5000]} | {c: [[1.0]] for c in connector.KINDS}), tmp_path / "more.parquet")
+    assert connector.payload_in_table(5000, ["time"], remote) == {"time": [1.0]}
+
+
 def test_a_failed_task_leaves_no_file(spark, tmp_path):
     connector.register(spark)
     path = f"file://{tmp_path}/curves"
