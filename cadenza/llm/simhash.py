@@ -17,10 +17,11 @@ Defined results: null, empty and blank texts have fingerprint zero and link like
 words has one shingle; repeated rows share a component; a null id is never a component's name unless all its ids are
 null; an empty table gives an empty result.
 
-`one_of_each` doesn't take fingerprints for links: texts that share `similarity` of their different 5-word shingles
-(Jaccard) are near copies, whose fingerprints differ in up to 14 bits, more than pigeonhole search can cover. Its
-candidates share all minima of one of 24 bands of 6 MinHash values (a pair at exactly 0.8 is missed with odds of 0.0007,
-more similar ones with less), and a link is only what the texts' own shingles confirm. Members of a band's bucket are
+`one_of_each` goes on from there: groups of fingerprints that the search links are where near copies are looked for, and
+a link is what the texts confirm, sharing `similarity` of their different 5-word shingles (Jaccard). Texts that are so
+similar can differ in up to 14 bits of their fingerprints, more than pigeonhole search can cover, so beside those groups there
+are buckets of texts that share all minima of one of 24 bands of 6 MinHash values (a pair at exactly 0.8 that is in no group is
+missed with odds of 0.0007, more similar ones with less). Members of a group or bucket are
 first compared with four of its texts, the one that shares the fullest buckets among them, since it lies in the middle
 of its copies. After that only texts of different components are compared, by their shingles in the join's own
 condition, so that what doesn't link makes no row: a large group of near copies isn't expanded into its pairs, and the
@@ -286,15 +287,23 @@ def alike(a: str, b: str) -> Column:
     return F.bit_count(F.col(f"{a}.left").bitwiseXOR(F.col(f"{b}.left"))) + F.bit_count(F.col(f"{a}.right").bitwiseXOR(F.col(f"{b}.right"))) <= UNLIKE
 
 
-def similar_components(documents: DataFrame, id_column: str, text_column: str, similarity: float = SIMILARITY) -> DataFrame:
+def print_groups(marked: DataFrame, limit: int = 3) -> DataFrame:
+    """(key, x) of each sketch: the component of its text's fingerprint by links of at most limit bits, found by the pigeonhole search."""
+    prints = marked.select("fp").distinct().checkpoint()
+    parts = connected_components(fingerprint_links(prints, limit)).withColumnRenamed("node", "of")
+    held = marked.select("fp", F.struct("node", "left", "right").alias("x")).distinct()
+    return held.join(parts, F.col("fp") == F.col("of"), "left").select(F.xxhash64(F.lit("fingerprint"), F.coalesce("component", "fp")).alias("key"), "x").distinct()
+
+
+def similar_components(documents: DataFrame, id_column: str, text_column: str, similarity: float = SIMILARITY, limit: int = 3) -> DataFrame:
     """doc_id, text_hash, component_id (smallest doc_id reachable by links of similar texts) and stays of every row.
 
     stays: the row's id and text are the smallest of its component, null ids last; rows that repeat both share it."""
     checkpoint_dir(documents.sparkSession)
     held = documents.select(F.col(id_column).alias("doc_id"), F.xxhash64(id_column).alias("id_hash"), F.xxhash64(text_column).alias("hash"), F.col(text_column).alias("text"))
-    marked = held.select("doc_id", "hash", sketch_column(F.col("text")).alias("s")).select("doc_id", "hash", "s.*").checkpoint()
+    marked = held.select("doc_id", "hash", fingerprint_column(F.col("text")).alias("fp"), sketch_column(F.col("text")).alias("s")).select("doc_id", "hash", "fp", "s.*").checkpoint()
     nodes = marked.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")).alias("least"))
-    spread = marked.dropDuplicates(["node"]).select(F.explode("keys").alias("key"), F.struct("node", "left", "right").alias("x"))
+    spread = marked.dropDuplicates(["node"]).select(F.explode("keys").alias("key"), F.struct("node", "left", "right").alias("x")).unionByName(print_groups(marked, limit))
     sizes = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumnRenamed("key", "of")
     members = spread.join(sizes, F.col("key") == F.col("of")).select("key", "x", "n").checkpoint()
     central = members.groupBy("x.node").agg(F.sum("n").alias("score")).withColumnRenamed("node", "of")
@@ -333,12 +342,12 @@ def similar_components(documents: DataFrame, id_column: str, text_column: str, s
     return marked.select("doc_id", "hash", "node").join(rooted, "node").select("doc_id", F.col("hash").alias("text_hash"), F.col("first.doc_id").alias("component_id"), stays.alias("stays"))
 
 
-def one_of_each(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def one_of_each(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY, limit: int = 3) -> DataFrame:
     """The documents with all their columns, one of each component of near copies: that with the smallest id, and of several texts with this id one.
 
     Rows that share an id and have texts of different components are different documents, and so are rows without an
     id; rows that repeat both id and text are one. Texts are shuffled once, by the hashes of id and text."""
-    found = similar_components(documents, id_column, text_column, similarity)
+    found = similar_components(documents, id_column, text_column, similarity, limit)
     stay = found.filter("stays").select(F.xxhash64("doc_id").alias("s_id"), F.col("text_hash").alias("s_text")).distinct()
     keyed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"), F.xxhash64(id_column).alias("_id"), F.xxhash64(text_column).alias("_text"))
     return keyed.join(stay, (F.col("_id") == F.col("s_id")) & (F.col("_text") == F.col("s_text")), "left_semi").dropDuplicates(["_id", "_text"]).select("_row.*")

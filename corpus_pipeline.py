@@ -34,7 +34,8 @@ def drop_spread_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies."""
+    """One document of each component of near copies: groups of SimHash fingerprints by pigeonhole search, MinHash buckets
+    beside them, and a link confirmed by the texts' shingles."""
     return simhash.one_of_each(docs.select(*COLUMNS)).select(*COLUMNS)
 
 

@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from cadenza.llm import lattice, simhash
 from cadenza.llm.components import checkpoint_dir, connected_components
@@ -188,3 +189,14 @@ def test_recall_at_the_threshold():
         x, y = lattice.cells(a, t, lattice.PROBES), lattice.cells(b, t, lattice.PROBES)
         met |= (x == y[:, :1]).any(axis=1) | (y == x[:, :1]).any(axis=1)
     assert met.mean() >= 0.99
+
+
+def test_near_copies_are_looked_for_in_groups_of_fingerprints(documents, monkeypatch):
+    """The pipeline's step searches fingerprints by pigeonholes: without any MinHash bucket it finds what is within 3 bits, and confirms it."""
+    docs = documents(near_texts())
+    monkeypatch.setattr(simhash, "sketch_column", lambda text, whole=simhash.sketch_column: whole(text).withField("keys", F.array().cast("array<long>")))
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(docs, "doc_id", "text").collect()}
+    texts = {r[0]: r[1] for r in near_texts()}
+    prints, sets = {i: plain_fingerprint(t) for i, t in texts.items()}, {i: set(simhash.shingle_set(t).tolist()) for i, t in texts.items()}
+    close = [(a, b) for a in texts for b in texts if a < b and (prints[a] ^ prints[b]).bit_count() <= 3 and texts[a] != texts[b] and len(sets[a] & sets[b]) >= 0.8 * max(len(sets[a] | sets[b]), 1)]
+    assert close and all(found[a] == found[b] for a, b in close)
