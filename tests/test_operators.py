@@ -465,6 +465,19 @@ def test_boosted_trees_learn(spark):
     assert 0 < part < whole
 
 
+def test_few_training_rows_are_one_task(spark, monkeypatch):
+    """A job of a tree costs most by its tasks: rows are dealt by their number, however many partitions they come in, and alike on every run."""
+    df, _ = some_splits(spark, 40, 60)
+    targets, seen = curves.flat_speed_targets(df, 5.0), []
+    whole = gbt.GBTRegressor.fit
+    monkeypatch.setattr(gbt.GBTRegressor, "fit", lambda self, rows: seen.append(rows.rdd.getNumPartitions()) or whole(self, rows))
+    trees = [gbt.BoostedGap(rounds=2, depth=3).fit_targets(targets.repartition(k)).model.toDebugString.split("\n", 1)[1] for k in (3, 30)]
+    assert seen == [1, 1] and trees[0] == trees[1]
+    monkeypatch.setattr(gbt, "ROWS", 10)
+    gbt.BoostedGap(rounds=1, depth=1).fit_targets(targets)
+    assert seen[-1] > 1
+
+
 def test_weighted_curves_equal_those_of_repeated_points(spark):
     points = spark.createDataFrame([(float(k % 90), (k % 7) / 10 + 0.5, k % 4 + 1) for k in range(200)], "elevation_gain double, adjuster double, n long")
     repeated = points.withColumn("_", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int")))).drop("_", "n")
