@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,9 +35,17 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def _smallest(links: DataFrame) -> DataFrame:
-    """(node, least): the smallest id among a node and its neighbours, from both directions of each link."""
-    return links.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("node", "least").alias("least"))
+def _least(links: DataFrame) -> DataFrame:
+    """(node, least): the smallest b of each a."""
+    return links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
+
+
+def _written(links: DataFrame) -> tuple[DataFrame, tuple]:
+    """The different links as a checkpoint, and their count and checksum, which are taken as they are written."""
+    told = Observation()
+    total = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+    links = links.distinct().observe(told, F.count(F.lit(1)).alias("n"), total.alias("total")).checkpoint()
+    return links, (told.get["n"], told.get["total"])
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -45,24 +53,24 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Links to oneself and repeated links are allowed. Raises if max_rounds don't suffice (each round about halves
     the longest path).
+
+    Links are held with a > b, so the smallest of a node and its neighbours is the least b beside it as a, or else itself. A
+    round has six stages, each of one task a partition, whatever its links: with many partitions and few links, what a task
+    leaves on disk (its index file, its events) is more than the links. So there is no row for the other direction of a
+    link, no union and no pass of its own for the checksum.
     """
     checkpoint_dir(links.sparkSession)
-    links = links.select("a", "b").filter("a <> b").distinct().checkpoint()
-    seen = None
+    links, seen = _written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    if not seen[0]:
+        return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     for _ in range(max_rounds):
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # large star: larger neighbours go to the smallest of the node and its neighbours
-        large = both.join(_smallest(both), F.col("a") == F.col("node")).filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
-        large = large.filter("a <> b").distinct()  # a > b from here on
-        # small star: the node and its smaller neighbours go to the smallest of them
-        least = large.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
-        small = large.join(least, F.col("a") == F.col("node"))
-        small = small.select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a <> b").unionByName(least.select(F.col("node").alias("a"), F.col("least").alias("b")))
-        links = small.distinct().checkpoint()
-        now = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        # large star: the larger end goes to the smallest of the smaller end and its neighbours
+        large = links.join(_least(links), F.col("b") == F.col("node"), "left").select("a", F.coalesce("least", "b").alias("b"))
+        # small star: the node and its smaller neighbours go to the smallest of them; the node does in the row of the smallest
+        small = large.join(_least(large), F.col("a") == F.col("node"))
+        links, now = _written(small.select(F.when(F.col("b") == F.col("least"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("least").alias("b")))
         if now == seen:
-            return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-                links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-            )
+            ends = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("component")), F.struct(F.col("b").alias("node"), F.col("b").alias("component")))
+            return links.select(F.inline(ends)).distinct()
         seen = now
     raise RuntimeError(f"links still change after {max_rounds} rounds")

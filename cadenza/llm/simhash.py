@@ -330,10 +330,8 @@ def similar_components(documents: DataFrame, id_column: str, text_column: str, s
     few = rest.filter("part <> most").select(F.col("of").alias("key"), "x", F.col("part").alias("x_part"), F.col("set").alias("x_set"))  # of two different parts one at least isn't the most frequent
     linked = (F.col("x_part") != F.col("part")) & alike("x", "y") & (jaccard(F.col("x_set"), F.col("set")) >= similarity)
     met = few.join(rest.select("of", F.col("x").alias("y"), "part", "set"), (F.col("key") == F.col("of")) & linked)
-    late = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    for c in "ab":
-        late = late.join(near.select(F.col("node").alias("n"), F.col("component").alias(f"{c}_part")), F.col(c) == F.col("n"), "left").drop("n")
-    last = connected_components(late.select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b"))).select(F.col("node").alias("part"), F.col("component").alias("root"))
+    late = met.select(F.col("x_part").alias("a"), F.col("part").alias("b"))
+    last = connected_components(late).select(F.col("node").alias("part"), F.col("component").alias("root"))
     rooted = nodes.select("node", "least").join(near.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("component", "node").alias("part"))
     rooted = rooted.join(last, "part", "left").select("node", "least", F.coalesce("root", "part").alias("root"))
     named = rooted.groupBy(F.col("root").alias("name")).agg(F.min("least").alias("first"))

@@ -150,6 +150,28 @@ def test_components_of_paths_and_stars(spark):
     assert found == {i: 0 for i in range(51)} | {100 + k: 100 for k in range(30)} | {200: 200, 201: 200}
 
 
+def test_a_round_of_components_has_few_tasks(spark):
+    """With many partitions and few links each task leaves more on disk than links: pairs and a star are done in one round, of at most eight stages."""
+    links = spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(20)] + [(100, 100 + k) for k in range(1, 9)], "a long, b long").repartition(1)
+    context, many, held = spark.sparkContext, 40, {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("rounds", "rounds")
+        found = connected_components(links)
+        told = context.statusTracker()
+        stages = {s for job in told.getJobIdsForGroup("rounds") for s in told.getJobInfo(job).stageIds}
+        tasks = sum(i.numCompletedTasks for i in map(told.getStageInfo, stages) if i)
+        assert {r["node"]: r["component"] for r in found.collect()} == {k: k - k % 2 for k in range(40)} | {100 + k: 100 for k in range(9)}
+        assert 0 < tasks <= 10 * many
+        assert connected_components(links.filter("a < 0")).columns == found.columns
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_decoded_points_are_the_nearest():
     rng = np.random.default_rng(0)
     x = rng.normal(0, 3, (300, 8))
