@@ -55,7 +55,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     the longest path).
 
     Links are held with a > b, so the smallest of a node and its neighbours is the least b beside it as a, or else itself. A
-    round has six stages, each of one task a partition, whatever its links: with many partitions and few links, what a task
+    round has six stages (two more if Spark broadcasts the least ones), each of one task a partition, whatever its links: with many partitions and few links, what a task
     leaves on disk (its index file, its events) is more than the links. So there is no row for the other direction of a
     link, no union and no pass of its own for the checksum.
     """
