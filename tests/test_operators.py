@@ -199,6 +199,29 @@ def test_pairs_meet_alike_with_and_without_cells(spark, tolerance):
     assert a == b and len(a) == sum(abs(x[4] - y[4]) <= tolerance for x in rows for y in rows if -10 < y[3] < 10)
 
 
+def test_pairs_are_dealt_to_tasks_and_take_little_room(spark, tmp_path):
+    """Splits that fit one task make pairs that don't: one heart rate's pairs are made by several, and a row of them is under a byte on disk."""
+    rng = np.random.default_rng(4)
+    rows = [(k % 20, k // 20, float(rng.uniform(4, 12)), float(-5 + 20 * (k % 2)), 150.0) for k in range(1200)]
+    df = spark.createDataFrame(rows, SPLITS).coalesce(1)
+    curves.calibration_pairs(df).withColumn("task", F.spark_partition_id()).write.parquet(str(tmp_path / "pairs"))
+    tasks = [r["count"] for r in spark.read.parquet(str(tmp_path / "pairs")).groupBy("task").count().collect()]
+    assert sum(tasks) == 1200 * 600 and len(tasks) == 4 and max(tasks) < 1200 * 600 / 2
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 1200 * 600
+
+
+def test_pairs_of_odd_heart_rates_and_many_in_one_cell(spark, monkeypatch):
+    """No heart rate, not a number and infinite ones meet none; groups and blocks smaller than a cell lose no pair and double none."""
+    monkeypatch.setattr(curves, "PAIR_GROUP", 7)
+    monkeypatch.setattr(curves, "PAIR_BLOCK", 3)
+    _, rows = some_splits(spark, 60, 40)
+    odd = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, -2.9, 2.9, 0.1, 1e300]
+    df = spark.createDataFrame([(*r[:4], 150.0 if k % 3 else r[4]) for k, r in enumerate(rows)] + [(2, k, 9.0, 0.0, x) for k, x in enumerate(odd)], SPLITS)
+    a, b = (sorted(map(tuple, f(df).select("activity_id", "split_id", "flat_activity", "flat_split", "y", "flat_hr").collect())) for f in (curves.calibration_pairs, curves.calibration_pairs_plain))
+    assert a == b and len(a) > 2000 and curves.calibration_pairs(df).columns == curves.calibration_pairs_plain(df).select(*df.columns, "flat_hr", "y", "flat_activity", "flat_split").columns
+    assert curves.calibration_pairs(df.limit(0)).count() == 0
+
+
 def plain_best(d, t, target):
     d = np.maximum.accumulate(d)
     found = []
