@@ -210,6 +210,21 @@ def test_pairs_are_dealt_to_tasks_and_take_little_room(spark, tmp_path):
     assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 1200 * 600
 
 
+def test_pairs_are_dealt_to_as_many_tasks_as_there_are(spark):
+    """Twice the tasks have half the pairs each, in one cell too: shares go by pairs and tasks, and not by a fixed number or by splits alone."""
+    rng, tasks = np.random.default_rng(5), spark.conf.get("spark.sql.shuffle.partitions")
+    alike = [(k % 20, k // 20, float(rng.uniform(4, 12)), float(-5 + 20 * (k % 2)), 150.0) for k in range(1200)]
+    lone = [(20 + k % 20, k // 20, 9.0, 20.0, 100.0 + 20 * (k % 2)) for k in range(1200)]  # as many splits, and no flat one near
+    df = spark.createDataFrame(alike + lone, SPLITS).coalesce(1)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "96")
+        found = curves.calibration_pairs(df).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    counts = [r["count"] for r in found]
+    assert sum(counts) == 1200 * 600 and len(counts) > 64 and max(counts) < 1200 * 600 / 16
+
+
 def test_pairs_of_odd_heart_rates_and_many_in_one_cell(spark, monkeypatch):
     """No heart rate, not a number and infinite ones meet none; groups and blocks smaller than a cell lose no pair and double none."""
     monkeypatch.setattr(curves, "PAIR_GROUP", 7)
